@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import binary_output, jaccard_join, packing
+from trackmill.llm import binary_output, decontamination, jaccard_join, packing
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -19,6 +19,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+
+
 def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = binary_output.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
     return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -30,6 +35,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
