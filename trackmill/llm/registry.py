@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, packing
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, packing, pii
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -31,6 +31,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = binary_output.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
     return index.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii": op8_pii,
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
