@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackmill.llm.tokens import UnitEncoder
+from trackmill.llm.tokens import encoder as shared_encoder
 from trackmill.shared import materialize, new_path
 
 HEAD, KEY = struct.Struct("<QI"), struct.Struct("<BqQ")
@@ -82,7 +82,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         last = np.array([end_id], encoder.dtype)
         for batch in batches:
             keys = batch.column("key").to_pylist()

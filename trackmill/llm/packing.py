@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.llm.tokens import UnitEncoder
+from trackmill.llm.tokens import encoder as shared_encoder
 from trackmill.shared import materialize
 
 
@@ -85,7 +85,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
     """A row for each piece: key, piece, start, length, ids_crc32. Null texts count as empty, and have the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         last = np.array([end_id], "<u4")
         for batch in batches:
             columns: list[list[int | None]] = [[] for _ in range(5)]

@@ -8,6 +8,7 @@ regex dialects disagree, are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -143,3 +144,9 @@ class UnitEncoder:
             flat = np.concatenate([*parts, flat[last:]])
         ends = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, first)]
         return [whole[i] if i in whole else flat[ends[i] : ends[i + 1]] for i in range(len(raw))]
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> UnitEncoder:
+    """This process's encoder for a tokenizer file: a Python worker keeps it, and its table, from task to task."""
+    return UnitEncoder(path)
