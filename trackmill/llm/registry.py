@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, packing, pii
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
@@ -47,12 +51,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_nearest_neighbours": """
+WITH e AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id != q.vec_id AND len(c.embedding) = len(q.embedding)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
