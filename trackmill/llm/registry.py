@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii, substring_dedup
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
 
@@ -51,6 +55,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
