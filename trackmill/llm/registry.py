@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii, substring_dedup
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii, secrets, substring_dedup
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -34,6 +34,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_secret_scans": op6_secret_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
     "op9_binary_output": op9_binary_output,
