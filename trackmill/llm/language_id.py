@@ -188,12 +188,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' columns but text, with lang_pred and score. und (score 0): no text, or no letter in it.
+    """docs' columns but text, with lang_pred and score (in place of any so named). und (score 0): no text, or no letter in it.
 
     A text whose words have no known part at all gets the first language with score 0. Long texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x orders x kept rows at most
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,3 +202,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(predict, schema)
+
+
+def in_known_language(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Those of docs whose text is of one of the model's languages with a score of least or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.predict([t or "" for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)

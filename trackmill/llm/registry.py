@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, neighbours, packing, pii, secrets, substring_dedup, url_filter
 from trackmill.llm.tokens import tokenizer_path
 
@@ -61,6 +62,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
