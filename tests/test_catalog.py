@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from trackmill.plans import catalog
+from trackmill.plans import catalog, structures  # noqa: F401  structures registers its queries
 
 SF = "/root/testdata/sf0.001"
 
