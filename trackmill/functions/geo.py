@@ -34,7 +34,8 @@ def haversine(lon1, lat1, lon2, lat2, radius: float = RADIUS) -> Column:
     """Great-circle distance; the difference of longitude is wrapped."""
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(delta_lon(_c(lon1), _c(lon2))) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+    # least and greatest skip nulls: a missing position has no distance.
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
 
 
 def chord(lon1, lat1, lon2, lat2, radius: float = RADIUS) -> Column:

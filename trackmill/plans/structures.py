@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.operators import branches as B
+from trackmill.operators import cleaning as C
+from trackmill.operators import float_qc as Q
 from trackmill.operators import pairs as P
 from trackmill.operators import segments as S
 from trackmill.operators import spatial as G
@@ -223,5 +226,88 @@ def _(t):
     return R.n_hop(m.select(R.cell_id(GRID, "start_lon_bin", "start_lat_bin").alias("src"), R.cell_id(GRID, "end_lon_bin", "end_lat_bin").alias("dst")), 2)
 
 
+# Modes, permeability, floats
+
+
+@query("transport_modes", None)
+def _(t):
+    return rounded(B.detect_modes(matrix(t), 2), 9, "share", "bearing", "mean_km")
+
+
+@query("mode_continuation", None)
+def _(t):
+    return rounded(B.mode_continuation(B.detect_modes(matrix(t), 2), matrix(t)), 9, "turn", "score")
+
+
+@query("selected_mode_edges", None)
+def _(t):
+    return rounded(B.select_edges(B.mode_continuation(B.detect_modes(matrix(t), 2), matrix(t)), ["start_lon_bin", "start_lat_bin", "mode"]), 9, "turn", "score")
+
+
+def branch_points(t: DataFrame) -> DataFrame:
+    cells = R.directional_corridors(matrix(t), GRID, 3, 0.2)
+    return cells.select(F.col("component").alias("branch"), R.cell_id(GRID).alias("point"), GRID.lon_center(F.col("lon_bin")).alias("lon"), GRID.lat_center(F.col("lat_bin")).alias("lat"), F.col("theta1").alias("bearing"))
+
+
+@query("permeability", None)
+def _(t):
+    return rounded(B.permeability(branch_points(t), matrix(t), 1500.0, [-300.0, 0.0, 300.0]), 9, "p_cross", "low", "high", "asymmetry")
+
+
+@query("barrier_minima", None)
+def _(t):
+    return rounded(B.barrier_minima(B.permeability(branch_points(t), matrix(t), 1500.0, [-600.0, -300.0, 0.0, 300.0, 600.0])), 9, "p_cross")
+
+
+@query("path_geometry", f"SELECT trajectory, obs, round(step, 6) AS step_km, round(coalesce(sum(step) OVER (PARTITION BY trajectory ORDER BY obs), 0), 6) AS s_km FROM (SELECT trajectory, obs, CASE WHEN obs > 0 THEN {haversine_sql('lon0', 'lat0', 'lon', 'lat')} END AS step FROM (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM {{t}} WINDOW w AS (PARTITION BY trajectory ORDER BY obs)))")
+def _(t):
+    return rounded(B.path_geometry(t, ("trajectory",), "obs").select("trajectory", "obs", "step_km", "s_km"), 6, "step_km", "s_km")
+
+
+@query("park_window_depth", "SELECT trajectory AS platform_code, cycle_number, round(quantile_cont(z, 0.5), 6) AS depth, count(*) AS n FROM {t} GROUP BY ALL", "qc")
+def _(t):
+    m = t.select(F.col("trajectory").alias("platform_code"), "cycle_number", "time", F.col("z").alias("pressure"))
+    windows = m.groupBy("platform_code", "cycle_number").agg(F.min("time").alias("start"), F.max("time").alias("stop"))
+    return rounded(Q.park_window_depth(m, windows), 6, "depth")
+
+
+@query(
+    "resolve_parking_depth",
+    """WITH c AS (SELECT trajectory AS platform_code, cycle_number, max(CASE WHEN event_id % 4 = 0 THEN z END) AS a, max(CASE WHEN event_id % 4 = 1 THEN z END) AS b FROM {t} WHERE event_id % 3 = 0 GROUP BY ALL),
+    o AS (SELECT *, coalesce(a, b) AS own, CASE WHEN a IS NOT NULL THEN 'representative' WHEN b IS NOT NULL THEN 'inferred_adjusted' END AS src FROM c),
+    f AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY platform_code ORDER BY cycle_number) AS bef, first_value(own IGNORE NULLS) OVER (PARTITION BY platform_code ORDER BY cycle_number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS aft FROM o)
+    SELECT platform_code, cycle_number, coalesce(own, bef, aft, 1000.0) AS parking_depth, coalesce(src, CASE WHEN bef IS NOT NULL THEN 'forward_fill' WHEN aft IS NOT NULL THEN 'backward_fill' ELSE 'fallback' END) AS depth_source FROM f""",
+    "qc",
+)
+def _(t):
+    value = lambda k: F.max(F.when(F.col("event_id") % 4 == k, F.col("z")))
+    cycles = t.where("event_id % 3 = 0").groupBy(F.col("trajectory").alias("platform_code"), "cycle_number").agg(value(0).alias("representative"), value(1).alias("inferred_adjusted")).withColumn("inferred_raw", F.lit(None).cast("double"))
+    return Q.resolve_parking_depth(cycles, 1000.0).select("platform_code", "cycle_number", "parking_depth", "depth_source")
+
+
+@query("jump_qc", None, "qc")
+def _(t):
+    return Q.jump_qc(S.segment_by_gap(t, 4.0).select("trajectory", "segment", "obs", "time", "lon", "lat"), 900.0)
+
+
+@query("repair_isolated_bins", None)
+def _(t):
+    return Q.repair_isolated_bins(t.select("trajectory", "obs", F.when(F.col("lat") >= 0, "north").otherwise("south").alias("bin")), "bin", 1)
+
+
+@query("stage_counts", "SELECT 'raw' AS stage, count(*) AS rows, count(DISTINCT trajectory) AS particles FROM {t} UNION ALL SELECT 'valid', count(*), count(DISTINCT trajectory) FROM {t} WHERE lon IS NOT NULL", "invalid")
+def _(t):
+    return Q.stage_counts({"raw": t, "valid": t.where("lon is not null")})
+
+
+@query("drop_duplicate_release", "SELECT trajectory, row_number() OVER (PARTITION BY trajectory ORDER BY obs) - 1 AS obs, time FROM (SELECT trajectory, obs, CASE WHEN obs = 1 AND trajectory % 2 = 0 THEN t0 ELSE time END AS time FROM (SELECT *, lag(time) OVER (PARTITION BY trajectory ORDER BY obs) AS t0 FROM {t})) WHERE NOT (obs = 1 AND trajectory % 2 = 0)", "regular")
+def _(t):
+    from pyspark.sql import Window
+
+    first = F.lag("time").over(Window.partitionBy("trajectory").orderBy("obs"))
+    doubled = t.withColumn("time", F.when((F.col("obs") == 1) & (F.col("trajectory") % 2 == 0), first).otherwise(F.col("time")))
+    return C.drop_duplicate_release(doubled).select("trajectory", "obs", "time")
+
+
 #: Kept by name for callers of this module.
 __all__ = ["QUERIES", "SQL", "labelled", "tracks"]
