@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from trackmill.operators import branches as B
 from trackmill.operators import cleaning as C
+from trackmill.operators import diagnostics as D
 from trackmill.operators import float_qc as Q
+from trackmill.operators import maps as M
 from trackmill.operators import pairs as P
 from trackmill.operators import segments as S
 from trackmill.operators import spatial as G
 from trackmill.operators import transitions as X
 from trackmill.operators import transport as R
-from trackmill.plans.catalog import BINS, GRID, INSIDE, MATRIX, QUERIES, SQL, haversine_sql, matrix, query, rounded
+from trackmill.plans.catalog import BINS, GRID, INSIDE, MATRIX, QUERIES, SQL, SUMMARY, haversine_sql, matrix, query, rounded
 from trackmill.plans.tracks import tracks
 
 PAIRS = f"SELECT a.group_id, a.obs, a.time, a.group_member AS member_a, b.group_member AS member_b, a.lat AS lat_a, b.lat AS lat_b, {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM {{t}} a JOIN {{t}} b ON a.group_id = b.group_id AND a.obs = b.obs AND a.time = b.time AND a.group_member < b.group_member"
@@ -309,5 +311,61 @@ def _(t):
     return C.drop_duplicate_release(doubled).select("trajectory", "obs", "time")
 
 
+# Maps and frames
+
+
+@query("region_map", f"WITH f AS (SELECT trajectory, arg_min(struct_pack(x := lon, y := lat), obs) AS p, arg_max(struct_pack(l := event_type), obs).l AS label FROM {{t}} GROUP BY trajectory), c AS (SELECT CAST(floor((p.x + 180.0) / 10.0) AS BIGINT) AS lon_bin, CAST(floor((p.y + 90.0) / 5.0) AS BIGINT) AS lat_bin, label, count(*) AS n FROM f GROUP BY ALL) SELECT lon_bin, lat_bin, arg_min(label, struct_pack(a := -n, b := label)) AS label, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2")
+def _(t):
+    last = t.groupBy("trajectory").agg(F.min_by("lon", "obs").alias("lon_first"), F.min_by("lat", "obs").alias("lat_first"), F.max_by("event_type", "obs").alias("label"))
+    return M.region_map(last, GRID, "label")
+
+
+@query("connectivity_segments", "SELECT trajectory, 0 AS place, arg_min(lon, obs) AS lon, arg_min(lat, obs) AS lat FROM {t} GROUP BY trajectory UNION ALL SELECT trajectory, 1, arg_max(lon, obs), arg_max(lat, obs) FROM {t} GROUP BY trajectory")
+def _(t):
+    return M.connectivity_segments(D.particle_summary(t))
+
+
+@query("snapshots", "SELECT time, trajectory, obs, lon, lat, CAST(frame AS INTEGER) AS frame FROM (SELECT *, dense_rank() OVER (ORDER BY time) - 1 AS frame FROM {t}) WHERE frame IN (0, 4, (SELECT count(DISTINCT time) - 1 FROM {t}))", "regular")
+def _(t):
+    return M.snapshots(t, [0, 4, -1]).select("time", "trajectory", "obs", "lon", "lat", "frame")
+
+
+@query("nearest_frame", "SELECT trajectory, obs, lon, lat FROM {t} WHERE time = TIMESTAMP '2024-01-03 12:00:00'", "regular")
+def _(t):
+    return M.nearest_frame(t, F.lit("2024-01-03 13:00:00"), 4 * 3600 * 10**6).select("trajectory", "obs", "lon", "lat")
+
+
+@query("bilinear_sample", None)
+def _(t):
+    return rounded(M.bilinear_sample(t, GRID.aggregate(t, "z"), GRID, "value", ["trajectory", "obs"]), 9, "value")
+
+
+@query("nearest_other_branch", None)
+def _(t):
+    return rounded(M.nearest_other_branch(branch_points(t), 3000.0), 6, "other_km", "self_km")
+
+
+@query("barrier_summary", None)
+def _(t):
+    points = branch_points(t)
+    return rounded(M.barrier_summary(B.barrier_minima(B.permeability(points, matrix(t), 1500.0, [-600.0, -300.0, 0.0, 300.0, 600.0])), points), 9, "mean", "least", "most", "coverage")
+
+
+@query("level_comparison", f"WITH c AS (SELECT avg(z) AS a, count(*)::DOUBLE AS b FROM (SELECT *, {BINS} FROM {{t}} WHERE {INSIDE}) GROUP BY lon_bin, lat_bin), q AS (SELECT x.q AS quantile, quantile_cont(a, 0.5) AS a5, quantile_cont(b, 0.5) AS b5, quantile_cont(a, 0.9) AS a9, quantile_cont(b, 0.9) AS b9 FROM c CROSS JOIN (SELECT unnest([0.5, 0.9])::DOUBLE AS q) x GROUP BY x.q), l AS (SELECT quantile, CASE WHEN quantile = 0.5 THEN a5 ELSE a9 END AS qa, CASE WHEN quantile = 0.5 THEN b5 ELSE b9 END AS qb FROM q) SELECT quantile, count(CASE WHEN a >= qa AND b >= qb THEN 1 END) AS in_both, count(CASE WHEN a >= qa AND b < qb THEN 1 END) AS only_a, count(CASE WHEN a < qa AND b >= qb THEN 1 END) AS only_b FROM c CROSS JOIN l GROUP BY quantile")
+def _(t):
+    cells = GRID.assign(t).groupBy("lon_bin", "lat_bin").agg(F.avg("z").alias("a"), F.count("*").cast("double").alias("b"))
+    return M.level_comparison(cells, "a", "b", [0.5, 0.9]).select("quantile", "in_both", "only_a", "only_b")
+
+
+@query("minimal_lon_span", "WITH d AS (SELECT DISTINCT trajectory, lon - 360 * floor(lon / 360) AS x FROM {t}), g AS (SELECT trajectory, coalesce(lead(x) OVER (PARTITION BY trajectory ORDER BY x), min(x) OVER (PARTITION BY trajectory) + 360) - x AS gap FROM d) SELECT trajectory, 360 - max(gap) AS lon_span FROM g GROUP BY trajectory")
+def _(t):
+    return M.minimal_lon_span(t, ["trajectory"])
+
+
+@query("average_over_time", f"SELECT lon_bin, lat_bin, round(avg(n), 9) AS mean_n FROM (SELECT time, {BINS}, count(*) AS n FROM {{t}} WHERE {INSIDE} GROUP BY ALL) GROUP BY 1, 2", "regular")
+def _(t):
+    return D.time_density(t, GRID).groupBy("lon_bin", "lat_bin").agg(F.round(F.avg("n"), 9).alias("mean_n"))
+
+
 #: Kept by name for callers of this module.
-__all__ = ["QUERIES", "SQL", "labelled", "tracks"]
+__all__ = ["QUERIES", "SQL", "SUMMARY", "labelled", "tracks"]
