@@ -85,8 +85,8 @@ def test_every_allocation_finds_all_pairs():
         lows = np.array([b[0] for b in limits])
         for sets in (10, 10**6, 10**12):
             plan = [J.allocate(b, sets, num, den) for b in limits]
-            for band, (m, k) in zip(limits, plan, strict=True):
-                assert not m or m + k >= J.most_differing(band, num, den) + 1
+            for band, (m, k, e) in zip(limits, plan, strict=True):
+                assert not m or m + k - e >= J.most_differing(band, num, den) + 1
             for _ in range(300):
                 n = int(rng.integers(6, 340))
                 a = rng.integers(0, 1 << 63, n).astype(np.uint64)
@@ -95,6 +95,8 @@ def test_every_allocation_finds_all_pairs():
                 both = len(np.intersect1d(a, b))
                 if den * both < num * (len(a) + len(b) - both) or both == len(a) == len(b):
                     continue
+                s = [J.sketch(np.unique(x), num, den) for x in (a, b)]
+                assert J.sketches_differ(*s) <= (len(a) + len(b)) * (den - num) // (den + num)
                 sig = []
                 for s in (a, b):
                     band = int(np.searchsorted(lows, len(s), "right")) - 1
@@ -102,6 +104,16 @@ def test_every_allocation_finds_all_pairs():
                 assert sig[0] & sig[1]
 
 
+def test_drifted_group_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 7)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(near(rng, base, rng.randrange(0, 7)))) for i in range(150)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    want = brute(rows, 4, 85, 100)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want and 20 < len({c for _, _, c in want}) < 140
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(docs, 4, 85, 100).count() == 0

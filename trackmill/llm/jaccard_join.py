@@ -4,14 +4,18 @@ Two sets with Jaccard similarity of num/den or more differ in at most H elements
 sizes. Sets are banded by size so that a partner lies in the same band or the next; at each band the hashed
 universe is cut into segments, and sets that differ in at most H elements agree on one of H + 1 segments. A
 segment that is indexed with its one-deletion neighbourhood as well (itself, and itself without any one
-element) finds sets that differ there by one element, and so counts twice: with m segments, k of them so
-indexed, m + k = H + 1 is enough. A cost model picks k for each band: deletions cost rows to shuffle, and
-small segments are often empty in unlike sets, which costs candidates that grow with the square of the band.
+element) finds sets that differ there by one element, and so counts twice: half as many segments are enough.
+A cost model picks the one or the other for each band: deletions cost rows to shuffle, and small segments are
+alike in unlike sets more often, which costs candidates.
 
 Sets that are equal are one class, found by their digest. In a group of classes that share a segment, all are
-verified against the smallest (so a group of n near copies costs n verifications). Groups that then hold
-classes of several components get further rounds: verified against a member of the smallest component, and
-at last every pair of theirs that lies in different components. So no link between components is lost.
+verified against the one that shares most (so a group of n near copies costs n verifications). In groups that then
+hold classes of several components, all pairs of different components are compared by sketches, in blocks, and
+those left open are verified. So no link between components is lost.
+
+Before texts are moved, pairs are compared by sketches: bit i of a set's sketch is the parity of its elements
+that hash to i, so two sketches differ in no more bits than the sets do in elements, and a pair whose sketches
+differ in more than a link allows is none.
 
 Shingles are 64-bit hashes; similarity is counted on whole sets of them.
 """
@@ -33,8 +37,12 @@ from trackmill.shared import materialize
 
 U = np.uint64
 SEGMENT, LEVEL = U(0x9FB21C651E98DF25), U(0xA24BAED4963EE407)
-#: Cost of a candidate pair, in indexed rows.
-PAIR_COST = 20.0
+#: Rows of a block of a group.
+BLOCK = 256
+#: Cost of a candidate pair, in indexed rows: most end at their sketches.
+PAIR_COST = 3.0
+#: Probability that two unlike sets' single elements of a segment are one: lines and passages that many texts share.
+COMMON = 1e-3
 
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -53,26 +61,35 @@ def most_differing(band: tuple[int, int], num: int, den: int) -> int:
     return (high + high * den // num) * (den - num) // (den + num)
 
 
-def allocate(band: tuple[int, int], sets: int, num: int, den: int) -> tuple[int, int]:
-    """Segments m, and how many of them (the first k) get one-deletion neighbourhoods; (0, 0) where only equal sets link."""
+def allocate(band: tuple[int, int], sets: int, num: int, den: int) -> tuple[int, int, int]:
+    """Segments m, whether they get one-deletion neighbourhoods (k = m, else 0), and the empty ones e to allow for; (0, 0, 0) where only equal sets link.
+
+    Empty segments say nothing, so they are not indexed where k is 0: with H + 1 + e segments, two sets of which one
+    has e empty segments at most still agree on one that is not. Sets with more of them get a signature that they
+    share; e is large enough for a few such sets at most to be expected.
+    """
     h = most_differing(band, num, den)
     if not h:
-        return 0, 0
+        return 0, 0, 0
     size = (band[0] + band[1]) / 2
-    best = None
-    for k in sorted({0, *(round((h + 1) / 2 * i / 4) for i in range(1, 4)), (h + 1) // 2}):
-        m = h + 1 - k
+    pairs = (h + 2) // 2
+    best = pairs + size, pairs, pairs, 0
+    for e in range(0, 40):
+        m = h + 1 + e
         each = size / m
-        empty, tiny = math.exp(-each), math.exp(-each) * (1 + each)
-        rows = (m - k) + k * (1 + each)
-        pairs = sets / 2 * ((m - k) * empty * empty + k * tiny * tiny)
-        if best is None or rows + PAIR_COST * pairs < best[0]:
-            best = rows + PAIR_COST * pairs, m, k
-    return best[1], best[2]
-
-
-def signatures(values: np.ndarray, level: int, m: int, k: int) -> np.ndarray:
-    """Hashes of a set's segments at a level, and of those without any one element for the first k."""
+        mean = m * math.exp(-band[0] / m)
+        below = term = math.exp(-mean)
+        for i in range(1, e + 1):
+            term *= mean / i
+            below += term
+        single = each * math.exp(-each)
+        cost = m + PAIR_COST * sets / 2 * (max(0.0, 1 - below) ** 2 + COMMON * m * single * single)
+        best = min(best, (cost, m, 0, e))
+    return best[1:]
+
+
+def signatures(values: np.ndarray, level: int, m: int, k: int, e: int) -> np.ndarray:
+    """Hashes of a set's segments at a level: see allocate."""
     if not m:
         return np.zeros(0, np.uint64)
     segment = (((mix(values ^ LEVEL) >> U(32)) * U(m)) >> U(32)).astype(np.int64)
@@ -80,37 +97,77 @@ def signatures(values: np.ndarray, level: int, m: int, k: int) -> np.ndarray:
     own = mix(values)
     np.add.at(sums, segment, own)
     salt = mix((np.arange(m, dtype=np.uint64) + U(level << 32)) * SEGMENT)
-    out = [mix(sums + salt)]
     if k:
-        dropped = segment < k
-        at = segment[dropped]
-        out.append(mix(sums[at] - own[dropped] + salt[at]))
-    return np.unique(np.concatenate(out))
+        return np.unique(np.concatenate([mix(sums + salt), mix(sums[segment] - own + salt[segment])]))
+    full = np.bincount(segment, minlength=m) > 0
+    out = mix(sums[full] + salt[full])
+    return out if full.sum() >= m - e else np.append(out, mix(np.array([level], np.uint64) * LEVEL))
+
+
+def sketch(values: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Parities of a set's elements by hash: a power of two of bits, 512 at least and three times the elements that a partner can differ in."""
+    bits = 512
+    while bits < 3 * most_differing((len(values), len(values)), num, den):
+        bits *= 2
+    odd = np.bincount((mix(values ^ SEGMENT) >> U(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ; the longer one is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
 
 
-def set_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest) of docs: size and digest of the shingle set; the digest is null where the set is empty."""
+def set_rows(docs: DataFrame, size: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """Rows (key, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["key", "n", "digest"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(digest, "key long, n long, digest binary")
+            sketches = [sketch(s, num, den) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "digest", "sketch"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(digest, "key long, n long, digest binary, sketch array<long>")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, of any number of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        if held and tuple(values[0]) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        begin = 0
+        for cut in cuts.tolist():
+            yield pa.Table.from_batches([*held, batch.slice(begin, cut - begin)])
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+        last = tuple(values[-1])
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class JaccardJoin:
-    """The join of one table. rows: (key, n, digest); classes: (digest, cid, key, n), key the smallest of the class."""
+    """The join of one table. rows: (key, n, digest, sketch); classes: (digest, cid, key, n, sketch), key the smallest of the class."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int, key: str = "doc_id", text: str = "text"):
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
         self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        self.rows = materialize(set_rows(docs, size, key, text), "jaccard-rows")
-        classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+        self.rows = materialize(set_rows(docs, size, num, den, key, text), "jaccard-rows")
+        classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
-    def _plan(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    def _plan(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """First size of each band, and each band's allocation; there are as many bands as the logarithm of the largest size."""
         largest = self.classes.agg(F.max("n")).first()[0] or 0
         limits = bands(largest, self.num, self.den)
@@ -119,8 +176,8 @@ class JaccardJoin:
         counts = {r["band"] - 1: r["count"] for r in self.classes.groupBy(of.alias("band")).count().collect()}
         return np.array(lows), [allocate(b, counts.get(i, 0) + counts.get(i + 1, 0), self.num, self.den) for i, b in enumerate(limits)]
 
-    def buckets(self) -> DataFrame:
-        """Rows (sig, pivot, cid): classes that share a signature with a smaller class, the smallest of which is pivot."""
+    def groups(self) -> DataFrame:
+        """Rows (sig, cid): classes that share a signature with another class."""
         size, (lows, plan) = self.size, self._plan()
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +202,36 @@ class JaccardJoin:
         def rows(sigs: list[np.ndarray], cids: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(cids))], ["sig", "cid"])
 
-        texts = self.docs.join(self.classes, "key").select("cid", "digest", "text")
+        texts = self.docs.join(self.classes.drop("sketch"), "key").select("cid", "digest", "text")
         group = Window.partitionBy("sig").orderBy("cid")
-        found = texts.mapInArrow(index, "sig long, cid long").withColumn("pivot", F.first("cid").over(group))
-        return materialize(found.where("cid != pivot").select("sig", "pivot", "cid"), "jaccard-buckets")
+        found = texts.mapInArrow(index, "sig long, cid long").withColumns({"first": F.first("cid").over(group), "next": F.lead("cid").over(group)})
+        return materialize(found.where("cid != first or next is not null").select("sig", "cid"), "jaccard-groups")
+
+    def _pairs_with(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        left, right = (table.select(*(F.col(c).alias(f"{c}_{s}") for c in ["cid", *columns])) for s in "ab")
+        return pairs.join(right, pairs["b"] == right["cid_b"]).join(left, pairs["a"] == left["cid_a"])
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes, those that sizes and sketches do not rule out."""
+        num, den = self.num, self.den
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                allowed = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (den - num) // (den + num)
+                sides = []
+                for c in ("sketch_a", "sketch_b"):
+                    column = batch.column(c)
+                    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+                    sides.append([flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+                mask = pa.array([sketches_differ(x, y) <= h for x, y, h in zip(*sides, allowed.tolist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+        close = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+        sketched = self._pairs_with(pairs, self.classes, ["n", "sketch"]).where(close)
+        return sketched.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) of classes, those that link. texts: (cid, digest, n, text)."""
+        """Of distinct pairs (a, b) of classes, those that link. texts: (cid, text)."""
         size, num, den = self.size, self.num, self.den
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,32 +255,30 @@ class JaccardJoin:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-        t = texts.select("cid", "n", "text")
-        left, right = (t.select(*(F.col(c).alias(f"{c}_{s}") for c in t.columns)) for s in "ab")
-        sized = pairs.join(right, pairs["b"] == right["cid_b"]).join(left, pairs["a"] == left["cid_a"])
-        close = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
-        return sized.where(close).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+        return self._pairs_with(pairs, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b) between classes and the components (node, component) that they make."""
-        buckets = self.buckets()
-        pairs = buckets.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-        entries = buckets.select("sig", "cid").unionByName(buckets.select("sig", F.col("pivot").alias("cid")).distinct())
-        named = self.classes.join(entries.select("cid").distinct(), "cid", "left_semi")
-        texts = materialize(self._texts(named), "jaccard-texts")
-        found = tested = None
-        for turn in range(4):
-            pairs = materialize(pairs, "jaccard-pairs")
-            new = materialize(self.verified(pairs, texts), "jaccard-links")
-            found = new if found is None else found.unionByName(new)
-            tested = pairs if tested is None else tested.unionByName(pairs)
+        entries = self.groups()
+        # A text that others were made from shares most with them: it is their groups' pivot.
+        shares = entries.groupBy("cid").agg(F.count("*").alias("shares"))
+        pivots = entries.join(shares, "cid").groupBy("sig").agg(F.max_by("cid", F.struct("shares", -F.col("cid"))).alias("pivot"))
+        pairs = entries.join(pivots, "sig").where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        found = self._verified_links(pairs)
+        labels = materialize(connected_components(found, "a", "b"), "jaccard-labels")
+        rest = self._rest(entries, labels)
+        if rest is not None:
+            found = found.unionByName(self._verified_links(rest))
             labels = materialize(connected_components(found, "a", "b"), "jaccard-labels")
-            pairs = self._rest(entries, labels, tested, turn)
-            if pairs is None:
-                break
         return found, labels
 
+    def _verified_links(self, pairs: DataFrame) -> DataFrame:
+        likely = materialize(self.plausible(pairs), "jaccard-likely")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        return materialize(self.verified(likely, self._texts(self.classes.join(ends, "cid", "left_semi"))), "jaccard-links")
+
     def _texts(self, named: DataFrame) -> DataFrame:
+        """Rows (cid, text): a text of each class named."""
         size = self.size
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,29 +287,48 @@ class JaccardJoin:
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        found = self.docs.join(named, "key").select("cid", "digest", "n", "text").mapInArrow(own, "cid long, digest binary, n long, text string")
-        return found.groupBy("cid", "digest", "n").agg(F.min("text").alias("text"))
+        found = self.docs.join(named.drop("sketch"), "key").select("cid", "digest", "text").mapInArrow(own, "cid long, digest binary, text string")
+        return materialize(found.groupBy("cid").agg(F.min("text").alias("text")), "jaccard-texts")
+
+    def _rest(self, entries: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Distinct pairs to verify of groups whose classes are not of one component. None if there are no such groups.
 
-    def _rest(self, entries: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame | None:
-        """Pairs to verify next: of groups whose classes are not of one component. None if there are none."""
+        A group is dealt into blocks of BLOCK rows; each two blocks meet in one task, which compares all their
+        sketches at once and returns only pairs of different components that sketches and sizes leave open.
+        """
+        num, den = self.num, self.den
         known = labels.select(F.col("node").alias("cid"), F.col("component").alias("label"))
         named = entries.join(known, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        of_group = named.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min("cid").alias("first"))
-        ranked = of_group.groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min_by("first", F.struct("c", "first")).alias("next"), F.count("*").alias("k"))
-        split = ranked.where("k > 1")
-        size = split.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not size["n"]:
+        split = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        split = materialize(split.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-split")
+        if split.isEmpty():
             return None
-        split = materialize(split.select("sig", "next"), "jaccard-split")
-        inside = named.join(split, "sig")
-        if turn < 2 and size["pairs"] > 4 * size["n"]:
-            new = inside.where("cid != next").select(F.least("cid", "next").alias("a"), F.greatest("cid", "next").alias("b"))
-        else:
-            left = inside.select("sig", F.col("cid").alias("a"), F.col("label").alias("la"))
-            right = inside.select("sig", F.col("cid").alias("b"), F.col("label").alias("lb"))
-            new = left.join(right, "sig").where("a < b and la != lb").select("a", "b")
-        new = materialize(new.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-next")
-        return None if turn >= 3 or new.isEmpty() else new
+        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        inside = named.join(split, "sig").join(self.classes.select("cid", "n", "sketch"), "cid").withColumn("own", own)
+        met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "n", "sketch")
+        dealt = met.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in runs(batches, ["sig", "i", "j"]):
+                cid, label, n = (group.column(c).to_numpy() for c in ("cid", "label", "n"))
+                column = group.column("sketch").combine_chunks()
+                flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+                width = int(np.diff(at).min())
+                folded = np.stack([np.bitwise_xor.reduce(flat[x:y].reshape(-1, width), 0) for x, y in zip(at[:-1], at[1:], strict=True)])
+                out: list[np.ndarray] = []
+                for x in range(len(cid) - 1):
+                    y = np.arange(x + 1, len(cid))
+                    y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
+                    differ = np.bitwise_count(folded[y] ^ folded[x]).sum(1)
+                    y = y[differ <= (n[y] + n[x]) * (den - num) // (den + num)]
+                    if len(y):
+                        out.append(np.stack([np.minimum(cid[y], cid[x]), np.maximum(cid[y], cid[x])]))
+                if out:
+                    a, b = np.concatenate(out, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "jaccard-pairs")
 
     def components(self) -> DataFrame:
         """Rows (key, n_shingles, component_id), one for each row of docs."""
