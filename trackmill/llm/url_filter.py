@@ -74,15 +74,17 @@ def templates(pages: DataFrame, depth: int = DEPTH, names: int = NAMES, distance
         rank = F.row_number().over(Window.partitionBy(*parent).orderBy(F.desc("n"), "seg"))
         # Branches that lean to bad keep their names, so that a wildcard never mixes them with the others.
         leans = (F.coalesce("good", F.lit(0)) + 1) / (F.col("labelled") + 1) >= REJECT_BELOW
-        named = stats.withColumn("named", (rank <= names) & ~F.col("seg").isin(WILD, REST, LEAF, "")).withColumn("bad", F.col("named") & ~leans)
-        bad = named.where("bad").select(*parent, "seg", F.lit(True).alias("own"))
-        named = named.withColumn("named", F.col("named") & ~F.col("bad"))
+        # A limit by rank is applied in every task before rows are dealt: a node with very many segments passes on a few.
+        named = stats.where(~F.col("seg").isin(WILD, REST, LEAF, "")).withColumn("rank", rank).where(F.col("rank") <= names)
+        bad = named.where(~leans).select(*parent, "seg", F.lit(True).alias("own"))
+        named = named.where(leans)
         # Compare each other named branch with all of them together: shares of next segments, and purity.
-        kinds = at.groupBy(*parent, "seg", "next").agg(F.sum("n").alias("m")).join(named.where("named").select(*parent, "seg", F.col("n").alias("of")), [*parent, "seg"])
-        pooled = kinds.groupBy(*parent, "next").agg(F.sum("m").alias("pm")).withColumn("share", F.col("pm") / F.sum("pm").over(Window.partitionBy(*parent)))
+        kinds = at.groupBy(*parent, "seg", "next").agg(F.sum("n").alias("m")).join(named.select(*parent, "seg", F.col("n").alias("of")), [*parent, "seg"])
+        whole = kinds.groupBy(*parent).agg(F.sum("m").alias("all"))
+        pooled = kinds.groupBy(*parent, "next").agg(F.sum("m").alias("pm")).join(whole, parent).withColumn("share", F.col("pm") / F.col("all"))
         alike = kinds.join(pooled, [*parent, "next"]).groupBy(*parent, "seg").agg(F.sum(F.sqrt(F.col("m") / F.col("of") * F.col("share"))).alias("affinity"))
         all_of = Window.partitionBy(*parent)
-        branch = named.where("named").join(alike, [*parent, "seg"]).withColumn("ln", F.sum("labelled").over(all_of)).withColumn("gn", F.sum(F.coalesce("good", F.lit(0))).over(all_of)).withColumn("branches", F.count("*").over(all_of))
+        branch = named.join(alike, [*parent, "seg"]).withColumn("ln", F.sum("labelled").over(all_of)).withColumn("gn", F.sum(F.coalesce("good", F.lit(0))).over(all_of)).withColumn("branches", F.count("*").over(all_of))
         share = (F.col("gn") + 1) / (F.col("ln") + 2)
         off = F.abs(F.coalesce("good", F.lit(0)) - F.col("labelled") * share) / F.sqrt(F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
         merged = branch.withColumn("merge", (F.col("branches") > 1) & (F.sqrt(F.greatest(1 - F.col("affinity"), F.lit(0.0))) <= distance) & (off <= errors))
@@ -119,10 +121,10 @@ def judge(pages: DataFrame, labels: DataFrame | None, rules=RULES, key: str = "p
     shapes = templates(labelled)
     whole = shapes.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     prior = (whole["g"] / whole["l"]) if whole["l"] else 1.0
-    of_host = Window.partitionBy("host")
     known = shapes.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"))
-    host_share = (F.sum("g").over(of_host) + weight * prior) / (F.sum("l").over(of_host) + weight)
-    purity = known.withColumn("purity", (F.col("g") + weight * host_share) / (F.col("l") + weight)).select("host", "template", "purity")
+    hosts = known.groupBy("host").agg(F.sum("g").alias("hg"), F.sum("l").alias("hl"))
+    host_share = (F.col("hg") + weight * prior) / (F.col("hl") + weight)
+    purity = known.join(hosts, "host").withColumn("purity", (F.col("g") + weight * host_share) / (F.col("l") + weight)).select("host", "template", "purity")
     by_shape = shapes.select("host", "raw", "template").join(purity, ["host", "template"])
     judged = labelled.join(by_shape, ["host", "raw"], "left")
     method = F.when(F.col("purity") < reject_below, F.lit("block")).otherwise(F.lit("allow"))
