@@ -32,7 +32,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+    return substring_dedup.removed(table(spark, sf_dir, "documents"), every_run=True)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
