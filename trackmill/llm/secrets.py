@@ -5,8 +5,9 @@ sounds secret. A forest sees a candidate's length, its mix of characters and the
 words of a dictionary cover, the path (source) it stands in and the words beside it. It is trained on labelled
 findings: given ones, or those that labelling rules are sure of in this table (known key formats and values
 assigned to secret names against plain numbers, addresses and wordy runs); the rest are left unlabelled and the
-forest decides. The dictionary and the letter transitions come from a bounded sample of documents, the forest
-from a bounded sample of findings; candidates come from every text, whole.
+forest decides. The dictionary and the letter transitions come from all documents: words and pairs of letters are
+counted by Spark, and the words that a finding may hold are joined to it, so the dictionary has no limit. Only the
+forest is fitted on a bounded sample, of labelled findings; candidates come from every text, whole.
 """
 
 from __future__ import annotations
@@ -27,11 +28,19 @@ from pyspark.sql import functions as F
 from trackmill.llm.sampling import smallest
 from trackmill.shared import materialize
 
-#: Documents that dictionary and transitions are learned from, findings that the forest is fitted on: at most.
-DICTIONARY_DOCUMENTS, FIT_FINDINGS = 2_000, 20_000
-DICTIONARY_WORDS = 20_000
+#: Findings that the forest is fitted on, at most.
+FIT_FINDINGS = 20_000
+#: Words that stand this often in all documents are of the dictionary.
+WORD_LEAST = 2
+#: A word stands by itself: letters beside digits, underscores, plus or equals signs are pieces of key-like runs.
+STANDING = r"(?<![\p{L}\p{N}_+=])\p{L}{3,}+(?![\p{N}_+=])"
+#: Log probability of a transition that was not seen, and the least of any.
+RARE = -8.0
 FIT_LEAST = 10
 CONTEXT = 32
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Pieces of findings handed on at once.
+PIECES = 1 << 17
 RUN = re.compile(r"[A-Za-z0-9_\-+/=.~]{12,}")
 ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([^\s"'<>]{6,})""")
 SECRET_NAME = re.compile(r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\w-]{0,12}[\"'\]]?\s{0,3}(?:is\s{0,2})?[:=]?\s{0,3}[\"']?$", re.IGNORECASE)
@@ -71,53 +80,57 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), where.alias("path")).mapInArrow(scan, FINDING)
 
 
+def pieces(match: str, before: str, after: str) -> Iterator[str]:
+    """All that may be a word of the dictionary in a match or beside it: runs of 3 to 16 letters in it, whole words beside it."""
+    for run in LETTERS.findall(match.lower()):
+        for i in range(len(run) - 2):
+            for j in range(i + 3, min(i + 16, len(run)) + 1):
+                yield run[i:j]
+    yield from LETTERS.findall(f"{before} {after}".lower())
+
+
 class Language:
-    """Words of ordinary text and the letter transitions in them, from words and their counts."""
+    """The letter transitions of ordinary text: log probability of the second of two letters; what is left out is RARE."""
 
-    def __init__(self, words: dict[str, int]):
-        self.words = set(words)
-        pairs = Counter(w[i : i + 2] for w, n in words.items() for i in range(len(w) - 1) for _ in range(min(n, 5)))
-        firsts = Counter()
-        for pair, n in pairs.items():
-            firsts[pair[0]] += n
-        self.pairs = {p: math.log((n + 0.1) / (firsts[p[0]] + 3)) for p, n in pairs.items()}
+    def __init__(self, pairs: dict[str, float]):
+        self.pairs = pairs
 
     def transition(self, s: str) -> float:
         """Mean log probability of the transitions between characters."""
         s = s.lower()
-        return sum(self.pairs.get(s[i : i + 2], -8.0) for i in range(len(s) - 1)) / max(len(s) - 1, 1)
+        return sum(self.pairs.get(s[i : i + 2], RARE) for i in range(len(s) - 1)) / max(len(s) - 1, 1)
 
-    def covered(self, s: str) -> float:
-        """Share of characters in words of the dictionary, longest first from the left."""
+    def covered(self, s: str, words: set[str]) -> float:
+        """Share of characters in words, longest first from the left."""
         s, at, n = s.lower(), 0, 0
         while at < len(s):
             for size in range(min(16, len(s) - at), 2, -1):
-                if s[at : at + size] in self.words:
+                if s[at : at + size] in words:
                     at, n = at + size, n + size
                     break
             else:
                 at += 1
         return n / max(len(s), 1)
 
-    def features(self, match: str, before: str, after: str, path: str | None) -> list[float]:
+    def features(self, match: str, before: str, after: str, path: str | None, words: list[str] | None) -> list[float]:
+        known = set(words or ())
         n = len(match)
         counts = Counter(match)
         kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in match]
         share = Counter(kinds)
-        long = match[:256]
         path = (path or "").lower()
         near = f"{before} {after}"
         return [
             float(n), share["d"] / n, share["u"] / n, share["l"] / n, share["o"] / n, len(counts) / n,
             -sum(c / n * math.log2(c / n) for c in counts.values()),
             sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-            self.transition(long), self.covered(long),
+            self.transition(match), self.covered(match, known),
             float(max((len(x) for x in re.findall(r"[^\W\d_]+", match)), default=0)),
             float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", match))), float(bool(KNOWN.match(match))),
             float(bool(SECRET_NAME.search(before))), float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
             float(before[-1:] in ("'", '"', "`")), float(before[-1:].isalnum() or after[:1].isalnum() or after[:1] == "@" or before[-1:] == "@"),
             float(bool(re.search(r"conf|\.env|secret|deploy|\.ya?ml|\.ini", path))), float(bool(re.search(r"test|example|sample|doc", path))),
-            float(sum(w in self.words for w in re.findall(r"[^\W\d_]{3,}", near.lower()))), float(sum(c.isdigit() for c in near)),
+            float(sum(w in known for w in LETTERS.findall(near.lower()))), float(sum(c.isdigit() for c in near)),
             float(match.isdigit()), float(match.count(".")),
         ]
 
@@ -131,25 +144,57 @@ def rule_label(f: dict[str, float]) -> float | None:
     return None
 
 
-def described(found: DataFrame, language: Language) -> DataFrame:
+def with_words(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Findings with those words of the dictionary that stand in or beside each (words, null without any), by joins."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, *what in zip(*(batch.column(c).to_pylist() for c in ("content", "match", "before", "after")), strict=True):
+                for piece in pieces(*what):
+                    rows.append((k, piece))
+                    if len(rows) == PIECES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["content", "word"])
+                        rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[], []], kinds, strict=True)], ["content", "word"])
+
+    named = found.withColumn("content", F.xxhash64("match", "before", "after"))
+    parts = named.select("content", "match", "before", "after").dropDuplicates(["content"]).mapInArrow(cut, "content long, word string").distinct()
+    words = counts.where(F.col("count") >= WORD_LEAST).select("word")
+    return named.join(parts.join(words, "word").groupBy("content").agg(F.collect_list("word").alias("words")), "content", "left").drop("content")
+
+
+def described(found: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
     """Findings with features (f) and the label of the rules."""
-    shared = found.sparkSession.sparkContext.broadcast(language)  # DICTIONARY_WORDS words at most
+    shared = found.sparkSession.sparkContext.broadcast(language)  # under e^8 pairs for each letter of the alphabets
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shared.value.features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("match", "before", "after", "path")), strict=True)]
+            rows = [shared.value.features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("match", "before", "after", "path", "words")), strict=True)]
             labels = [rule_label(dict(zip(FEATURES, r, strict=True))) for r in rows]
+            batch = batch.drop_columns(["words"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.float64()), *(pa.array(np.array(rows).reshape(-1, len(FEATURES))[:, i]) for i in range(len(FEATURES)))], [*batch.schema.names, "rule", *(f"f_{c}" for c in FEATURES)])
 
-    return found.mapInArrow(describe, ", ".join([FINDING, "rule double", *(f"f_{c} double" for c in FEATURES)]))
+    return with_words(found, counts).mapInArrow(describe, ", ".join([FINDING, "rule double", *(f"f_{c} double" for c in FEATURES)]))
+
 
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (word, count) of all standing words of all documents, in lower case."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(STANDING), F.lit(0))).alias("word"))
+    return materialize(words.groupBy("word").count(), "secret-words")
 
-def learn_language(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = DICTIONARY_DOCUMENTS) -> Language:
-    """The commonest words of the documents with the smallest crc32 of key (ties by text), whole; words are counted by Spark."""
-    turn = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
-    sample = smallest(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")), turn, documents, docs.count(), "text")
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word")).groupBy("word").count()
-    return Language({r["word"]: r["count"] for r in words.orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect()})
+
+def learn_language(counts: DataFrame) -> Language:
+    """The transitions of all pairs of letters in all words.
+
+    Pairs that are RARE or below are not collected, as they count as RARE: each letter has fewer than e^8 others.
+    """
+    two = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
+    pairs = counts.select(F.explode(two).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n")).withColumn("first", F.substring("pair", 1, 1))
+    firsts = pairs.groupBy("first").agg(F.sum("n").alias("of"))
+    shares = pairs.join(firsts, "first").select("pair", F.log((F.col("n") + 0.1) / (F.col("of") + 3)).alias("share"))
+    return Language({r["pair"]: r["share"] for r in shares.where(F.col("share") > RARE).collect()})
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -160,13 +205,14 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     Null and empty texts have none; repeated rows have theirs each.
     """
     found = materialize(find(docs, key, text, path), "secret-candidates")
-    language = learn_language(docs, key, text)
-    rows = materialize(described(found, language), "secret-features")
+    counts = count_words(docs, text)
+    language = learn_language(counts)
+    rows = materialize(described(found, language, counts), "secret-features")
     columns = [f"f_{c}" for c in FEATURES]
     known = rows.where("rule is not null").select(F.col("rule").alias("label"), F.xxhash64("match", "before", "after").alias("turn"), *columns)
     if labelled is not None:
         given = labelled.select(F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), "match", "before", "after", "path", F.col("label").cast("double").alias("given"))
-        named = described(given.drop("given"), language).join(given.select("match", "before", "after", "given").distinct(), ["match", "before", "after"])
+        named = described(given.drop("given"), language, counts).join(given.select("match", "before", "after", "given").distinct(), ["match", "before", "after"])
         known = known.unionByName(named.select(F.col("given").alias("label"), F.xxhash64("match", "before", "after").alias("turn"), *columns))
     # The same number of either label at most, those with the smallest hashes; copies count once.
     known = materialize(known.dropDuplicates(["label", "turn"]), "secret-known")
