@@ -1,19 +1,20 @@
 """URL filtering by rules and, where none fits, by path templates of labelled purity.
 
 Each host has a tree of path templates. A node's segments are generalised into a wildcard when they vary (numbers,
-hashes, dates, long slugs; or more distinct segments than a node keeps by name) and branches of one parent that are
-statistically alike are merged into a wildcard too: those whose shares of next segments differ little (Hellinger
-distance) and whose labelled purity does not differ significantly (a branch that leans to bad keeps its name). A template is rejected when the smoothed share
-of good pages among its labelled ones is low; smoothing starts from the host's share, and that from all pages'.
+hashes, dates, long slugs) and branches of one parent that are statistically alike are merged into a wildcard too:
+those whose shares of next segments differ little from all branches' (Hellinger distance, beyond what a branch of few
+pages has by chance) and whose labelled purity does not differ significantly. A branch that leans to bad keeps its
+name. All branches are tested, however many a node has. A template is rejected when the smoothed share of good pages
+among its labelled ones is low; smoothing starts from the host's share, and that from all pages'.
 
 Levels are built one after another with aggregations over (host, template) pairs. Rows of a hot host are
-pre-aggregated by distinct template before anything is compared, and pairs of branches are compared per parent only
-after names are bounded, so no step grows with the square of a host.
+pre-aggregated by distinct template before anything is compared, and a branch is compared with its parent's sums and
+not with its siblings, so no step grows with the square of a host.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.shared import materialize
@@ -22,8 +23,6 @@ from trackmill.shared import materialize
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Segments of a path that templates tell apart; the rest of a longer path is one wildcard.
 DEPTH = 6
-#: Named segments below a node, at most; the others are a wildcard.
-NAMES = 24
 #: Smoothing weight of the host's share, in pages; and of the share of all pages in a host's.
 WEIGHT = 8.0
 REJECT_BELOW = 0.5
@@ -59,7 +58,7 @@ def segment_shape(s: Column) -> Column:
     return F.when(varies, F.lit(WILD)).otherwise(s)
 
 
-def templates(pages: DataFrame, depth: int = DEPTH, names: int = NAMES, distance: float = DISTANCE, errors: float = ERRORS) -> DataFrame:
+def templates(pages: DataFrame, depth: int = DEPTH, distance: float = DISTANCE, errors: float = ERRORS) -> DataFrame:
     """Rows (host, raw, template) for each distinct raw path shape, generalised. pages: (host, path, label).
 
     label: 1 good, 0 bad, null unknown. raw: the path's segments by shape, as an array of depth segments at most.
@@ -71,23 +70,24 @@ def templates(pages: DataFrame, depth: int = DEPTH, names: int = NAMES, distance
         parent = ["host", "template"]
         at = shapes.withColumn("seg", F.when((F.size("raw") > level) | (F.size("raw") == level), seg).otherwise(F.lit(""))).withColumn("next", later)
         stats = at.groupBy(*parent, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-        rank = F.row_number().over(Window.partitionBy(*parent).orderBy(F.desc("n"), "seg"))
         # Branches that lean to bad keep their names, so that a wildcard never mixes them with the others.
         leans = (F.coalesce("good", F.lit(0)) + 1) / (F.col("labelled") + 1) >= REJECT_BELOW
-        # A limit by rank is applied in every task before rows are dealt: a node with very many segments passes on a few.
-        named = stats.where(~F.col("seg").isin(WILD, REST, LEAF, "")).withColumn("rank", rank).where(F.col("rank") <= names)
+        named = stats.where(~F.col("seg").isin(WILD, REST, LEAF, ""))
         bad = named.where(~leans).select(*parent, "seg", F.lit(True).alias("own"))
         named = named.where(leans)
         # Compare each other named branch with all of them together: shares of next segments, and purity.
         kinds = at.groupBy(*parent, "seg", "next").agg(F.sum("n").alias("m")).join(named.select(*parent, "seg", F.col("n").alias("of")), [*parent, "seg"])
         whole = kinds.groupBy(*parent).agg(F.sum("m").alias("all"))
         pooled = kinds.groupBy(*parent, "next").agg(F.sum("m").alias("pm")).join(whole, parent).withColumn("share", F.col("pm") / F.col("all"))
+        varied = pooled.groupBy(*parent).agg(F.count("*").alias("kinds"))
         alike = kinds.join(pooled, [*parent, "next"]).groupBy(*parent, "seg").agg(F.sum(F.sqrt(F.col("m") / F.col("of") * F.col("share"))).alias("affinity"))
-        all_of = Window.partitionBy(*parent)
-        branch = named.join(alike, [*parent, "seg"]).withColumn("ln", F.sum("labelled").over(all_of)).withColumn("gn", F.sum(F.coalesce("good", F.lit(0))).over(all_of)).withColumn("branches", F.count("*").over(all_of))
+        sums = named.groupBy(*parent).agg(F.sum("labelled").alias("ln"), F.sum(F.coalesce("good", F.lit(0))).alias("gn"), F.count("*").alias("branches"))
+        branch = named.join(alike, [*parent, "seg"]).join(sums.join(varied, parent), parent)
         share = (F.col("gn") + 1) / (F.col("ln") + 2)
         off = F.abs(F.coalesce("good", F.lit(0)) - F.col("labelled") * share) / F.sqrt(F.greatest(F.col("labelled") * share * (1 - share), F.lit(0.25)))
-        merged = branch.withColumn("merge", (F.col("branches") > 1) & (F.sqrt(F.greatest(1 - F.col("affinity"), F.lit(0.0))) <= distance) & (off <= errors))
+        # A sample of n pages is off its own pool by (kinds - 1) / 8n in squared distance, on average.
+        chance = (F.col("kinds") - 1) / (8 * F.col("n"))
+        merged = branch.withColumn("merge", (F.col("branches") > 1) & (1 - F.col("affinity") <= distance**2 + chance) & (off <= errors))
         kept = merged.where("not merge").select(*parent, "seg", F.lit(True).alias("own")).unionByName(bad)
         placed = at.join(kept, [*parent, "seg"], "left")
         name = F.when(F.col("seg").isin(LEAF, "", REST), F.col("seg")).when(F.col("own"), F.col("seg")).otherwise(F.lit(WILD))
