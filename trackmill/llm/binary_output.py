@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.tokens import encoder as shared_encoder
+from trackmill.llm.tokens import slices
 from trackmill.shared import materialize, new_path
 
 HEAD, KEY = struct.Struct("<QI"), struct.Struct("<BqQ")
@@ -84,7 +85,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
         last = np.array([end_id], encoder.dtype)
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column("key").to_pylist()
             out, size = [], 0
             for k, ids in zip(keys, encoder.encode(batch.column("text").to_pylist()), strict=True):

@@ -26,12 +26,14 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK + (CHUNK >> 3))
-        for i, b in enumerate((_BASE, _UNBASE)):
-            _powers[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b & (1 << 64) - 1, np.uint64))])
-    return _powers[0], _powers[1]
+    """The first n powers or more of the base and of its inverse."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    kept = CHUNK + (CHUNK >> 3)
+    made = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, kept), b & (1 << 64) - 1, np.uint64))]) for b in (_BASE, _UNBASE)]
+    if n <= kept:
+        _powers[:] = made  # those of a longer text go when it is done
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

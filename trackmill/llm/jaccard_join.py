@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import mix, shingle_sets
+from trackmill.llm.tokens import slices
 from trackmill.operators.graph import connected_components
 from trackmill.shared import materialize
 
@@ -126,7 +127,7 @@ def set_rows(docs: DataFrame, size: int, num: int, den: int, key: str, text: str
     """Rows (key, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketches = [sketch(s, num, den) if len(s) else None for s in sets]
@@ -181,7 +182,7 @@ class JaccardJoin:
         size, (lows, plan) = self.size, self._plan()
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sigs, cids, held = [], [], 0
                 wanted = batch.column("digest").to_pylist()
                 for cid, want, values in zip(batch.column("cid").to_pylist(), wanted, shingle_sets(batch.column("text").to_pylist(), size), strict=True):
@@ -236,7 +237,7 @@ class JaccardJoin:
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: dict[int, np.ndarray] = {}
-            for batch in batches:
+            for batch in (part for whole in slices(batches, "text_a") for part in slices([whole], "text_b")):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 sets = dict(last)
                 need: dict[int, str] = {}
@@ -282,7 +283,7 @@ class JaccardJoin:
         size = self.size
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sets = shingle_sets(batch.column("text").to_pylist(), size)
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))

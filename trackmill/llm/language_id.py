@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import mix, powers
+from trackmill.llm.tokens import slices
 
 U = np.uint64
 #: Characters of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 18
+#: Words and n-grams whose counts a task holds while it fits, about.
+COUNTED = 1 << 19
 #: Labelled documents of each language that a model is fitted on, at most; those with the smallest hash of key are taken.
 FIT_DOCUMENTS = 3000
 #: Words and n-grams (of each order) kept for each language.
@@ -80,6 +83,16 @@ def grams(flat: Flat, rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndar
     return owner, span_hash(flat.value, at, at + order)
 
 
+def summed(hashes: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their numbers; more: hashes and numbers that are added."""
+    if more:
+        hashes, n = np.concatenate([hashes, more[0]]), np.concatenate([n, more[1]])
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.add.reduceat(n, first)
+
+
 @dataclass
 class Model:
     """Sorted hashes and, for each language, log10 frequencies; tables[0] has words, tables[n] n-grams of order n."""
@@ -158,7 +171,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     taken = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("rank") <= fit_documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+        for batch in slices(batches, limit=2 * CHUNK):
             names, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for name in sorted(set(names)):
                 flat = flatten([t for t, x in zip(texts, names, strict=True) if x == name])
@@ -166,8 +181,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     continue
                 for order in range(max_order + 1):
                     hashes = flat.word if not order else grams(flat, np.arange(len(flat.word)), order)[1]
-                    values, n = np.unique(hashes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.full(len(values), order)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "order", "hash", "n"])
+                    size -= len(held.get((name, order), [()])[0])
+                    held[name, order] = summed(hashes, np.ones(len(hashes), np.int64), *held.get((name, order), ()))
+                    size += len(held[name, order][0])
+            if size > COUNTED:
+                yield from (counted(*k, *v) for k, v in held.items())
+                held, size = {}, 0
+        yield from (counted(*k, *v) for k, v in held.items())
+
+    def counted(name: str, order: int, values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.full(len(values), order)), pa.array(values.view(np.int64)), pa.array(n)], ["lang", "order", "hash", "n"])
 
     counts = taken.select("lang", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(count, "lang string, order long, hash long, n long").groupBy("lang", "order", "hash").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "hash"))).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "order")))
@@ -196,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             found = list(shared.value.predict([t or "" for t in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*others, "lang_pred", "score"])
 
@@ -209,7 +232,7 @@ def in_known_language(docs: DataFrame, model: Model, text: str = "text", least:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             found = shared.value.predict([t or "" for t in batch.column(text).to_pylist()])
             yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.tokens import encoder as shared_encoder
+from trackmill.llm.tokens import slices
 from trackmill.shared import materialize
 
 
@@ -87,7 +88,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
         last = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list[int | None]] = [[] for _ in range(5)]
             for k, ids in zip(batch.column("key").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 ids, start = np.concatenate([ids.astype("<u4"), last]), 0

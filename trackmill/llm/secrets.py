@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.sampling import smallest
+from trackmill.llm.tokens import slices
 from trackmill.shared import materialize
 
 #: Findings that the forest is fitted on, at most.
@@ -68,7 +69,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     """Rows (key, start, stop, match, before, after, path) of all candidates of all texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for k, t, p in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 rows += [(k, a, b, t[a:b], t[max(0, a - CONTEXT) : a], t[b : b + CONTEXT], p) for a, b in candidates(t or "")]

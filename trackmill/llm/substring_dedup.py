@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import MARKS, mix, words
-from trackmill.llm.tokens import chunks
+from trackmill.llm.tokens import chunks, slices
 from trackmill.shared import materialize
 
 U = np.uint64
@@ -108,7 +108,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: b
     """Rows (hash, key, copy, start, stop, words) of all spans; start and stop in bytes of UTF-8, copy a hash of the text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             for a, b in chunks(raw, CHUNK):
                 doc, _, _, count, start, stop, value = sentence_spans(raw[a:b], every_run=every_run)

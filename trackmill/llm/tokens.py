@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.zeros(256, bool)
@@ -26,7 +28,9 @@ LETTER[[*range(65, 91), *range(97, 123)]] = True
 CHUNK = 1 << 20
 #: Units of at most this many bytes and ids are kept.
 KEPT_BYTES, KEPT_IDS = 16, 8
-SLOT_BITS = 21
+SLOT_BITS = 19
+#: Bytes of text of a batch that a worker turns into Python objects at once.
+SLICE = 2 << 20
 FILLED = np.arange(KEPT_IDS) < np.arange(KEPT_IDS + 1)[:, None]
 _LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
@@ -49,6 +53,18 @@ def chunks(texts: Sequence[bytes], limit: int = CHUNK) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, in batches with about limit bytes in column: a batch of Spark's is bounded by rows alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(batch):
+            before = ends[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(ends, before + limit, "right")), begin + 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 class UnitEncoder:
     """Encodes texts into ids; strings of special tokens are ordinary text."""
 
