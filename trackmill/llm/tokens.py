@@ -3,7 +3,8 @@
 Both vocabularies used here split a text at every change from a word to white space before they merge
 bytes, so a text's ids are its units' ids in order. A task looks units up in a table of fixed size, by all
 their bytes, and has the library encode those that are not there. Texts with unusual white space, on which
-regex dialects disagree, are encoded whole.
+regex dialects disagree, and those that hold the string of a special token are encoded whole. Ids are those of the
+library with add_special_tokens=False and nothing else set: a special token's string in a text is that token.
 """
 
 from __future__ import annotations
@@ -66,14 +67,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 class UnitEncoder:
-    """Encodes texts into ids; strings of special tokens are ordinary text."""
+    """Encodes texts into ids as the library does."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         n = 1 << SLOT_BITS
         self.low, self.high, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
@@ -89,7 +91,7 @@ class UnitEncoder:
             yield from self._chunk(raw[a:b], texts[a:b])
 
     def _chunk(self, raw: list[bytes], texts: Sequence[str]) -> list[np.ndarray]:
-        whole = {i: np.array(self._library([t])[0], self.dtype) for i, t in enumerate(texts) if ODD_SPACE.search(t)}
+        whole = {i: np.array(self._library([t])[0], self.dtype) for i, t in enumerate(texts) if self.whole.search(t)}
         buf = b"".join([b"" if i in whole else r for i, r in enumerate(raw)])
         lengths = np.array([0 if i in whole else len(r) for i, r in enumerate(raw)], np.int64)
         if not buf:
