@@ -44,7 +44,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=3)
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
