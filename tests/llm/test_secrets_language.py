@@ -1,5 +1,7 @@
 """Dictionary and transitions cover all documents, and a match is described whole."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from trackmill.llm import secrets as S
@@ -43,3 +45,31 @@ def test_long_match_is_described_whole(spark, monkeypatch):
     long = "x1" * 150 + "-heating" * 100
     got = features(spark, monkeypatch, [(1, long), (2, "heating heating")])
     assert abs(got[1]["f_covered"] - 700 / len(long)) < 1e-9
+
+
+def test_candidates_without_digits_and_in_long_texts(spark):
+    mixed, other = "aBcDeFgHiJkLmNoPqRsT", "getUseraccountinformation"
+    long = "word " * 700_000
+    rows = [(1, f"x {mixed} y {other} z"), (2, long + "password=135299847ac0e0f0dc " + long), (3, None), (4, "")]
+    found = S.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # By hand: the run whose case changes often, and the assigned value behind 3.5 million characters.
+    assert {(r["key"], r["match"], r["start"]) for r in found} == {(1, mixed, 2), (2, "135299847ac0e0f0dc", len(long) + len("password="))}
+
+
+def test_boundary_of_what_can_be_fitted(spark):
+    rows = lambda n: [(i, f"password={hashlib.md5(b'%d' % i).hexdigest()} b 10.0.{i}.201:8080 c") for i in range(1, n + 1)]
+    few = S.scan_secrets(spark.createDataFrame(rows(S.FIT_LEAST - 1), "doc_id long, text string")).collect()
+    assert len(few) == S.FIT_LEAST - 1 and {r["score"] for r in few} == {1.0}
+    enough = S.scan_secrets(spark.createDataFrame(rows(S.FIT_LEAST), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in enough} == set(range(1, S.FIT_LEAST + 1))
+
+
+def test_held_out_findings(spark):
+    import random
+
+    from tests.llm.test_secrets import corpus
+
+    rows, _ = corpus(random.Random(7), 700)
+    got = {(r["label"], r["found"]): r["n"] for r in S.held_out(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")).collect()}
+    right, wrong = got.get((1.0, True), 0), got.get((0.0, True), 0)
+    assert right > 20 and right >= 0.95 * (right + wrong) and got.get((1.0, False), 0) <= 0.1 * right

@@ -1,13 +1,16 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of 12 key-like characters or more with a digit in them, and values assigned to a name that
-sounds secret. A forest sees a candidate's length, its mix of characters and their transitions, how much of it
-words of a dictionary cover, the path (source) it stands in and the words beside it. It is trained on labelled
-findings: given ones, or those that labelling rules are sure of in this table (known key formats and values
-assigned to secret names against plain numbers, addresses and wordy runs); the rest are left unlabelled and the
-forest decides. The dictionary and the letter transitions come from all documents: words and pairs of letters are
-counted by Spark, and the words that a finding may hold are joined to it, so the dictionary has no limit. Only the
-forest is fitted on a bounded sample, of labelled findings; candidates come from every text, whole.
+Candidates are runs of 12 key-like characters or more with a digit in them, runs of 16 letters or more whose case
+changes often, and values assigned to a name that sounds secret. A forest sees a candidate's length, its mix of
+characters and their transitions, how much of it words of a dictionary cover, the path (source) it stands in and the
+words beside it. It is trained on labelled findings: given ones, or those that labelling rules are sure of in this
+table (known key formats and values assigned to secret names against plain numbers, addresses and wordy runs); the
+rest are left unlabelled and the forest decides. Whether a format is known or a name sounds secret is evidence for
+labels alone: the forest does not see it, and so cannot repeat the rules but has to find what their findings have in
+common. held_out tells how well it does on labelled findings that it was not fitted on. The dictionary and the letter
+transitions come from all documents: words and pairs of letters are counted by Spark, and the words that a finding may
+hold are joined to it, so the dictionary has no limit. Only the forest is fitted on a bounded sample, of labelled
+findings; candidates come from every text, whole.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +50,19 @@ ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([^\s"'<>]{6,})""")
 SECRET_NAME = re.compile(r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\w-]{0,12}[\"'\]]?\s{0,3}(?:is\s{0,2})?[:=]?\s{0,3}[\"']?$", re.IGNORECASE)
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})$")
 FINDING = "key long, start long, stop long, match string, before string, after string, path string"
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "class_changes", "transition", "covered", "longest_letters", "hex", "known_format", "secret_name", "assigned", "quoted", "glued", "path_config", "path_test", "words_near", "numbers_near", "all_digits", "dotted"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "class_changes", "transition", "covered", "longest_letters", "hex", "assigned", "quoted", "glued", "path_config", "path_test", "words_near", "numbers_near", "all_digits", "dotted"]
+#: What labels rest on, and the forest does not see.
+EVIDENCE = ["known_format", "secret_name"]
+
+
+def mixed(run: str) -> bool:
+    """Whether a run has 16 letters or more and changes from lower to upper case four times or more."""
+    return sum(map(str.isalpha, run)) >= 16 and sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False)) >= 4
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Places of candidates in a text, in code points, in order; one that lies in another is left out."""
-    found = [m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m[0]) or KNOWN.match(m[0])]
+    found = [m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m[0]) or KNOWN.match(m[0]) or mixed(m[0])]
     if "=" in text or ":" in text:
         found += [m.span(1) for m in ASSIGNED.finditer(text) if SECRET_NAME.search(text[max(0, m.start(1) - 40) : m.start(1)])]
     out: list[tuple[int, int]] = []
@@ -114,6 +124,7 @@ class Language:
         return n / max(len(s), 1)
 
     def features(self, match: str, before: str, after: str, path: str | None, words: list[str] | None) -> list[float]:
+        """The values of FEATURES, then of EVIDENCE."""
         known = set(words or ())
         n = len(match)
         counts = Counter(match)
@@ -127,12 +138,12 @@ class Language:
             sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
             self.transition(match), self.covered(match, known),
             float(max((len(x) for x in re.findall(r"[^\W\d_]+", match)), default=0)),
-            float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", match))), float(bool(KNOWN.match(match))),
-            float(bool(SECRET_NAME.search(before))), float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
+            float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", match))), float(bool(re.search(r"[:=]\s{0,3}[\"']?$", before))),
             float(before[-1:] in ("'", '"', "`")), float(before[-1:].isalnum() or after[:1].isalnum() or after[:1] == "@" or before[-1:] == "@"),
             float(bool(re.search(r"conf|\.env|secret|deploy|\.ya?ml|\.ini", path))), float(bool(re.search(r"test|example|sample|doc", path))),
             float(sum(w in known for w in LETTERS.findall(near.lower()))), float(sum(c.isdigit() for c in near)),
             float(match.isdigit()), float(match.count(".")),
+            float(bool(KNOWN.match(match))), float(bool(SECRET_NAME.search(before))),
         ]
 
 
@@ -167,17 +178,18 @@ def with_words(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def described(found: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
-    """Findings with features (f) and the label of the rules."""
+    """Findings with features and evidence (f_) and the label of the rules."""
+    names = [*FEATURES, *EVIDENCE]
     shared = found.sparkSession.sparkContext.broadcast(language)  # under e^8 pairs for each letter of the alphabets
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [shared.value.features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("match", "before", "after", "path", "words")), strict=True)]
-            labels = [rule_label(dict(zip(FEATURES, r, strict=True))) for r in rows]
+            labels = [rule_label(dict(zip(names, r, strict=True))) for r in rows]
             batch = batch.drop_columns(["words"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.float64()), *(pa.array(np.array(rows).reshape(-1, len(FEATURES))[:, i]) for i in range(len(FEATURES)))], [*batch.schema.names, "rule", *(f"f_{c}" for c in FEATURES)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.float64()), *(pa.array(np.array(rows).reshape(-1, len(names))[:, i]) for i in range(len(names)))], [*batch.schema.names, "rule", *(f"f_{c}" for c in names)])
 
-    return with_words(found, counts).mapInArrow(describe, ", ".join([FINDING, "rule double", *(f"f_{c} double" for c in FEATURES)]))
+    return with_words(found, counts).mapInArrow(describe, ", ".join([FINDING, "rule double", *(f"f_{c} double" for c in names)]))
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -198,13 +210,8 @@ def learn_language(counts: DataFrame) -> Language:
     return Language({r["pair"]: r["share"] for r in shares.where(F.col("share") > RARE).collect()})
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Rows (key, start, stop, match, score) of the candidates that the forest takes for secrets (places in code points).
-
-    labelled: findings with columns match, before, after, path and label (1: secret), beside those of the rules. With
-    fewer than FIT_LEAST of either label nothing can be fitted, and the rules' own secrets are returned (score 1).
-    Null and empty texts have none; repeated rows have theirs each.
-    """
+def _labelled(docs: DataFrame, key: str, text: str, path: str | None, labelled: DataFrame | None) -> tuple[DataFrame, DataFrame, VectorAssembler]:
+    """All candidates described, the bounded sample of labelled ones (label, turn, features), and the assembler of features."""
     found = materialize(find(docs, key, text, path), "secret-candidates")
     counts = count_words(docs, text)
     language = learn_language(counts)
@@ -219,14 +226,40 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     known = materialize(known.dropDuplicates(["label", "turn"]), "secret-known")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     few = [smallest(known.where(F.col("label") == x), F.pmod("turn", F.lit(2**32)), FIT_FINDINGS // 2, totals.get(x, 0), "turn") for x in (0.0, 1.0)]
-    sample = materialize(few[0].unionByName(few[1]), "secret-sample")
+    return rows, materialize(few[0].unionByName(few[1]), "secret-sample"), VectorAssembler(inputCols=columns, outputCol="features")
+
+
+def _forest(sample: DataFrame, assembler: VectorAssembler) -> Callable[[DataFrame], DataFrame] | None:
+    """What adds a score to described findings; None with fewer than FIT_LEAST of either label."""
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < FIT_LEAST:
-        return rows.where("rule = 1").select(F.col("key").alias(key), "start", "stop", "match", F.lit(1.0).alias("score"))
-    assembler = VectorAssembler(inputCols=columns, outputCol="features")
+        return None
     forest = RandomForestClassifier(labelCol="label", numTrees=40, maxDepth=7, featureSubsetStrategy="sqrt", seed=11).fit(assembler.transform(sample))
-    scored = forest.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
-    return scored.where(F.col("score") >= threshold).select(F.col("key").alias(key), "start", "stop", "match", "score")
+    return lambda rows: forest.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+
+
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Rows (key, start, stop, match, score) of the candidates that the forest takes for secrets (places in code points).
+
+    labelled: findings with columns match, before, after, path and label (1: secret), beside those of the rules. With
+    fewer than FIT_LEAST distinct findings of either label nothing can be fitted, and the rules' own secrets are
+    returned (score 1). A score equal to threshold is a secret's. Null and empty texts have none; repeated rows have
+    theirs each; null keys are kept as null. Other columns are not read.
+    """
+    rows, sample, assembler = _labelled(docs, key, text, path, labelled)
+    score = _forest(sample, assembler)
+    if score is None:
+        return rows.where("rule = 1").select(F.col("key").alias(key), "start", "stop", "match", F.lit(1.0).alias("score"))
+    return score(rows).where(F.col("score") >= threshold).select(F.col("key").alias(key), "start", "stop", "match", "score")
+
+
+def held_out(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Rows (label, found, n): of a quarter of the labelled findings (by hash), how many a forest fitted on the others finds. No rows where nothing can be fitted."""
+    _, sample, assembler = _labelled(docs, key, text, path, labelled)
+    quarter = F.pmod(F.xxhash64("turn"), F.lit(4)) == 0
+    score = _forest(sample.where(~quarter), assembler)
+    asked = sample.where(quarter) if score else sample.limit(0).withColumn("score", F.lit(0.0))
+    return (score(asked) if score else asked).groupBy("label", (F.col("score") >= threshold).alias("found")).agg(F.count("*").alias("n"))
 
 
 def redact_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", mark: str = "<secret>", **how) -> DataFrame:
