@@ -80,8 +80,8 @@ class RegularGrid:
         return out if fill is None else out.withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
-def infer_spacing(df: DataFrame, column: str, digits: int = 6) -> float | None:
-    """Smallest gap of sorted distinct values that occurs twice at least, else the smallest; None below two values."""
+def spacing_table(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    """One row (spacing): the smallest gap of sorted distinct values that occurs twice at least, else the smallest; null below two values."""
     from pyspark.sql import Window
 
     values = df.where(F.col(column).isNotNull()).select(F.round(column, digits).alias("v")).distinct()
@@ -90,8 +90,12 @@ def infer_spacing(df: DataFrame, column: str, digits: int = 6) -> float | None:
     before = last.withColumn("before", F.lag("top").over(Window.orderBy("p"))).select("p", "before")
     gap = F.col("v") - F.coalesce(F.lag("v").over(Window.partitionBy("p").orderBy("v")), "before")
     gaps = part.join(before, "p").select(F.round(gap, digits).alias("gap")).where("gap > 0").groupBy("gap").count()
-    row = gaps.agg(F.min(F.when(F.col("count") > 1, F.col("gap"))).alias("twice"), F.min("gap").alias("least")).first()
-    return row["twice"] if row["twice"] is not None else row["least"]
+    return gaps.agg(F.coalesce(F.min(F.when(F.col("count") > 1, F.col("gap"))), F.min("gap")).alias("spacing"))
+
+
+def infer_spacing(df: DataFrame, column: str, digits: int = 6) -> float | None:
+    """The spacing of spacing_table."""
+    return spacing_table(df, column, digits).first()["spacing"]
 
 
 def grid_from_centers(df: DataFrame, lon: str = "lon", lat: str = "lat") -> RegularGrid:

@@ -107,7 +107,8 @@ def permeability(points: DataFrame, matrix: DataFrame, radius_km: float, offsets
     met = radius_join(points.select("branch", "point", "lon", "lat", F.col("bearing").alias("along")), cells.select("lon", "lat", "dx", "dy", "transition_count"), radius_km)
     x, y = (F.radians(F.col("lon_r") - F.col("lon")) * F.cos(F.radians("lat")) * 6371.0, F.radians(F.col("lat_r") - F.col("lat")) * 6371.0)
     a = F.radians("along")
-    normal = lambda e, n: e * F.cos(a) - n * F.sin(a)  # noqa: E731  to the right of the bearing
+    # To the right of the bearing, to a millimetre: what lies on the line is not put on a side by rounding errors.
+    normal = lambda e, n: F.round(e * F.cos(a) - n * F.sin(a), 6)
     rows = met.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumns({"d0": normal(x, y) - F.col("offset"), "d1": normal(x + F.col("dx_r"), y + F.col("dy_r")) - F.col("offset")})
     n = F.col("transition_count_r")
     out = rows.groupBy("branch", "point", "offset").agg(F.sum(n).alias("n"), F.sum(F.when((F.col("d0") < 0) & (F.col("d1") >= 0), n).otherwise(0)).alias("to_right"), F.sum(F.when((F.col("d0") >= 0) & (F.col("d1") < 0), n).otherwise(0)).alias("to_left"))

@@ -33,8 +33,25 @@ def max_group_member(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.col("group_member") <= k)
 
 
-def truncate_at_first_invalid(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
-    """Rows of each trajectory before its first without a position."""
+def group_member(df: DataFrame, k: int) -> DataFrame:
+    return df.where(F.col("group_member") == k)
+
+
+def at_sea(df: DataFrame, flags: tuple[int, ...] = (1,), column: str = "at_sea") -> DataFrame:
+    """Rows whose whole-number flag is one of flags."""
+    return df.where(F.col(column).isin(*flags))
+
+
+def finite_fixes(df: DataFrame) -> DataFrame:
+    """Rows with a time and finite positions."""
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return df.where(F.col("time").isNotNull() & fine("lon") & fine("lat"))
+
+
+def truncate_at_first_invalid(df: DataFrame, keys=("trajectory",), order: str = "obs", only_invalid: bool = False) -> DataFrame:
+    """Rows of each trajectory before its first without a position; only_invalid: all rows with one."""
+    if only_invalid:
+        return df.where("lon is not null and lat is not null")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     bad = F.col("lon").isNull() | F.col("lat").isNull()
     return df.withColumn("__bad", F.max(bad).over(w)).where("not __bad").drop("__bad")
@@ -128,11 +145,18 @@ def convert_lon(df: DataFrame, positive: bool, lon: str = "lon") -> DataFrame:
     return df.withColumn(lon, wrap_lon(F.col(lon), 0.0 if positive else -180.0))
 
 
-def drogued_period(df: DataFrame, min_length: float, platform: str = "platform") -> DataFrame:
-    """Platforms with a long enough drogue; rows before it was lost, or up to the end where it was not."""
+def drogued_period(df: DataFrame, min_length: float, platform: str = "platform", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Platforms with a long enough drogue; rows before it was lost, or up to the end date where it was not.
+
+    start, end: columns with a platform's first and last dates, where there are any.
+    """
     w = Window.partitionBy(platform)
     rows = df.withColumns({"__len": F.max("drogue_length").over(w), "__lost": F.min("drogue_lost").over(w)})
-    return rows.where((F.col("__len") >= min_length) & (F.col("__lost").isNull() | (F.col("time") < F.col("__lost")))).drop("__len", "__lost")
+    since = F.lit(True) if start is None else F.coalesce(F.col("time") >= F.min(start).over(w), F.lit(True))
+    until = F.lit(True) if end is None else F.coalesce(F.col("time") <= F.max(end).over(w), F.lit(True))
+    rows = rows.withColumns({"__since": since, "__until": until})
+    kept = F.when(F.col("__lost").isNotNull(), F.col("time") < F.col("__lost")).otherwise(F.col("__until"))
+    return rows.where((F.col("__len") >= min_length) & F.col("__since") & kept).drop("__len", "__lost", "__since", "__until")
 
 
 def clip_before(df: DataFrame, date: str, keys) -> DataFrame:
@@ -150,11 +174,21 @@ def select_by_region(df: DataFrame, inside: Column, mode: str, keys=("trajectory
     return df.withColumn("__keep", keep).where("__keep").drop("__keep")
 
 
+def mode_of_gaps(counts: DataFrame) -> DataFrame:
+    """Gaps between neighbouring distinct times (t) with their numbers; ranges of times are sorted apart."""
+    from trackmill.operators.segments import numbered
+
+    placed = numbered(counts, ["t"], "place")
+    after = placed.select((F.col("place") + 1).alias("place"), F.col("t").alias("before"))
+    return placed.join(after, "place").select((F.col("t") - F.col("before")).alias("gap")).groupBy("gap").count()
+
+
 def snap_times(df: DataFrame) -> DataFrame:
     """Times moved to a grid: its step is the modal gap of distinct times, its origin the commonest time."""
-    counts = df.groupBy(micros().alias("t")).count()
-    gaps = counts.withColumn("gap", F.col("t") - F.lag("t").over(Window.orderBy("t")))  # one row for each distinct time
-    step = gaps.where("gap > 0").groupBy("gap").count().orderBy(F.desc("count"), "gap").first()
+    from trackmill.shared import materialize
+
+    counts = materialize(df.where("time is not null").groupBy(micros().alias("t")).count(), "times")
+    step = mode_of_gaps(counts).where("gap > 0").orderBy(F.desc("count"), "gap").first()
     origin = counts.orderBy(F.desc("count"), "t").first()
     if step is None or origin is None:
         return df

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.functions.geo import floor_mod, haversine
+from trackmill.functions.geo import floor_mod, haversine, local_xy
 from trackmill.functions.grid import AGGREGATES, RegularGrid
 from trackmill.operators.cleaning import micros
 from trackmill.operators.segments import DAY
@@ -25,8 +25,8 @@ def time_density(df: DataFrame, grid: RegularGrid, keys=("trajectory",), zero_fi
     active = df.groupBy("time").agg(F.count("*").alias("n_active"))
     cells = grid.assign(df).groupBy("time", "lon_bin", "lat_bin").agg(F.count("*").alias("n"))
     if zero_fill:
-        ever = cells.select("lon_bin", "lat_bin").distinct()  # cells of the grid at most
-        cells = active.select("time").crossJoin(F.broadcast(ever)).join(cells, ["time", "lon_bin", "lat_bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        ever = cells.select("lon_bin", "lat_bin").distinct()
+        cells = active.select("time").crossJoin(ever).join(cells, ["time", "lon_bin", "lat_bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = cells.join(active, "time").crossJoin(F.broadcast(total))  # total: one row
     return out.withColumns({"active_fraction": F.col("n") / F.col("n_active"), "total_fraction": F.col("n") / F.col("n_total")})
 
@@ -82,33 +82,52 @@ def alive_latitude_fraction(df: DataFrame, lat_min: float, lat_max: float, step:
     return out.select("time", "lat_bin", F.coalesce("n", F.lit(0)).alias("n"), "alive", F.when(F.col("alive") >= min_alive, F.coalesce("n", F.lit(0)) / F.col("alive")).alias("fraction"))
 
 
-def meridional_crossing(segments: DataFrame, points: DataFrame, grid: RegularGrid, keys=("trajectory",), order: str = "obs") -> DataFrame:
-    """Crossings of latitude lines (cell centres) by directional segments, in the longitude cell interpolated there.
+def meridional_crossing(segments: DataFrame, points: DataFrame, grid: RegularGrid, min_days: float = 0.0, min_degrees: float | None = None, reference: str = "center", keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """Crossings of latitude lines by directional segments, in the longitude cell interpolated there.
 
-    segments: rows (keys, segment, sign, first_obs, last_obs). A segment crosses each line between its ends once.
-    Rows (lat_bin, lon_bin, sign, crossings); steps that are flat to 1e-5 of their latitude are not searched.
+    segments: rows (keys, segment, sign, first_obs, last_obs), last_obs being the last step's first point. A segment
+    counts if it lasts min_days or spans min_degrees (a cell by default) or more. It crosses each line beyond its first
+    latitude, up to its last, once: on its first step that reaches the line; steps that are flat to 1e-5 of their
+    latitude are not searched. reference: lines are cell centres, or edges (of the cell that is entered).
+    Rows (lat_bin, lon_bin, sign, crossings, segments, probability): the last two for all segments of the sign.
     """
+    if reference not in ("center", "edge"):
+        raise ValueError(f"unknown reference: {reference}")
     w = Window.partitionBy(*keys).orderBy(order)
-    steps = points.withColumns({"lon1": F.lead("lon").over(w), "lat1": F.lead("lat").over(w)}).where("lat1 is not null")
-    flat = F.abs(F.col("lat1") - F.col("lat")) <= 1e-12 + 1e-5 * F.abs(F.col("lat"))
+    steps = points.withColumns({"lon1": F.lead("lon").over(w), "lat1": F.lead("lat").over(w), "t1": F.lead(micros()).over(w), "t0": micros()}).where("lat1 is not null")
     s = segments.select(*keys, "segment", "sign", "first_obs", "last_obs")
-    inside = steps.where(~flat).join(s, list(keys)).where((F.col(order) >= F.col("first_obs")) & (F.col(order) <= F.col("last_obs")))
-    position = lambda x: (x - grid.lat_min) / grid.lat_step - 0.5
-    low, high = position(F.least("lat", "lat1")), position(F.greatest("lat", "lat1"))
-    # A line on the far end of a step belongs to that step, one on its near end to the step before (or, at the start, to none twice).
-    first, last = F.ceil(low).cast("long"), F.floor(high).cast("long")
-    lines = _lines(inside, first, last, grid)
+    inside = steps.join(s, list(keys)).where((F.col(order) >= F.col("first_obs")) & (F.col(order) <= F.col("last_obs")))
+    own = Window.partitionBy(*keys, "segment")
+    whole = {"__start": F.min_by("lat", order).over(own), "__end": F.max_by("lat1", order).over(own), "__us": F.max("t1").over(own) - F.min("t0").over(own)}
+    spans = grid.lat_step if min_degrees is None else min_degrees
+    valid = inside.withColumns(whole).where((F.col("__us") >= int(min_days * DAY)) | (F.abs(F.col("__end") - F.col("__start")) >= spans))
+    flat = F.abs(F.col("lat1") - F.col("lat")) <= 1e-12 + 1e-5 * F.abs(F.col("lat"))
+    lines = _lines(valid.where(~flat), grid, reference)
     once = lines.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "segment", "lat_bin").orderBy(order))).where("__r = 1")
-    share = (grid.lat_center(F.col("lat_bin")) - F.col("lat")) / (F.col("lat1") - F.col("lat"))
+    share = (F.col("line") - F.col("lat")) / (F.col("lat1") - F.col("lat"))
     step = floor_mod(F.col("lon1") - F.col("lon") + 180.0, 360.0) - 180.0
     lon = grid.wrapped(F.col("lon") + share * step) if grid.periodic else F.col("lon") + share * step
     placed = once.withColumn("lon_bin", grid.lon_bin(lon)).where((F.col("lon_bin") >= 0) & (F.col("lon_bin") < grid.nx))
-    return placed.groupBy("lat_bin", "lon_bin", "sign").agg(F.count("*").alias("crossings"))
-
-
-def _lines(steps: DataFrame, first: Column, last: Column, grid: RegularGrid) -> DataFrame:
-    rows = steps.withColumns({"__a": F.greatest(first, F.lit(0).cast("long")), "__b": F.least(last, F.lit(grid.ny - 1).cast("long"))}).where("__a <= __b")
-    return rows.withColumn("lat_bin", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+    counted = valid.select(*keys, "segment", "sign").distinct().groupBy("sign").agg(F.count("*").alias("segments"))
+    crossings = placed.groupBy("lat_bin", "lon_bin", "sign").agg(F.count("*").alias("crossings"))
+    return crossings.join(counted, "sign").select("lat_bin", "lon_bin", "sign", "crossings", "segments", (F.col("crossings") / F.col("segments")).alias("probability"))
+
+
+def _lines(steps: DataFrame, grid: RegularGrid, reference: str) -> DataFrame:
+    """Steps with the lines that they reach (line, lat_bin), beyond the first latitude of their segment."""
+    shift = 0.5 if reference == "center" else 0.0
+    position = lambda x: (x - grid.lat_min) / grid.lat_step - shift
+    first, last = F.ceil(position(F.least("lat", "lat1")) - 1e-12).cast("long"), F.floor(position(F.greatest("lat", "lat1")) + 1e-12).cast("long")
+    # Lines by number: of centres one for each cell, of edges those of the cell that a segment going north or south enters.
+    north = F.col("sign") > 0
+    low, high = F.lit(0), F.lit(grid.ny - 1)
+    if reference == "edge":
+        low, high = F.when(north, 0).otherwise(1), F.when(north, grid.ny - 1).otherwise(grid.ny)
+    rows = steps.withColumns({"__a": F.greatest(first, low.cast("long")), "__b": F.least(last, high.cast("long"))}).where("__a <= __b")
+    rows = rows.withColumn("__k", F.explode(F.sequence("__a", "__b"))).withColumn("line", grid.lat_min + (F.col("__k") + shift) * grid.lat_step)
+    beyond = F.when(north, F.col("line") > F.col("__start") + 1e-12).otherwise(F.col("line") < F.col("__start") - 1e-12)
+    entered = F.col("__k") if reference == "center" else F.when(north, F.col("__k")).otherwise(F.col("__k") - 1)
+    return rows.where(beyond).withColumn("lat_bin", entered).drop("__a", "__b", "__k")
 
 
 def velocity_stats(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
@@ -139,3 +158,36 @@ def mode_region(df: DataFrame, label: str = "label", keys=("trajectory",)) -> Da
     counts = df.groupBy(*keys, label).agg(F.count(label).alias("n"))
     best = F.min_by(label, F.struct(-F.col("n"), label))
     return counts.groupBy(*keys).agg(best.alias("mode"))
+
+
+def exponent_grid(exponents: DataFrame, grid: RegularGrid, scale: str, value: str, lon: str = "lon", lat: str = "lat", release: str = "release_time", strict: bool = True) -> DataFrame:
+    """A value for each release time, scale and cell of its centre; where two rows have one of them an error, or null if not strict."""
+    rows = grid.assign(exponents, lon, lat).groupBy(release, scale, "lon_bin", "lat_bin").agg(F.first(value).alias(value), F.count("*").alias("__n"))
+    once = F.when(F.col("__n") == 1, F.col(value))
+    once = once.otherwise(F.raise_error(F.lit("two centres in one cell")).cast("double")) if strict else once
+    return rows.select(release, scale, "lon_bin", "lat_bin", once.alias(value))
+
+
+def velocity_components(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """Mean and population deviation of the steps' eastward and northward speeds in m/s, and of their size."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    dt = (micros() - F.lag(micros()).over(w)) / 1e6
+    x, y = local_xy("lon", "lat", F.lag("lon").over(w), F.lag("lat").over(w))
+    rows = df.select(dt.alias("dt"), x.alias("x"), y.alias("y")).where("dt > 0").select((F.col("x") * 1000 / F.col("dt")).alias("u"), (F.col("y") * 1000 / F.col("dt")).alias("v"))
+    rows = rows.withColumn("speed", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2))
+    return rows.agg(F.count("speed").alias("steps"), *(f(c).alias(f"{n}_{c}") for c in ("u", "v", "speed") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max))))
+
+
+def compare_velocity(a: DataFrame, b: DataFrame, keys=("trajectory",)) -> DataFrame:
+    """The statistics of two runs side by side, and the differences of their means (second less first)."""
+    left, right = (velocity_components(d, keys).select(*(F.col(c).alias(f"{c}_{s}") for c in ("steps", "mean_u", "mean_v", "mean_speed"))) for d, s in ((a, "a"), (b, "b")))
+    # One row on either side.
+    return left.crossJoin(right).withColumns({f"diff_{c}": F.col(f"mean_{c}_b") - F.col(f"mean_{c}_a") for c in ("u", "v", "speed")})
+
+
+def simulation_direction(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """One row: forward, backward or mixed, by the sign of each particle's first step, and how many particles have one."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumns({"__s": F.signum((F.lead(micros()).over(w) - micros()).cast("double")), "__r": F.row_number().over(w)}).where("__r = 1 and __s is not null")
+    name = F.when(F.min("__s") > 0, "forward").when(F.max("__s") < 0, "backward").otherwise("mixed")
+    return rows.agg(name.alias("direction"), F.count("*").alias("particles"))

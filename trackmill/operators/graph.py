@@ -18,9 +18,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     kind = edges.schema[src].dataType
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull().alias("a"), F.col(dst).isNotNull().alias("b"))
-    e = e.where("a and b").select(F.col("u").cast(kind), F.col("v").cast(kind))
+    # Written once: whatever made the edges is not run again for the nodes.
+    e = materialize(e.where("a and b").select(F.col("u").cast(kind), F.col("v").cast(kind)).distinct(), "edges")
     nodes = e.select(F.explode(F.array("u", "v")).alias("node"))
-    links = materialize(e.where("u != v").distinct(), "links")
+    links = e.where("u != v")
     while not _is_star_forest(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackmill.functions.geo import haversine
 from trackmill.functions.grid import RegularGrid
 from trackmill.operators.cleaning import micros
+from trackmill.operators.segments import numbered
 from trackmill.operators.spatial import inside_polygon, radius_join
 from trackmill.operators.transport import CELL
 
@@ -29,13 +30,12 @@ def connectivity_segments(summary: DataFrame, keys=("trajectory",)) -> DataFrame
 
 def snapshots(df: DataFrame, indices: list[int], time: str = "time") -> DataFrame:
     """Rows at the times with these places in the order of distinct times; negative ones count from the end; IndexError beyond."""
-    times = df.select(time).distinct()
+    times = numbered(df, [time], "frame")
     n = times.count()
     places = sorted({i + n if i < 0 else i for i in indices})
     if places and (places[0] < 0 or places[-1] >= n):
         raise IndexError(f"there are {n} times")
-    placed = times.withColumn("__i", F.row_number().over(Window.orderBy(time)) - 1)  # one row for each time
-    return df.join(placed.where(F.col("__i").isin(places)), time).withColumnRenamed("__i", "frame")
+    return df.join(times.where(F.col("frame").isin(places)).withColumn("frame", F.col("frame").cast("int")), time)
 
 
 def nearest_frame(df: DataFrame, wanted: Column, tolerance_us: int, time: str = "time") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.geo import RADIUS_QC, delta_lon, haversine, wrap_lon
 from trackmill.operators.cleaning import micros
+from trackmill.shared import materialize
 
 DAY = 86400 * 1_000_000
 
@@ -56,14 +57,33 @@ def split_on_qc(df: DataFrame, keep: Column, min_points: int, keys=("trajectory"
     return rows.withColumn("segment", (F.dense_rank().over(_w(keys, "__run")) - 1).cast("long")).select(*df.columns, "segment")
 
 
-def merge_segments(df: DataFrame, min_points: int, max_days: float, max_speed: float, keys=("trajectory",), order: str = "obs") -> DataFrame:
-    """Join adjacent segments of min_points or more when the gap between them is short and slow enough (km a day)."""
-    rows = gap_metrics(df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "segment"))), keys, order)
+def merge_boundaries(df: DataFrame, max_points: int | None = None, max_days: float | None = None, max_speed: float | None = None, max_vertical_rate: float | None = None, keys=("trajectory",), order: str = "obs", z: str | None = None) -> DataFrame:
+    """The first row of each segment but a trajectory's first, with what lies between it and the row before, and why they are joined or not.
+
+    order counts all rows, those that no segment holds as well: gap_points of them lie between. Bounds that are None
+    do not count; days (not negative), speed in m/s and vertical rate a day have to be known where they are bounded.
+    reason: merged, gap_points_too_large, gap_duration_too_large, bridge_speed_too_large or bridge_vertical_rate_too_large.
+    """
     w = _w(keys, order)
-    new = F.col("segment") != F.lag("segment").over(w)
-    joins = (F.least("__n", F.lag("__n").over(w)) >= min_points) & (F.col("gap_days") > 0) & (F.col("gap_days") <= max_days) & (F.col("speed_km_day") <= max_speed)
-    rows = rows.withColumn("__break", new & ~F.coalesce(joins, F.lit(False)))
-    return islands(rows, F.col("__break"), keys, order, "merged").select(*df.columns, "merged")
+    rows = gap_metrics(df.withColumn("__before", F.lag("segment").over(w)).withColumn("gap_points", F.greatest(F.col(order) - F.lag(order).over(w) - 1, F.lit(0))), keys, order, z)
+    rows = rows.where(F.col("segment") != F.col("__before")).drop("__before").withColumn("speed_m_s", F.col("speed_km_day") * 1000 / 86400)
+    beyond = lambda c, most: F.col(c).isNull() | (F.col(c) > most)
+    reason = F.lit("merged")
+    for bad, name in reversed([
+        (None if max_points is None else F.col("gap_points") > max_points, "gap_points_too_large"),
+        (None if max_days is None else beyond("gap_days", max_days) | (F.col("gap_days") < 0), "gap_duration_too_large"),
+        (None if max_speed is None else beyond("speed_m_s", max_speed), "bridge_speed_too_large"),
+        (None if max_vertical_rate is None else beyond("vertical_rate", max_vertical_rate), "bridge_vertical_rate_too_large"),
+    ]):
+        reason = reason if bad is None else F.when(bad, name).otherwise(reason)
+    return rows.withColumn("reason", reason)
+
+
+def merge_segments(df: DataFrame, max_points: int | None = None, max_days: float | None = None, max_speed: float | None = None, max_vertical_rate: float | None = None, keys=("trajectory",), order: str = "obs", z: str | None = None) -> DataFrame:
+    """Join neighbouring segments where merge_boundaries finds nothing too large: adds merged, numbered from 0."""
+    found = merge_boundaries(df, max_points, max_days, max_speed, max_vertical_rate, keys, order, z)
+    apart = found.where("reason != 'merged'").select(*keys, order, F.lit(True).alias("__break"))
+    return islands(df.join(apart, [*keys, order], "left"), F.col("__break"), keys, order, "merged").select(*df.columns, "merged")
 
 
 def directional_segments(df: DataFrame, threshold: float, column: str = "lat", keys=("trajectory",), order: str = "obs") -> DataFrame:
@@ -80,7 +100,15 @@ def directional_segments(df: DataFrame, threshold: float, column: str = "lat", k
 def rolling(df: DataFrame, column: str, size: int, how: str = "mean", keys=("trajectory",), order: str = "obs") -> DataFrame:
     """Centred rolling mean or median of size rows, fewer at the ends; an even window reaches one further back."""
     w = _w(keys, order).rowsBetween(-(size // 2), size - 1 - size // 2)
-    return df.withColumn(f"{column}_{how}", {"mean": F.avg, "median": F.median}[how](column).over(w))
+    return df.withColumn(f"{column}_{how}", F.avg(column).over(w) if how == "mean" else frame_median(column, w))
+
+
+def frame_median(column: str, frame) -> Column:
+    """Median of the values in a window's frame of a few rows; Spark has no median over frames. Null where there are none."""
+    values = F.sort_array(F.collect_list(column).over(frame))
+    n = F.size(values)
+    middle = lambda i: F.element_at(values, F.greatest(i, F.lit(1)))
+    return F.when(n > 0, (middle(F.floor((n + 1) / 2).cast("int")) + middle((F.floor(n / 2) + 1).cast("int"))) / 2)
 
 
 def contiguous_rolling_median(df: DataFrame, column: str, size: int, keys=("trajectory",), order: str = "obs") -> DataFrame:
@@ -88,7 +116,7 @@ def contiguous_rolling_median(df: DataFrame, column: str, size: int, keys=("traj
     rows = islands(df, F.col(column).isNull(), keys, order, "__run")
     half = size // 2
     w = Window.partitionBy(*keys, "__run", F.col(column).isNull()).orderBy(order).rowsBetween(-half, half)
-    return rows.withColumn(f"{column}_median", F.when(F.col(column).isNotNull(), F.median(column).over(w))).drop("__run")
+    return rows.withColumn(f"{column}_median", F.when(F.col(column).isNotNull(), frame_median(column, w))).drop("__run")
 
 
 def total_variation(df: DataFrame, column: str, keys=("trajectory",), order: str = "obs") -> DataFrame:
@@ -151,39 +179,57 @@ def unwrap_lon(df: DataFrame, keys=("trajectory",), order: str = "obs", lon: str
     return rows.withColumn(out, F.col(lon) + F.sum("__turn").over(run.rowsBetween(Window.unboundedPreceding, 0))).drop("__run", "__turn")
 
 
-def resample(df: DataFrame, step_seconds: int, anchor: str = "native", columns: tuple[str, ...] = (), end_point: bool = True, keys=("trajectory",)) -> DataFrame:
+def resample(df: DataFrame, step_seconds: int, anchor: str = "native", columns: tuple[str, ...] = (), end_point: bool = True, keys=("trajectory",), reference_us: int = 0, filled: tuple[str, ...] = ()) -> DataFrame:
     """Positions and columns on a regular time grid of each trajectory, linear in time; longitude is unwrapped before.
 
-    anchor: native (from each first time) or reference (multiples of the step since 1970). With end_point, the last
-    fix is kept too. Every fix makes the grid times from itself up to the next fix, so nothing is joined by ranges.
+    anchor: native (from each first time) or reference (from reference_us on, in microseconds since 1970, shared by
+    all). With end_point, the last fix is kept too. filled: columns that take the last value before, else the next
+    after. Every fix makes the grid times from itself up to the next fix, so nothing is joined by ranges.
     """
     step = step_seconds * 1_000_000
     rows = unwrap_lon(dedup(df, keys), keys, "time").withColumn("t", micros())
     w = Window.partitionBy(*keys).orderBy("t")
     values = ["lon_unwrapped", "lat", *columns]
-    origin = F.min("t").over(Window.partitionBy(*keys)) if anchor == "native" else F.lit(0)
-    rows = rows.withColumns({"t1": F.lead("t").over(w), "origin": origin, **{f"{c}_1": F.lead(c).over(w) for c in values}})
-    first = F.ceil((F.col("t") - F.col("origin")) / step).cast("long") * step + F.col("origin")
+    origin = F.min("t").over(Window.partitionBy(*keys)) if anchor == "native" else F.lit(reference_us)
+    last = {c: F.coalesce(F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing))) for c in filled}
+    rows = rows.withColumns({"t1": F.lead("t").over(w), "origin": origin, **{f"{c}_1": F.lead(c).over(w) for c in values}, **last})
+    first = F.greatest(F.ceil((F.col("t") - F.col("origin")) / step).cast("long"), F.lit(0)) * step + F.col("origin")
     stop = F.coalesce(F.col("t1") - 1, F.col("t"))
     on_grid = F.when(first <= stop, F.sequence(first, stop, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     times = F.when(F.lit(end_point) & F.col("t1").isNull(), F.array_union(on_grid, F.array("t"))).otherwise(on_grid)
     out = rows.withColumn("g", F.explode(times))
     share = (F.col("g") - F.col("t")) / (F.col("t1") - F.col("t"))
     linear = {c: F.when(F.col("g") == F.col("t"), F.col(c)).otherwise(F.col(c) + share * (F.col(f"{c}_1") - F.col(c))) for c in values}
-    fields = out.select(*keys, F.timestamp_micros("g").cast("timestamp_ntz").alias("time"), wrap_lon(linear["lon_unwrapped"]).alias("lon"), linear["lat"].alias("lat"), *(linear[c].alias(c) for c in columns))
+    fields = out.select(*keys, F.timestamp_micros("g").cast("timestamp_ntz").alias("time"), wrap_lon(linear["lon_unwrapped"]).alias("lon"), linear["lat"].alias("lat"), *(linear[c].alias(c) for c in columns), *filled)
     return fields.withColumn("obs", (F.row_number().over(Window.partitionBy(*keys).orderBy("time")) - 1).cast("long"))
 
 
+def shift_to_start(df: DataFrame, reference_us: int, keys=("trajectory",)) -> DataFrame:
+    """Times of each trajectory moved so that its first is reference_us (microseconds since 1970)."""
+    moved = micros() - F.min(micros()).over(Window.partitionBy(*keys)) + reference_us
+    return df.withColumn("time", F.timestamp_micros(moved).cast("timestamp_ntz"))
+
+
 def dedup(df: DataFrame, keys) -> DataFrame:
     from trackmill.operators.cleaning import dedup_times
 
     return dedup_times(df.where("time is not null and lon is not null and lat is not null"), keys)
 
 
+def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Distinct values of columns with their place in order, from 0. Ranges of them are sorted apart and start from the counts of those before."""
+    ranged = df.select(*columns).distinct().repartitionByRange(*columns)
+    # Written down, as ranges are drawn from a sample that another run could draw otherwise.
+    ranged = materialize(ranged.withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each partition
+    ahead = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*columns)) - 1 + F.col("__ahead")
+    return ranged.join(ahead, "__part").select(*columns, place.cast("long").alias(name))
+
+
 def renumber(df: DataFrame, keys: list[str], order: str = "time") -> DataFrame:
-    """Dense trajectory ids over keys and obs from 0. Ids come from the distinct keys alone: one small row each is sorted."""
-    ids = df.select(*keys).distinct().withColumn("new_id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    rows = df.join(ids, keys).withColumn("obs", (F.row_number().over(Window.partitionBy("new_id").orderBy(order)) - 1).cast("long"))
+    """Dense trajectory ids over keys, in their order, and obs from 0."""
+    rows = df.join(numbered(df, keys, "new_id"), keys).withColumn("obs", (F.row_number().over(Window.partitionBy("new_id").orderBy(order)) - 1).cast("long"))
     return rows.drop("trajectory").withColumnRenamed("new_id", "trajectory")
 
 

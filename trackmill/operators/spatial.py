@@ -12,6 +12,10 @@ from trackmill.functions.grid import RegularGrid
 from trackmill.operators.cleaning import micros
 
 
+#: Degrees of a tile that regions are dealt to.
+TILE = 10.0
+
+
 def _tiles(df: DataFrame, km: float, widen: bool) -> DataFrame:
     """Tile rows and columns of a position; with widen, of all tiles that a circle of km around it meets.
 
@@ -50,7 +54,7 @@ def cluster_strength(df: DataFrame, grid: RegularGrid, length_km: float, cutoff:
     weight = F.sum(F.col("n") * F.exp(-F.pow(F.col("km") / length_km, 2)))
     found = met.groupBy(frame, F.col("lon_bin_r").alias("lon_bin"), F.col("lat_bin_r").alias("lat_bin")).agg(weight.alias("strength"), F.sum("n").alias("particles"))
     frames = points.select(frame).distinct()
-    every = frames.crossJoin(F.broadcast(visited.select("lon_bin", "lat_bin")))  # cells of the grid at most
+    every = frames.crossJoin(visited.select("lon_bin", "lat_bin"))  # the result has a row for each of them
     return every.join(found, [frame, "lon_bin", "lat_bin"], "left").withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "particles": F.coalesce("particles", F.lit(0))})
 
 
@@ -88,12 +92,16 @@ def inside_polygon(lon: Column, lat: Column, polygon: Column) -> Column:
 def classify_points(points: DataFrame, regions: DataFrame, pick: str = "priority_max", keys: tuple[str, ...] = ("trajectory", "obs")) -> DataFrame:
     """points with label, numeric_label and n_regions of the regions that hold them (null and 0: none).
 
-    regions: (label, numeric_label, priority, x0, x1, y0, y1, polygon), rings in the points' longitudes; the bounding
-    box is tested first. pick: priority_max, priority_min, first or last, by (priority, numeric_label, label). The
-    catalogue is a small dimension table: it is broadcast only as far as Spark's own size threshold allows.
+    regions: (label, numeric_label, priority, x0, x1, y0, y1, polygon), rings in the points' longitudes. Regions are
+    dealt to the tiles that their boxes meet and joined with the points there, then box and ring are tested.
+    pick: priority_max, priority_min, first or last, by (priority, numeric_label, label).
     """
+    tile = lambda c: F.floor(c / TILE).cast("long")
+    over = lambda a, b: F.explode(F.sequence(tile(F.col(a)), tile(F.col(b))))
+    dealt = regions.withColumn("tile_x", over("x0", "x1")).withColumn("tile_y", over("y0", "y1"))
     box = (F.col("lon") >= F.col("x0")) & (F.col("lon") <= F.col("x1")) & (F.col("lat") >= F.col("y0")) & (F.col("lat") <= F.col("y1"))
-    held = points.select(*keys, "lon", "lat").join(regions, box & inside_polygon(F.col("lon"), F.col("lat"), F.col("polygon")))
+    placed = points.where("lon is not null and lat is not null").select(*keys, "lon", "lat", tile(F.col("lon")).alias("tile_x"), tile(F.col("lat")).alias("tile_y"))
+    held = placed.join(dealt, ["tile_x", "tile_y"]).where(box & inside_polygon(F.col("lon"), F.col("lat"), F.col("polygon")))
     name = F.struct("label", "numeric_label")
     order = {"priority_max": F.struct(-F.col("priority"), "numeric_label", "label"), "priority_min": F.struct("priority", "numeric_label", "label"), "first": F.struct("priority", "numeric_label", "label"), "last": F.struct(-F.col("priority"), -F.col("numeric_label"), "label")}[pick]
     best = held.groupBy(*keys).agg(F.min_by(name, order).alias("r"), F.count("*").alias("n_regions"))
@@ -132,3 +140,25 @@ def nearest_in_time(points: DataFrame, samples: DataFrame, value: str, keys: lis
     earlier = F.col("after").isNull() | (F.col("t") - F.col("before.t") <= F.col("after.t") - F.col("t"))
     best = rows.select(*by, *keys, F.when(F.col("before").isNotNull() & earlier, F.col("before.v")).otherwise(F.col("after.v")).alias(f"nearest_{value}"))
     return points.join(best, [*by, *keys])
+
+
+def sample_observations(points: DataFrame, samples: DataFrame, value: str, by: list[str], keys: list[str], index: str = "observation_index") -> DataFrame:
+    """Of samples equal in by (platform and depth bin), the value nearest in time, then in pressure, then first by index.
+
+    points: (by, keys, time, pressure), samples: (by, index, time, pressure, value). The nearest times come from one
+    pass over both, and only the samples of those times are joined. Points without a sample have nulls; rows
+    (by, keys, value, sample_days, sample_pressure): the differences to what was taken.
+    """
+    known = samples.where(F.col(value).isNotNull() & F.col("time").isNotNull()).select(*by, F.col(index).alias("__i"), micros().alias("__t"), F.col("pressure").alias("__p"), F.col(value).alias("__v"))
+    order = Window.partitionBy(*by).orderBy("t", "kind")
+    p = points.select(*by, *keys, micros().alias("t"), F.lit(1).alias("kind"), "pressure")
+    s = known.select(*by, *(F.lit(None).cast(points.schema[k].dataType).alias(k) for k in keys), F.col("__t").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("pressure"))
+    time = F.when(F.col("kind") == 0, F.col("t"))
+    # Samples stand before the points of their time, so one at the same time is the last before.
+    near = p.unionByName(s).withColumns({"before": F.last(time, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(time, True).over(order.rowsBetween(0, Window.unboundedFollowing))}).where("kind = 1")
+    least = F.least(F.col("t") - F.col("before"), F.col("after") - F.col("t"))
+    times = F.array_distinct(F.array_compact(F.array(F.when(F.col("t") - F.col("before") == least, F.col("before")), F.when(F.col("after") - F.col("t") == least, F.col("after")))))
+    met = near.select(*by, *keys, "t", "pressure", F.explode(times).alias("__t")).join(known, [*by, "__t"])
+    apart = F.abs(F.col("__p") - F.col("pressure"))
+    best = met.groupBy(*by, *keys).agg(F.min_by(F.struct("__v", F.abs(F.col("__t") - F.col("t")).alias("dt"), apart.alias("dp")), F.struct(F.coalesce(apart, F.lit(float("inf"))), "__i")).alias("b"))
+    return points.select(*by, *keys).join(best, [*by, *keys], "left").select(*by, *keys, F.col("b.__v").alias(value), (F.col("b.dt") / 86400e6).alias("sample_days"), F.col("b.dp").alias("sample_pressure"))

@@ -10,15 +10,28 @@ from pyspark.sql import functions as F
 from trackmill.functions.geo import bearing, delta_lon, entropy, wrap_lon
 from trackmill.functions.grid import RegularGrid
 from trackmill.operators.cleaning import micros
+from trackmill.operators.segments import resample
 
 COUNTS = ("start_lon_bin", "start_lat_bin", "end_lon_bin", "end_lat_bin")
 
 
-def source_timestep(df: DataFrame, keys=("trajectory",), order: str = "obs") -> float | None:
-    """Commonest positive time step in seconds, the smallest on a tie."""
+def timestep_table(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """One row (step_s): the commonest positive time step in seconds, the smallest on a tie; none without steps."""
     gap = (micros() - F.lag(micros()).over(Window.partitionBy(*keys).orderBy(order))).alias("gap")
-    row = df.select(gap).where("gap > 0").groupBy("gap").count().orderBy(F.desc("count"), "gap").first()
-    return row["gap"] / 1e6 if row else None
+    return df.select(gap).where("gap > 0").groupBy("gap").count().orderBy(F.desc("count"), "gap").limit(1).select((F.col("gap") / 1e6).alias("step_s"))
+
+
+def source_timestep(df: DataFrame, keys=("trajectory",), order: str = "obs") -> float | None:
+    """The step of timestep_table, None without one."""
+    row = timestep_table(df, keys, order).first()
+    return row["step_s"] if row else None
+
+
+def check_timestep(df: DataFrame, seconds: float, keys=("trajectory",)) -> None:
+    """ValueError where a step is longer than the source's and not a whole multiple of it."""
+    source = source_timestep(df, keys)
+    if source is not None and seconds > source and abs(seconds / source - round(seconds / source)) > 1e-9 * max(1.0, seconds / source):
+        raise ValueError(f"a step of {seconds} s is no multiple of the source's {source} s")
 
 
 def consecutive(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
@@ -27,6 +40,11 @@ def consecutive(df: DataFrame, keys=("trajectory",), order: str = "obs") -> Data
     return df.select(*keys, "lon", "lat", F.lead("lon").over(w).alias("lon1"), F.lead("lat").over(w).alias("lat1"))
 
 
+def regular_chain(df: DataFrame, seconds: int, keys=("trajectory",)) -> DataFrame:
+    """Steps that follow each other without overlap: from the first time on, every so many seconds, between interpolated points."""
+    return consecutive(resample(df, seconds, end_point=False, keys=keys), keys)
+
+
 def endpoints(df: DataFrame, seconds: int, keys=("trajectory",)) -> DataFrame:
     """From every row to where its trajectory is that much later: a fix there, else between the two fixes around it; none past the end."""
     step = seconds * 1_000_000

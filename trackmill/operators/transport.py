@@ -41,7 +41,7 @@ def validate_transitions(matrix: DataFrame, grid: RegularGrid) -> DataFrame:
         shifted = shifted | (F.abs(F.col(f"{s}_lon_center") - grid.lon_center(F.col(f"{s}_lon_bin"))) > 1e-9) | (F.abs(F.col(f"{s}_lat_center") - grid.lat_center(F.col(f"{s}_lat_bin"))) > 1e-9)
     w = Window.partitionBy(*START)
     rows = matrix.withColumns({"__n": F.sum("transition_count").over(w), "__p": F.sum("transition_probability").over(w), "__k": F.count("*").over(Window.partitionBy(*COUNTS))})
-    return rows.agg(F.count("*").alias("rows"), bad(n <= 0).alias("bad_count"), bad((p < 0) | (p > 1)).alias("bad_probability"), bad(off).alias("outside"), bad(shifted).alias("bad_center"), bad(F.col("__k") > 1).alias("repeated"), bad(F.abs(F.col("__p") - 1) > 1e-9).alias("bad_sum"), bad(F.abs(p - n / F.col("__n")) > 1e-9).alias("bad_share"))
+    return rows.agg(F.count("*").alias("rows"), bad(n <= 0).alias("bad_count"), bad((p < 0) | (p > 1)).alias("bad_probability"), bad(off).alias("outside"), bad(shifted).alias("bad_center"), bad(F.col("__k") > 1).alias("repeated"), bad(F.abs(F.col("__p") - 1) > 1e-9).alias("bad_sum"), bad(F.abs(p - n / F.nullif(F.col("__n"), F.lit(0))) > 1e-9).alias("bad_share"))
 
 
 def support_fields(matrix: DataFrame) -> DataFrame:

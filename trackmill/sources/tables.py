@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 CORE = ("trajectory", "obs", "time", "lon", "lat")
 
 
@@ -34,7 +35,8 @@ def save_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: tu
     if kind == "parquet":
         writer.parquet(path)
     elif kind == "csv":
-        writer.option("header", True).csv(path)
+        # Microseconds: Spark's own format stops at milliseconds.
+        writer.option("header", True).option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS).csv(path)
     else:
         raise ValueError(f"unknown kind of table: {kind}")
 
@@ -156,3 +158,55 @@ def write_lines_geojson(df: DataFrame, path: str, line: str, order: str, lon: st
     shape = F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda x: F.array(x[lon], x[lat])).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(line, "part", *properties).alias("properties"), shape.alias("geometry"))
     parts.where(F.size("p") >= 2).select(F.to_json(feature).alias("value")).write.text(path)
+
+
+def float_rows(raw: DataFrame, fields: dict[str, tuple[str, ...]], keep: tuple[str, ...] = ("platform_code", "cycle_number", "source_index")) -> DataFrame:
+    """One row a measurement of a float: each field from the first of its columns with a value (adjusted before raw), and <field>_source, the column it came from.
+
+    Columns that the table lacks are passed over; KeyError where it has none of a field's.
+    """
+    out = require_columns(raw, keep)
+    found = {f: [c for c in names if c in raw.columns] for f, names in fields.items()}
+    if missing := [f for f, names in found.items() if not names]:
+        raise KeyError(f"no column for: {', '.join(missing)}")
+    source = {f"{f}_source": F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in names)) for f, names in found.items()}
+    return out.select(*keep, *(F.coalesce(*names).alias(f) for f, names in found.items()), *(c.alias(k) for k, c in source.items()))
+
+
+def finalize_trajectory(df: DataFrame, depth: str = "depth", internal: tuple[str, ...] = (), keys: tuple[str, ...] = ("trajectory",)) -> DataFrame:
+    """depth becomes z, internal columns go, and each trajectory's rows stand together in order of time."""
+    return df.withColumnRenamed(depth, "z").drop(*internal).repartition(*keys).sortWithinPartitions(*keys, "time")
+
+
+def with_codes(df: DataFrame, codes: DataFrame, key: str, code: str, missing: int | None = None) -> DataFrame:
+    """df with the code of each key from a table of (key, code); missing where it has none."""
+    joined = df.join(codes.select(key, code), key, "left")
+    return joined if missing is None else joined.withColumn(code, F.coalesce(code, F.lit(missing)))
+
+
+def write_by_bin(df: DataFrame, path: str, column: str = "depth_bin", keys: tuple[str, ...] = ("trajectory",)) -> None:
+    """A folder for each bin that has rows, with trajectory ids and obs numbered from 0 in each."""
+    from trackmill.operators.segments import numbered
+
+    rows = df.where(F.col(column).isNotNull())
+    ids = numbered(rows, [column, *keys], "__id")
+    first = ids.groupBy(column).agg(F.min("__id").alias("__first"))
+    placed = ids.join(first, column).select(column, *keys, (F.col("__id") - F.col("__first")).alias("__new"))
+    obs = (F.row_number().over(Window.partitionBy(column, "__new").orderBy("time")) - 1).cast("long")
+    out = rows.join(placed, [column, *keys]).withColumn("obs", obs).drop("trajectory").withColumnRenamed("__new", "trajectory")
+    out.write.partitionBy(column).parquet(path)
+
+
+def externalize_names(df: DataFrame, length: str, rate: str) -> DataFrame:
+    """Internal names to public ones: _length and _rate endings become those of their units, leading x_ and y_ lon_ and lat_."""
+    named = {}
+    for c in df.columns:
+        new = c.removesuffix("_length") + f"_{length}" if c.endswith("_length") else c.removesuffix("_rate") + f"_{rate}" if c.endswith("_rate") else c
+        named[c] = "lon_" + new[2:] if new.startswith("x_") else "lat_" + new[2:] if new.startswith("y_") else new
+    return df.withColumnsRenamed(named)
+
+
+def numeric_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Number and truth columns alone (and keep), as cross sections are exported."""
+    kinds = (T.NumericType, T.BooleanType)
+    return df.select(*(f.name for f in df.schema if isinstance(f.dataType, kinds) or f.name in keep))
