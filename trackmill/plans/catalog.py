@@ -246,9 +246,9 @@ def _(t):
     return S.release_age(t).select("trajectory", "obs", "release_time", "age_us")
 
 
-@query("renumber", "SELECT dense_rank() OVER (ORDER BY trajectory) - 1 AS trajectory, row_number() OVER (PARTITION BY trajectory ORDER BY time, obs) - 1 AS obs, time, lon, lat FROM {t} WHERE event_id % 3 = 0", "regular")
+@query("renumber", "SELECT dense_rank() OVER (ORDER BY trajectory) - 1 AS trajectory, row_number() OVER (PARTITION BY trajectory ORDER BY time, obs) - 1 AS obs, time, lon, lat FROM {t}", "regular")
 def _(t):
-    return S.renumber(t.where("event_id % 3 = 0"), ["trajectory"]).select("trajectory", "obs", "time", "lon", "lat")
+    return S.renumber(t, ["trajectory"]).select("trajectory", "obs", "time", "lon", "lat")
 
 
 # Diagnostics
@@ -314,9 +314,9 @@ def _(t):
     return rounded(D.velocity_stats(t), 6, "mean_speed", "std_speed", "max_speed")
 
 
-@query("counts_per_time", "SELECT time, count(*) AS n_raw, count(CASE WHEN event_id % 4 != 0 THEN 1 END) AS n_cleaned FROM {t} GROUP BY time", "regular")
+@query("counts_per_time", "SELECT time, count(*) AS n_raw, count(CASE WHEN z BETWEEN 50 AND 400 THEN 1 END) AS n_cleaned FROM {t} GROUP BY time", "regular")
 def _(t):
-    return D.counts_per_time(t, t.where("event_id % 4 != 0"))
+    return D.counts_per_time(t, C.valid_range(t, "z", 50.0, 400.0))
 
 
 @query("mode_region", "SELECT trajectory, min_by(event_type, struct_pack(a := -n, b := event_type)) AS mode FROM (SELECT trajectory, event_type, count(*) AS n FROM {t} GROUP BY ALL) GROUP BY trajectory")
@@ -324,9 +324,24 @@ def _(t):
     return D.mode_region(t, "event_type")
 
 
-@query("meridional_crossing", None)
+CROSSING = """WITH i AS (SELECT *, sum(b) OVER (PARTITION BY trajectory ORDER BY obs) AS segment FROM (SELECT *, CASE WHEN sign != lag(sign) OVER (PARTITION BY trajectory ORDER BY obs) THEN 1 ELSE 0 END AS b
+      FROM (SELECT *, CASE WHEN lat1 - lat > 0.2 THEN 1 WHEN lat1 - lat < -0.2 THEN -1 ELSE 0 END AS sign FROM (SELECT trajectory, obs, time, lon, lat, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1, lead(time) OVER w AS time1 FROM {t} WINDOW w AS (PARTITION BY trajectory ORDER BY obs)) WHERE lat1 IS NOT NULL))),
+    v AS (SELECT trajectory, segment, any_value(sign) AS sign, arg_min(lat, obs) AS a, arg_max(lat1, obs) AS z FROM i WHERE sign != 0 GROUP BY trajectory, segment HAVING epoch_us(max(time1)) - epoch_us(min(time)) >= 2 * 86400000000 OR abs(arg_max(lat1, obs) - arg_min(lat, obs)) >= {span}),
+    c AS (SELECT v.*, k.range AS k, {line} AS y FROM v CROSS JOIN range({lines}) k),
+    d AS (SELECT * FROM c WHERE (sign = 1 AND y > a + 1e-12 AND y <= z + 1e-12 AND k < 36) OR (sign = -1 AND y < a - 1e-12 AND y >= z - 1e-12 AND k >= {south})),
+    m AS (SELECT d.sign, d.k, d.y, i.lon + (d.y - i.lat) / (i.lat1 - i.lat) * (i.lon1 - i.lon + 180 - 360 * floor((i.lon1 - i.lon + 180) / 360) - 180) AS x FROM d JOIN i ON i.trajectory = d.trajectory AND i.segment = d.segment WHERE d.y BETWEEN least(i.lat, i.lat1) AND greatest(i.lat, i.lat1) AND abs(i.lat1 - i.lat) > 1e-12 + 1e-5 * abs(i.lat) QUALIFY row_number() OVER (PARTITION BY d.trajectory, d.segment, d.k ORDER BY i.obs) = 1),
+    n AS (SELECT sign, count(*) AS segments FROM v GROUP BY sign)
+    SELECT {bin} AS lat_bin, CAST(floor((x + 180 - 360 * floor((x + 180) / 360)) / 10) AS BIGINT) AS lon_bin, sign, count(*) AS crossings, segments, round(count(*) / segments, 9) AS probability FROM m JOIN n USING (sign) GROUP BY 1, 2, sign, segments"""
+
+
+@query("meridional_crossing", CROSSING.replace("{span}", "5.0").replace("{line}", "-87.5e0 + 5 * k.range").replace("{lines}", "36").replace("{south}", "0").replace("{bin}", "k"))
+def _(t):
+    return rounded(D.meridional_crossing(S.directional_segments(t, 0.2), t, GRID, 2.0), 9, "probability")
+
+
+@query("meridional_crossing_edges", CROSSING.replace("{span}", "1.5").replace("{line}", "-90e0 + 5 * k.range").replace("{lines}", "37").replace("{south}", "1").replace("{bin}", "CASE WHEN sign = 1 THEN k ELSE k - 1 END"))
 def _(t):
-    return D.meridional_crossing(S.directional_segments(t, 0.2), t, GRID)
+    return rounded(D.meridional_crossing(S.directional_segments(t, 0.2), t, GRID, 2.0, 1.5, "edge"), 9, "probability")
 
 
 # Transitions
@@ -350,40 +365,79 @@ def _(t):
     return rounded(X.transition_entropy(matrix(t)), 9, "entropy")
 
 
+#: The matrix of steps o (lon, lat, x, y).
+BINNED = """SELECT *, -175e0 + start_lon_bin * 10 AS start_lon_center, -87.5e0 + start_lat_bin * 5 AS start_lat_center, -175e0 + end_lon_bin * 10 AS end_lon_center, -87.5e0 + end_lat_bin * 5 AS end_lat_center, round(transition_count / sum(transition_count) OVER (PARTITION BY start_lon_bin, start_lat_bin), 9) AS transition_probability
+    FROM (SELECT CAST(floor((lon + 180) / 10) AS BIGINT) AS start_lon_bin, CAST(floor((lat + 90) / 5) AS BIGINT) AS start_lat_bin, CAST(floor((x + 180 - 360 * floor((x + 180) / 360)) / 10) AS BIGINT) AS end_lon_bin, CAST(floor((y + 90) / 5) AS BIGINT) AS end_lat_bin, count(*) AS transition_count FROM o GROUP BY ALL)"""
+
+
 @query(
     "transition_matrix_endpoints",
     """WITH p AS (SELECT trajectory, epoch_us(time) AS t, lon, lat FROM {t}),
     q AS (SELECT trajectory, t + 86400000000 AS g, lon, lat FROM p),
     j AS (SELECT q.*, a.t AS ta, a.lon AS xa, a.lat AS ya, z.t AS tz, z.lon AS xz, z.lat AS yz FROM q ASOF JOIN p a ON q.trajectory = a.trajectory AND q.g >= a.t ASOF JOIN p z ON q.trajectory = z.trajectory AND q.g <= z.t),
     o AS (SELECT lon, lat, CASE WHEN tz = g THEN xz ELSE xa + (g - ta) / (tz - ta) * (xz - xa + 180 - 360 * floor((xz - xa + 180) / 360) - 180) END AS x, CASE WHEN tz = g THEN yz ELSE ya + (g - ta) / (tz - ta) * (yz - ya) END AS y FROM j)
-    SELECT CAST(floor((lon + 180) / 10) AS BIGINT) AS start_lon_bin, CAST(floor((lat + 90) / 5) AS BIGINT) AS start_lat_bin, CAST(floor((x + 180 - 360 * floor((x + 180) / 360)) / 10) AS BIGINT) AS end_lon_bin, CAST(floor((y + 90) / 5) AS BIGINT) AS end_lat_bin, count(*) AS transition_count FROM o GROUP BY ALL""",
+    """ + BINNED,
     "regular",
 )
 def _(t):
-    return X.transition_matrix(X.endpoints(t, 86400), GRID).select(*X.COUNTS, "transition_count")
+    return rounded(X.transition_matrix(X.endpoints(t, 86400), GRID), 9, "transition_probability")
+
+
+@query(
+    "transition_matrix_chain",
+    """WITH p AS (SELECT trajectory, epoch_us(time) AS t, lon, lat FROM {t}), b AS (SELECT trajectory, min(t) AS t0, max(t) AS t1 FROM p GROUP BY trajectory),
+    g AS (SELECT trajectory, unnest(range(t0, t1 + 1, 86400000000)) AS g FROM b),
+    j AS (SELECT g.trajectory, g.g, a.t AS ta, a.lon AS xa, a.lat AS ya, z.t AS tz, z.lon AS xz, z.lat AS yz FROM g ASOF JOIN p a ON g.trajectory = a.trajectory AND g.g >= a.t ASOF JOIN p z ON g.trajectory = z.trajectory AND g.g <= z.t),
+    k AS (SELECT trajectory, g, CASE WHEN ta = g THEN xa ELSE xa + (g - ta) / (tz - ta) * (xz - xa + 180 - 360 * floor((xz - xa + 180) / 360) - 180) END AS x0, CASE WHEN ta = g THEN ya ELSE ya + (g - ta) / (tz - ta) * (yz - ya) END AS lat FROM j),
+    o AS (SELECT x0 + 180 - 360 * floor((x0 + 180) / 360) - 180 AS lon, lat, lead(x0) OVER (PARTITION BY trajectory ORDER BY g) AS x, lead(lat) OVER (PARTITION BY trajectory ORDER BY g) AS y FROM k QUALIFY x IS NOT NULL)
+    """ + BINNED,
+)
+def _(t):
+    return rounded(X.transition_matrix(X.regular_chain(t, 86400), GRID), 9, "transition_probability")
 
 
 @query("source_timestep", "SELECT d / 1e6 AS step_s FROM (SELECT epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY trajectory ORDER BY obs) AS d FROM {t}) WHERE d > 0 GROUP BY d ORDER BY count(*) DESC, d LIMIT 1", "regular")
 def _(t):
-    return t.sparkSession.createDataFrame([(X.source_timestep(t),)], "step_s double")
+    return X.timestep_table(t)
 
 
-@query("cardinal_probabilities", None)
+TURN = "({b}) - ({a}) + 180 - 360 * floor((({b}) - ({a}) + 180) / 360) - 180"
+
+
+def turn_sql(a: str, b: str) -> str:
+    """b - a in [-180, 180)."""
+    return f"({TURN.format(a=a, b=b)})"
+
+
+def bearing_sql(x0: str, y0: str, x1: str, y1: str) -> str:
+    """Initial great-circle bearing, null where both points are one."""
+    d = f"radians({turn_sql(x0, x1)})"
+    angle = f"degrees(atan2(sin({d}) * cos(radians({y1})), cos(radians({y0})) * sin(radians({y1})) - sin(radians({y0})) * cos(radians({y1})) * cos({d})))"
+    return f"CASE WHEN NOT ({y0} = {y1} AND {turn_sql(x0, x1)} = 0) THEN {angle} - 360 * floor({angle} / 360) END"
+
+
+STEP_BEARING = bearing_sql("start_lon_center", "start_lat_center", "end_lon_center", "end_lat_center")
+SECTOR = "round(sum(CASE WHEN stay THEN 0 WHEN b IS NULL THEN 0.25 WHEN abs({turn}) < 45 THEN 1.0 WHEN abs({turn}) = 45 THEN 0.5 ELSE 0.0 END * transition_probability), 9) AS {name}"
+SECTORS = ", ".join(SECTOR.format(turn=turn_sql(str(m), "b"), name=n) for n, m in {"north": 0, "east": 90, "south": 180, "west": 270}.items())
+
+
+@query("cardinal_probabilities", f"SELECT start_lon_bin, start_lat_bin, round(sum(CASE WHEN stay THEN transition_probability ELSE 0 END), 9) AS stay, {SECTORS} FROM (SELECT *, start_lon_bin = end_lon_bin AND start_lat_bin = end_lat_bin AS stay, {STEP_BEARING} AS b FROM ({MATRIX})) GROUP BY 1, 2")
 def _(t):
     return rounded(X.cardinal_probabilities(matrix(t)), 9, "stay", "north", "east", "south", "west")
 
 
-@query(
-    "region_transitions",
+REGION_STEPS = (
     """WITH r AS (SELECT *, epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY trajectory) AS age_us, first(event_type) OVER (PARTITION BY trajectory ORDER BY obs ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS origin FROM {t}),
     e AS (SELECT origin, count(DISTINCT trajectory) AS eligible FROM r GROUP BY origin)
-    SELECT origin, age_us, event_type AS target, count(*) AS n, eligible, round(count(*) / eligible, 9) AS probability FROM r JOIN e USING (origin) GROUP BY origin, age_us, event_type, eligible""",
-    "regular",
+    SELECT origin, age_us, event_type AS target, count(*) AS n, eligible, round(count(*) / eligible, 9) AS probability FROM r JOIN e USING (origin) GROUP BY origin, age_us, event_type, eligible"""
 )
+
+
+@query("region_transitions", REGION_STEPS, "regular")
 def _(t):
     return rounded(X.region_transitions(t, "event_type"), 9, "probability")
 
 
-@query("represented_fraction", None, "regular")
+@query("represented_fraction", f"SELECT age_us, round(sum(n) / sum(eligible), 9) AS represented FROM (SELECT age_us, origin, sum(n) AS n, any_value(eligible) AS eligible FROM ({REGION_STEPS}) GROUP BY age_us, origin) GROUP BY age_us", "regular")
 def _(t):
     return rounded(X.represented_fraction(X.region_transitions(t, "event_type")), 9, "represented")

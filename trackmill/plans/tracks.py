@@ -25,7 +25,7 @@ VARIANTS = {
     "irregular": BASE,
     "regular": REGULAR,
     "grouped": f"SELECT *, CAST(floor(trajectory / 5) AS BIGINT) AS group_id, CAST(trajectory % 5 + 1 AS INT) AS group_member, 5 AS group_size FROM ({REGULAR})",
-    "qc": f"SELECT *, CAST(event_id % 4 + 1 AS STRING) AS position_qc, CAST(floor(obs / 3) AS BIGINT) AS cycle_number FROM ({BASE}) WHERE event_id % 10 != 0",
+    "qc": f"SELECT *, CAST(event_id % 4 + 1 AS STRING) AS position_qc, CAST(floor(obs / 3) AS BIGINT) AS cycle_number FROM ({BASE})",
     "invalid": f"SELECT trajectory, obs, time, CASE WHEN event_id % 17 != 0 THEN lon END AS lon, CASE WHEN event_id % 17 != 0 THEN lat END AS lat, z, event_type, event_id FROM ({BASE})",
     "stagnant": f"SELECT t.trajectory, t.obs, t.time, CASE WHEN t.obs > 20 AND t.trajectory % 2 = 0 THEN s.lon ELSE t.lon END AS lon, CASE WHEN t.obs > 20 AND t.trajectory % 2 = 0 THEN s.lat ELSE t.lat END AS lat, t.z, t.event_id FROM ({BASE}) t LEFT JOIN (SELECT trajectory, lon, lat FROM ({BASE}) WHERE obs = 20) s ON t.trajectory = s.trajectory",
 }
