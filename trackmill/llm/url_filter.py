@@ -83,17 +83,21 @@ def _split(shapes: DataFrame, level: int, distance: float, errors: float) -> Dat
     segment = lambda i: F.coalesce(F.try_element_at("raw", F.lit(i)), F.lit(LEAF))
     parent, branch = ["host", "template"], ["host", "template", "seg"]
     at = shapes.withColumn("seg", segment(level + 1)).withColumn("next", segment(level + 2))
-    stats = at.where("open").groupBy(*branch).agg(F.sum("n").alias("of"), F.sum("labelled").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"))
-    named = stats.where(~F.col("seg").isin(WILD, LEAF))
+    # The one pass over all shapes of a level; what follows works on a row for each branch and next segment.
+    counts = [F.sum("n").alias("m"), F.sum("labelled").alias("l"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("g")]
+    pairs = materialize(at.where("open").where(~F.col("seg").isin(WILD, LEAF)).groupBy(*branch, "next").agg(*counts), "url-pairs")
+    named = pairs.groupBy(*branch).agg(F.sum("m").alias("of"), F.sum("l").alias("labelled"), F.sum("g").alias("good"))
     # Branches that lean to bad keep their names, so that a wildcard never mixes them with the others.
     leans = (F.col("good") + 1) / (F.col("labelled") + 1) >= REJECT_BELOW
-    kinds = at.where("open").groupBy(*branch, "next").agg(F.sum("n").alias("m")).join(named.where(leans), branch)
+    kinds = materialize(pairs.select(*branch, "next", "m").join(named.where(leans), branch), "url-kinds")
 
     def merged(kinds: DataFrame, group: list[str]) -> DataFrame:
         """Branches that are alike their group as a whole."""
         whole = kinds.groupBy(*group).agg(F.sum("m").alias("all"))
         pooled = kinds.groupBy(*group, "next").agg(F.sum("m").alias("pm")).join(whole, group).withColumn("share", F.col("pm") / F.col("all"))
+        pooled = materialize(pooled, "url-pooled")
         alike = kinds.join(pooled, [*group, "next"]).groupBy(*dict.fromkeys([*group, *branch]), "of", "labelled", "good").agg(F.sum(F.sqrt(F.col("m") / F.col("of") * F.col("share"))).alias("affinity"))
+        alike = materialize(alike, "url-alike")
         sums = alike.groupBy(*group).agg(F.sum("labelled").alias("ln"), F.sum("good").alias("gn"), F.count("*").alias("branches"))
         tested = alike.join(sums.join(pooled.groupBy(*group).agg(F.count("*").alias("kinds")), group), group)
         share = (F.col("gn") + 1) / (F.col("ln") + 2)
@@ -102,12 +106,14 @@ def _split(shapes: DataFrame, level: int, distance: float, errors: float) -> Dat
         chance = (F.col("kinds") - 1) / (8 * F.col("of"))
         return tested.where((F.col("branches") > 1) & (1 - F.col("affinity") <= distance**2 + chance) & (off <= errors))
 
-    wild = merged(kinds, parent).select(*branch)
+    wild = materialize(merged(kinds, parent).select(*branch, F.lit(WILD).alias("name")), "url-wild")
     # The others are pooled by their commonest next segment (the first in order of ties).
-    most = kinds.groupBy(*branch).agg(F.max_by("next", F.struct("m", "next")).alias("most"))
-    left = kinds.join(wild, branch, "left_anti").join(most, branch)
-    clusters = merged(left, [*parent, "most"]).select(*branch, F.concat(F.lit(f"{WILD}("), "most", F.lit(")")).alias("name"))
-    names = named.select(*branch).join(wild.withColumn("name", F.lit(WILD)).unionByName(clusters), branch, "left").select(*branch, F.coalesce("name", "seg").alias("name"))
+    left = kinds.join(wild, branch, "left_anti")
+    most = left.groupBy(*branch).agg(F.max_by("next", F.struct("m", "next")).alias("most"))
+    left = materialize(left.join(most, branch), "url-left")
+    names = wild
+    if not left.isEmpty():
+        names = wild.unionByName(merged(left, [*parent, "most"]).select(*branch, F.concat(F.lit(f"{WILD}("), "most", F.lit(")")).alias("name")))
     placed = at.join(names, branch, "left")
     name = F.when(F.col("open") & (F.col("seg") != LEAF), F.array(F.coalesce("name", "seg"))).otherwise(F.array().cast("array<string>"))
     # A closed node's shape is whole from here on: its rest goes to the template at the end.
