@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,3 +94,16 @@ def zone_area(lat0: float, lat1: float, lon_width: float) -> float:
         return s / (1 - (e * s) ** 2) + np.arctanh(e * s) / e
 
     return float(np.radians(lon_width) * B * B / 2 * abs(q(lat1) - q(lat0)))
+
+
+def row_scales(spark, grid) -> DataFrame:
+    """Of each latitude row of a grid, on the ellipsoid: km of a step of longitude (km_x), km to the next row's centre (km_y), and a cell's area in km2."""
+    rows = spark.range(grid.ny).select(F.col("id").alias("lat_bin")).withColumn("lat", grid.lat_center(F.col("lat_bin")))
+    zero, edge = F.lit(0.0), lambda side: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + side * grid.lat_step / 2))
+    x, y = wgs84_inverse(zero, F.col("lat"), F.lit(float(grid.lon_step)), F.col("lat")), wgs84_inverse(zero, F.col("lat"), zero, F.col("lat") + F.lit(float(grid.lat_step)))
+    return rows.select("lat_bin", x["km"].alias("km_x"), F.when(F.col("lat") + grid.lat_step <= 90, y["km"]).alias("km_y"), wgs84_zone(edge(-1), edge(1), F.lit(float(grid.lon_step))).alias("area_km2"))
+
+
+@F.pandas_udf(T.DoubleType())
+def wgs84_zone(south: pd.Series, north: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([zone_area(a, b, w) for a, b, w in zip(south, north, width, strict=True)])

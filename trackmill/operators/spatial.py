@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.functions.geo import RADIUS, haversine, wrap_lon
+from trackmill.functions.geo import RADIUS, delta_lon, haversine, wrap_lon
+from trackmill.functions.geodesic import row_scales, wgs84_inverse
 from trackmill.functions.grid import RegularGrid
 from trackmill.operators.cleaning import micros
 
@@ -58,11 +59,22 @@ def cluster_strength(df: DataFrame, grid: RegularGrid, length_km: float, cutoff:
     return every.join(found, [frame, "lon_bin", "lat_bin"], "left").withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "particles": F.coalesce("particles", F.lit(0))})
 
 
-def smooth_cells(cells: DataFrame, grid: RegularGrid, value: str, sigma_km: float, cutoff: float = 3.0) -> DataFrame:
-    """Gaussian mean over cells with a value within cutoff sigma, weighted by cosine of latitude (cell area)."""
+def smooth_cells(cells: DataFrame, grid: RegularGrid, value: str, sigma_km: float, cutoff: float = 3.0, ellipsoid: bool = False) -> DataFrame:
+    """Gaussian mean over cells with a value within cutoff sigma, weighted by cell area.
+
+    On the sphere (areas go with the cosine of latitude), or on the WGS84 ellipsoid: candidates are then those within
+    a hundredth more on the sphere, which no geodesic exceeds, and the geodesic decides.
+    """
     rows = cells.where(F.col(value).isNotNull()).select("lon_bin", "lat_bin", F.col(value).alias("v"), grid.lon_center(F.col("lon_bin")).alias("lon"), grid.lat_center(F.col("lat_bin")).alias("lat"))
-    met = radius_join(rows, rows, cutoff * sigma_km)
-    w = F.exp(-0.5 * F.pow(F.col("km") / sigma_km, 2)) * F.cos(F.radians("lat_r"))
+    area = F.cos(F.radians("lat_r"))
+    if ellipsoid:
+        near = radius_join(rows, rows, 1.01 * cutoff * sigma_km).drop("km")
+        met = near.withColumn("km", wgs84_inverse("lon", "lat", "lon_r", "lat_r")["km"]).where(F.col("km") <= cutoff * sigma_km)
+        scales = row_scales(cells.sparkSession, grid).select(F.col("lat_bin").alias("lat_bin_r"), "area_km2")  # a row for each row of the grid
+        met, area = met.join(scales, "lat_bin_r"), F.col("area_km2")
+    else:
+        met = radius_join(rows, rows, cutoff * sigma_km)
+    w = F.exp(-0.5 * F.pow(F.col("km") / sigma_km, 2)) * area
     return met.groupBy("lon_bin", "lat_bin").agg((F.sum(w * F.col("v_r")) / F.sum(w)).alias(f"{value}_smooth"))
 
 
@@ -162,3 +174,33 @@ def sample_observations(points: DataFrame, samples: DataFrame, value: str, by: l
     apart = F.abs(F.col("__p") - F.col("pressure"))
     best = met.groupBy(*by, *keys).agg(F.min_by(F.struct("__v", F.abs(F.col("__t") - F.col("t")).alias("dt"), apart.alias("dp")), F.struct(F.coalesce(apart, F.lit(float("inf"))), "__i")).alias("b"))
     return points.select(*by, *keys).join(best, [*by, *keys], "left").select(*by, *keys, F.col("b.__v").alias(value), (F.col("b.dt") / 86400e6).alias("sample_days"), F.col("b.dp").alias("sample_pressure"))
+
+
+def nearest_on_lines(points: DataFrame, lines: DataFrame, km: float, keys: list[str], line: str = "line", order: str = "place") -> DataFrame:
+    """Of each point the nearest place on any line within about km: (keys, line, line_lon, line_lat, km); nulls where none is near.
+
+    lines: (line, place, lon, lat), in order of place; a step that crosses the antimeridian is the short way. Segments
+    are dealt to the tiles that their boxes, widened by km, meet, and points to their own. The place is found in the
+    plane of the point (degrees of longitude shortened by its latitude), its distance on the ellipsoid.
+    """
+    w = Window.partitionBy(line).orderBy(order)
+    ends = lines.select(line, F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.lead("lon").over(w).alias("x1"), F.lead("lat").over(w).alias("y1")).where("x1 is not null")
+    ends = ends.withColumn("x1", F.col("x0") + delta_lon("x0", "x1"))
+    high = math.degrees(km / RADIUS)
+    low, top = F.least("y0", "y1") - high, F.greatest("y0", "y1") + high
+    wide = F.least(high / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(low), F.abs(top))))), F.lit(0.01)), F.lit(180.0))
+    tile = lambda c: F.floor(c / TILE).cast("long")
+    turns = round(360 / TILE)
+    columns = F.array_distinct(F.transform(F.sequence(tile(F.least("x0", "x1") - wide), tile(F.greatest("x0", "x1") + wide)), lambda c: F.pmod(c, F.lit(turns))))
+    dealt = ends.withColumn("tile_y", F.explode(F.sequence(tile(low), tile(top)))).withColumn("tile_x", F.explode(columns))
+    placed = points.select(*keys, "lon", "lat").withColumns({"tile_x": F.pmod(tile(F.col("lon")), F.lit(turns)), "tile_y": tile(F.col("lat"))})
+    short = F.cos(F.radians("lat"))
+    x = lambda c: delta_lon("lon", c) * short
+    met = placed.join(dealt, ["tile_x", "tile_y"]).withColumns({"ax": x("x0"), "ay": F.col("y0") - F.col("lat"), "dx": (F.col("x1") - F.col("x0")) * short, "dy": F.col("y1") - F.col("y0")})
+    share = -(F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")) / F.nullif(F.col("dx") ** 2 + F.col("dy") ** 2, F.lit(0.0))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0))))
+    met = met.withColumn("s", share).withColumn("off", F.sqrt((F.col("ax") + F.col("s") * F.col("dx")) ** 2 + (F.col("ay") + F.col("s") * F.col("dy")) ** 2))
+    at = F.struct(F.col(line), wrap_lon(F.col("x0") + F.col("s") * (F.col("x1") - F.col("x0"))).alias("line_lon"), (F.col("y0") + F.col("s") * F.col("dy")).alias("line_lat"))
+    best = met.where(F.col("off") <= high).groupBy(*keys, "lon", "lat").agg(F.min_by(at, F.struct("off", line, "x0", "y0")).alias("b")).select(*keys, "lon", "lat", "b.*")
+    apart = best.withColumn("km", wgs84_inverse("lon", "lat", "line_lon", "line_lat")["km"]).drop("lon", "lat")
+    return points.select(*keys).join(apart, keys, "left")

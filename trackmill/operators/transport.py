@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.geo import angle_difference, axial_mismatch, bearing, floor_mod, haversine, planar_inverse
+from trackmill.functions.geodesic import row_scales
 from trackmill.functions.grid import RegularGrid
 from trackmill.operators.graph import connected_components
 from trackmill.operators.transitions import COUNTS
@@ -144,8 +145,13 @@ def component_stats(cells: DataFrame, grid: RegularGrid, value: str) -> DataFram
     """Size, span, circular mean longitude, mean and median of a value, and ranks (1 is largest) of components."""
     lon = F.radians(grid.lon_center(F.col("lon_bin")))
     rows = cells.groupBy("component").agg(F.count("*").alias("cells"), (F.max("lat_bin") - F.min("lat_bin") + 1).alias("lat_span"), F.degrees(F.atan2(F.sum(F.sin(lon)), F.sum(F.cos(lon)))).alias("lon_mean"), F.avg(grid.lat_center(F.col("lat_bin"))).alias("lat_mean"), F.avg(value).alias("value_mean"), F.median(value).alias("value_median"))
-    # One row for each component reaches the ranks.
-    return rows.withColumns({"rank_cells": F.rank().over(Window.orderBy(F.desc("cells"))), "rank_value": F.rank().over(Window.orderBy(F.desc_nulls_last("value_mean")))})
+    turned = cells.select("component", F.pmod(grid.lon_center(F.col("lon_bin")), F.lit(360.0)).alias("x")).distinct()
+    w = Window.partitionBy("component")
+    gaps = turned.withColumn("gap", F.coalesce(F.lead("x").over(w.orderBy("x")), F.min("x").over(w) + 360.0) - F.col("x"))
+    rows = rows.join(gaps.groupBy("component").agg((360.0 - F.max("gap")).alias("lon_span")), "component")
+    # One row for each component reaches the ranks; equal ones share the smallest rank, and nulls come last.
+    ranks = {"cells": "cells", "value": "value_mean", "median": "value_median", "lat_span": "lat_span", "lon_span": "lon_span"}
+    return rows.withColumns({f"rank_{k}": F.rank().over(Window.orderBy(F.desc_nulls_last(c))) for k, c in ranks.items()})
 
 
 def n_hop(edges: DataFrame, k: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -183,8 +189,8 @@ def transverse_ridges(cells: DataFrame, grid: RegularGrid, value: str, angle: st
     return best.withColumn("ridge", high).withColumn("status", F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), "both").otherwise("one_side"))
 
 
-def sphere_gradients(cells: DataFrame, grid: RegularGrid, value: str, radius: float = 6371.0) -> DataFrame:
-    """Gradient of a cell value per km east and north: centred, else one-sided; the magnitude needs both."""
+def sphere_gradients(cells: DataFrame, grid: RegularGrid, value: str, radius: float = 6371.0, ellipsoid: bool = False) -> DataFrame:
+    """Gradient of a cell value per km east and north, on the sphere or the WGS84 ellipsoid: centred, else one-sided; the magnitude needs both."""
     rows = cells.where(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v"))
     met = with_neighbours(rows, grid, ["v"]).where("dx = 0 or dy = 0")
     pick = lambda x, y: F.max(F.when((F.col("dx") == x) & (F.col("dy") == y), F.col("n_v")))
@@ -196,7 +202,15 @@ def sphere_gradients(cells: DataFrame, grid: RegularGrid, value: str, radius: fl
         steps = F.col(a).isNotNull().cast("int") + F.col(b).isNotNull().cast("int")
         return F.when(steps > 0, (F.coalesce(a, "v") - F.coalesce(b, "v")) / (steps * km))
 
-    out = sides.withColumns({"gx": slope("e", "w", km_x), "gy": slope("n", "s", F.lit(km_y))})
+    gy = slope("n", "s", F.lit(km_y))
+    if ellipsoid:
+        scales = row_scales(cells.sparkSession, grid)  # a row for each row of the grid
+        below = scales.select((F.col("lat_bin") + 1).alias("lat_bin"), F.col("km_y").alias("km_s"))
+        sides = sides.join(scales.select("lat_bin", "km_x", F.col("km_y").alias("km_n")), "lat_bin").join(below, "lat_bin", "left")
+        km_x = F.col("km_x")
+        apart = F.when(F.col("n").isNotNull(), F.col("km_n")).otherwise(0.0) + F.when(F.col("s").isNotNull(), F.col("km_s")).otherwise(0.0)
+        gy = F.when(apart > 0, (F.coalesce("n", "v") - F.coalesce("s", "v")) / apart)
+    out = sides.withColumns({"gx": slope("e", "w", km_x), "gy": gy})
     return rows.join(out.select(*CELL, "gx", "gy"), CELL, "left").withColumn("magnitude", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2))
 
 
@@ -218,3 +232,25 @@ def structure_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     met = left.join(right, CELL, "full")
     kind = F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), "both").when(F.col("ca").isNotNull(), "first").otherwise("second")
     return met.withColumn("kind", kind).groupBy("ca", "kind").agg(F.count("*").alias("cells"))
+
+
+def turn_fields(matrix: DataFrame, geometry: str = "geographic") -> DataFrame:
+    """Of each cell with moves in and out: the turn from the mean direction of arrival to that of departure, its cosine (alignment), and the coherent share of moves that leave."""
+    out = harmonics(matrix, geometry=geometry).select(*CELL, F.col("n_move").alias("n_out_move"), F.col("r1").alias("r1_out"), F.col("theta1").alias("theta_out"))
+    into = harmonics(matrix, True, geometry=geometry).select(*CELL, F.col("n_move").alias("n_in_move"), F.col("r1").alias("r1_in"), F.col("theta1").alias("theta_in"))
+    met = out.join(into, CELL).withColumn("turn", angle_difference("theta_in", "theta_out"))
+    return met.withColumns({"alignment": F.cos(F.radians("turn")), "coherent_out": F.col("n_out_move") * F.col("r1_out")})
+
+
+def seed_family(points: DataFrame, lon_min: float, lon_max: float, lat_min: float, lat_max: float, component: str = "component") -> DataFrame:
+    """points with seed_family: whether any point of their component lies in a box (lon_min above lon_max: across the antimeridian)."""
+    lon = (F.col("lon") >= lon_min) & (F.col("lon") <= lon_max) if lon_min <= lon_max else (F.col("lon") >= lon_min) | (F.col("lon") <= lon_max)
+    touched = points.where(lon & F.col("lat").between(lat_min, lat_max)).select(component, F.lit(True).alias("seed_family")).distinct()
+    return points.join(touched, component, "left").withColumn("seed_family", F.coalesce("seed_family", F.lit(False)))
+
+
+def spherical_centre(df: DataFrame, keys: list[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Of each group the direction of the mean of its positions' unit vectors: (keys, centre_lon, centre_lat)."""
+    x, y = F.radians(lon), F.radians(lat)
+    mean = df.groupBy(*keys).agg(F.avg(F.cos(y) * F.cos(x)).alias("a"), F.avg(F.cos(y) * F.sin(x)).alias("b"), F.avg(F.sin(y)).alias("c"))
+    return mean.select(*keys, F.degrees(F.atan2("b", "a")).alias("centre_lon"), F.degrees(F.atan2("c", F.sqrt(F.col("a") ** 2 + F.col("b") ** 2))).alias("centre_lat"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.functions.geodesic import inverse
 from trackmill.operators import branches as B
 from trackmill.operators import cleaning as C
 from trackmill.operators import diagnostics as D
@@ -15,6 +16,7 @@ from trackmill.operators import segments as S
 from trackmill.operators import spatial as G
 from trackmill.operators import transitions as X
 from trackmill.operators import transport as R
+from trackmill.operators.graph import directed_paths, ordered_segments
 from trackmill.plans.catalog import BINS, GRID, INSIDE, MATRIX, QUERIES, SQL, STEP_BEARING, SUMMARY, bearing_sql, haversine_sql, matrix, query, rounded, turn_sql
 from trackmill.plans.tracks import tracks
 
@@ -337,7 +339,10 @@ def _(t):
     return rounded(rounded(R.directional_corridors(matrix(t), GRID, 3, 0.2), 9, "r1"), 6, "theta1")
 
 
-@query("corridor_components", f"{CORRIDORS}, s AS (SELECT component, count(*) AS cells, max(lat_bin) - min(lat_bin) + 1 AS lat_span, round(degrees(atan2(sum(sin(radians(-175 + lon_bin * 10))), sum(cos(radians(-175 + lon_bin * 10))))), 6) AS lon_mean, round(avg(-87.5 + lat_bin * 5), 9) AS lat_mean, round(avg(r1), 9) AS value_mean, round(median(r1), 9) AS value_median FROM k GROUP BY component) SELECT *, CAST(rank() OVER (ORDER BY cells DESC) AS INTEGER) AS rank_cells, CAST(rank() OVER (ORDER BY value_mean DESC) AS INTEGER) AS rank_value FROM s")
+RANKS = ", ".join(f"CAST(rank() OVER (ORDER BY {c} DESC) AS INTEGER) AS rank_{k}" for k, c in {"cells": "cells", "value": "value_mean", "median": "value_median", "lat_span": "lat_span", "lon_span": "lon_span"}.items())
+
+
+@query("corridor_components", f"{CORRIDORS}, s AS (SELECT component, count(*) AS cells, max(lat_bin) - min(lat_bin) + 1 AS lat_span, round(degrees(atan2(sum(sin(radians(-175 + lon_bin * 10))), sum(cos(radians(-175 + lon_bin * 10))))), 6) AS lon_mean, round(avg(-87.5 + lat_bin * 5), 9) AS lat_mean, round(avg(r1), 9) AS value_mean, round(median(r1), 9) AS value_median FROM k GROUP BY component), l AS (SELECT component, 360 - max(gap) AS lon_span FROM (SELECT component, coalesce(lead(x) OVER (PARTITION BY component ORDER BY x), min(x) OVER (PARTITION BY component) + 360) - x AS gap FROM (SELECT DISTINCT component, (-175e0 + lon_bin * 10 + 360) % 360 AS x FROM k)) GROUP BY component) SELECT *, {RANKS} FROM s JOIN l USING (component)")
 def _(t):
     cells = R.directional_corridors(matrix(t), GRID, 3, 0.2)
     return rounded(rounded(R.component_stats(cells, GRID, "r1"), 9, "lat_mean", "value_mean", "value_median"), 6, "lon_mean")
@@ -430,6 +435,62 @@ def _(t):
     return rounded(B.barrier_minima(B.permeability(branch_points(t), matrix(t), 1500.0, [-600.0, -300.0, 0.0, 300.0, 600.0])), 9, "p_cross")
 
 
+@query("turn_fields", f"WITH o AS ({OUTGOING}), i AS ({INCOMING}) SELECT o.start_lon_bin AS lon_bin, o.start_lat_bin AS lat_bin, o.n_move AS n_out_move, i.n_move AS n_in_move, round(o.r1, 6) AS r1_out, round(i.r1, 6) AS r1_in, CASE WHEN o.r1 > 1e-6 AND i.r1 > 1e-6 THEN round(cos(radians(o.theta1 - i.theta1)), 6) + 0.0 END AS alignment, round(o.n_move * o.r1, 6) AS coherent_out FROM o JOIN i ON i.end_lon_bin = o.start_lon_bin AND i.end_lat_bin = o.start_lat_bin")
+def _(t):
+    rows = R.turn_fields(matrix(t))
+    # Where moves cancel each other there is no direction to turn from.
+    known = (F.col("r1_out") > 1e-6) & (F.col("r1_in") > 1e-6)
+    return rounded(rows.withColumn("alignment", F.when(known, F.round("alignment", 6) + 0.0)), 6, "r1_out", "r1_in", "coherent_out").select("lon_bin", "lat_bin", "n_out_move", "n_in_move", "r1_out", "r1_in", "alignment", "coherent_out")
+
+
+@query("seed_family", "SELECT trajectory, obs, lon, lat, trajectory IN (SELECT trajectory FROM {t} WHERE (lon >= 150 OR lon <= -150) AND lat BETWEEN -20 AND 20) AS seed_family FROM {t}")
+def _(t):
+    return R.seed_family(t.select("trajectory", "obs", "lon", "lat"), 150.0, -150.0, -20.0, 20.0, "trajectory")
+
+
+@query("spherical_centre", "SELECT trajectory, round(degrees(atan2(b, a)), 6) AS centre_lon, round(degrees(atan2(c, sqrt(a * a + b * b))), 6) AS centre_lat FROM (SELECT trajectory, avg(cos(radians(lat)) * cos(radians(lon))) AS a, avg(cos(radians(lat)) * sin(radians(lon))) AS b, avg(sin(radians(lat))) AS c FROM {t} GROUP BY trajectory)")
+def _(t):
+    return rounded(R.spherical_centre(t, ["trajectory"]), 6, "centre_lon", "centre_lat")
+
+
+#: Ellipsoidal scales of the grid's rows, as the SQL's input.
+ROWS = ", ".join(f"({j}, {float(inverse(0.0, -87.5 + 5 * j, 10.0, -87.5 + 5 * j)[0])}, {float(inverse(0.0, -87.5 + 5 * j, 0.0, -82.5 + 5 * j)[0]) if j < 35 else 0.0})" for j in range(36))
+
+
+@query(
+    "ellipsoid_gradients",
+    f"""WITH c AS (SELECT {BINS}, avg(z) AS v FROM {{t}} WHERE {INSIDE} GROUP BY 1, 2), k AS (SELECT * FROM (VALUES {ROWS}) AS k(j, x, y)), n AS (SELECT c.lon_bin, c.lat_bin, c.v, e.v AS e, w.v AS w, n.v AS n, s.v AS s, k.x, k.y AS up, b.y AS down FROM c JOIN k ON k.j = c.lat_bin LEFT JOIN k b ON b.j = c.lat_bin - 1 LEFT JOIN c e ON e.lat_bin = c.lat_bin AND e.lon_bin = (c.lon_bin + 1) % 36 LEFT JOIN c w ON w.lat_bin = c.lat_bin AND w.lon_bin = (c.lon_bin + 35) % 36 LEFT JOIN c n ON n.lon_bin = c.lon_bin AND n.lat_bin = c.lat_bin + 1 LEFT JOIN c s ON s.lon_bin = c.lon_bin AND s.lat_bin = c.lat_bin - 1),
+    g AS (SELECT *, {slope_sql('e', 'w', 'x')} AS gx, CASE WHEN n IS NOT NULL OR s IS NOT NULL THEN (coalesce(n, v) - coalesce(s, v)) / (CASE WHEN n IS NULL THEN 0 ELSE up END + CASE WHEN s IS NULL THEN 0 ELSE down END) END AS gy FROM n) SELECT lon_bin, lat_bin, round(v, 9) AS v, round(gx, 9) + 0.0 AS gx, round(gy, 9) + 0.0 AS gy, round(sqrt(gx * gx + gy * gy), 9) AS magnitude FROM g""",
+)
+def _(t):
+    return R.sphere_gradients(GRID.aggregate(t, "z"), GRID, "value", ellipsoid=True).withColumns({c: F.round(c, 9) + 0.0 for c in ("v", "gx", "gy", "magnitude")})
+
+
+@query("ellipsoid_smooth", None)
+def _(t):
+    return rounded(G.smooth_cells(GRID.aggregate(t, "z"), GRID, "value", 500.0, ellipsoid=True), 6, "value_smooth")
+
+
+@query("ordered_segments", None)
+def _(t):
+    strong = R.harmonics(matrix(t)).where("n_move >= 3")
+    return ordered_segments(R.compatible_edges(strong, GRID, 60.0, 60.0))
+
+
+@query("directed_paths", None)
+def _(t):
+    m = matrix(t).where("transition_probability >= 0.5 and not (start_lon_bin = end_lon_bin and start_lat_bin = end_lat_bin)")
+    return directed_paths(m.select(R.cell_id(GRID, "start_lon_bin", "start_lat_bin").alias("src"), R.cell_id(GRID, "end_lon_bin", "end_lat_bin").alias("dst")))
+
+
+@query("nearest_on_lines", None)
+def _(t):
+    # Lines through each track's views, and its errors as points.
+    lines = t.where("event_type = 'view'").select(F.col("trajectory").cast("string").alias("line"), F.col("obs").alias("place"), "lon", "lat")
+    points = t.where("event_type = 'error'").select("trajectory", "obs", "lon", "lat")
+    return rounded(G.nearest_on_lines(points, lines, 300.0, ["trajectory", "obs"]), 6, "line_lon", "line_lat", "km")
+
+
 @query("path_geometry", f"SELECT trajectory, obs, round(step, 6) AS step_km, round(coalesce(sum(step) OVER (PARTITION BY trajectory ORDER BY obs), 0), 6) AS s_km, round(CASE WHEN abs({turn_sql('c0', 'c1')}) < 179.999999 THEN {turn_sql('c0', 'c1')} END, 6) + 0.0 AS turn FROM (SELECT trajectory, obs, CASE WHEN obs > 0 THEN {haversine_sql('lon0', 'lat0', 'lon', 'lat')} END AS step, {bearing_sql('lon0', 'lat0', 'lon', 'lat')} AS c0, {bearing_sql('lon', 'lat', 'lon1', 'lat1')} AS c1 FROM (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM {{t}} WINDOW w AS (PARTITION BY trajectory ORDER BY obs)))")
 def _(t):
     rows = rounded(B.path_geometry(t, ("trajectory",), "obs"), 6, "step_km", "s_km")
