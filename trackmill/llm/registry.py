@@ -74,7 +74,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Runs of ASCII letters and digits and of other characters beyond ASCII; runs without ASCII white space.
+MARKED, SPACED = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", r"[^\x20\x09-\x0D]+"
+RUNS = "list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda x: array_to_string(w[x:x + {k} - 1], ' ')))"
 SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": f"""
+WITH i AS (SELECT item_id, regexp_extract_all({LOWER}, '{MARKED}') AS w FROM benchmark),
+k AS (SELECT *, CASE WHEN len(w) BETWEEN 3 AND 4 THEN len(w) ELSE 5 END AS size FROM i WHERE len(w) > 0),
+s AS (SELECT item_id, size, CASE WHEN len(w) >= size THEN {RUNS.format(k='size')} ELSE ['= ' || array_to_string(w, ' ')] END AS held FROM k),
+d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{MARKED}') AS w, size FROM documents CROSS JOIN (SELECT DISTINCT size FROM k)),
+e AS (SELECT doc_id, size, unnest(CASE WHEN len(w) >= size THEN {RUNS.format(k='size')} WHEN len(w) > 0 THEN ['= ' || array_to_string(w, ' ')] END) AS h FROM d),
+u AS (SELECT item_id, size, len(held) AS n, unnest(held) AS h FROM s),
+f AS (SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found FROM u JOIN e USING (size, h) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f WHERE 100 * n_found >= 80 * n_shingles
+""",
+    "op10_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '{SPACED}'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 4 THEN {RUNS.format(k='4')} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS held FROM d),
+e AS MATERIALIZED (SELECT doc_id, len(held) AS n, unnest(held) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS whole, count(*) AS met FROM e a JOIN e b ON a.h = b.h AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * met >= 85 * whole),
+z(node, other) AS (SELECT a, b FROM l UNION SELECT z.node, l.b FROM z JOIN l ON l.a = z.other)
+SELECT s.doc_id, len(held)::BIGINT AS n_shingles, least(s.doc_id, min(z.other)) AS component_id FROM s LEFT JOIN z ON z.node = s.doc_id GROUP BY s.doc_id, held
+""",
     "op5_nearest_neighbours": """
 WITH e AS (
   SELECT vec_id, embedding FROM embeddings
