@@ -90,6 +90,15 @@ def time_direction(df: DataFrame, keys=("trajectory",), order: str = "obs") -> D
     return signs.select(*keys, F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != 0), F.col("lo").cast("int")).alias("direction"))
 
 
+def check_monotonic_time(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """The same rows; reading them fails where times of a trajectory stand still or turn round."""
+    w = Window.partitionBy(*keys)
+    step = F.signum((micros() - F.lag(micros()).over(w.orderBy(order))).cast("double"))
+    rows = df.withColumn("__s", step).withColumns({"__lo": F.min("__s").over(w), "__hi": F.max("__s").over(w)})
+    fine = F.col("__lo").isNull() | ((F.col("__lo") == F.col("__hi")) & (F.col("__lo") != 0))
+    return rows.where(F.when(fine, True).otherwise(F.raise_error(F.lit("times do not run one way")).cast("boolean"))).drop("__s", "__lo", "__hi")
+
+
 def valid_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Finite values in the closed range."""
     fine = F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
@@ -165,6 +174,13 @@ def clip_before(df: DataFrame, date: str, keys) -> DataFrame:
     return df.withColumn("__first", first).where("__first is null or time < __first").drop("__first")
 
 
+def first_metadata(df: DataFrame, columns: list[str], keys: list[str], order: str = "obs") -> DataFrame:
+    """Of each group the first non-missing value of each column, and in multiple how many columns have several."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    several = sum((F.when(F.min(c) != F.max(c), 1).otherwise(0) for c in columns), F.lit(0))
+    return df.groupBy(*keys).agg(*first, several.cast("long").alias("multiple"))
+
+
 def select_by_region(df: DataFrame, inside: Column, mode: str, keys=("trajectory",), order: str = "obs") -> DataFrame:
     """initial_inside: by the first row; full_if_enters: by any row; from_first_entry: rows from the first inside on."""
     w = Window.partitionBy(*keys).orderBy(order)

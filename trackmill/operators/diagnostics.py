@@ -71,15 +71,26 @@ def sampled_map(df: DataFrame, grid: RegularGrid, value: str, weighting: str = "
 
 
 def alive_latitude_fraction(df: DataFrame, lat_min: float, lat_max: float, step: float, min_alive: int = 1) -> DataFrame:
-    """Share of particles alive at a time in each latitude bin; those outside all bins stay in the denominator. The last bin is closed."""
-    n = round((lat_max - lat_min) / step)
-    b = F.least(F.floor((F.col("lat") - lat_min) / step), F.lit(n - 1)).cast("long")
-    rows = df.where("lat is not null").withColumn("lat_bin", F.when((F.col("lat") >= lat_min) & (F.col("lat") <= lat_max), b))
-    alive = rows.groupBy("time").agg(F.count("*").alias("alive"))
-    bins = alive.select("time", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("lat_bin"))
-    counted = rows.where("lat_bin is not null").groupBy("time", "lat_bin").agg(F.count("*").alias("n"))
-    out = bins.join(counted, ["time", "lat_bin"], "left").join(alive, "time")
-    return out.select("time", "lat_bin", F.coalesce("n", F.lit(0)).alias("n"), "alive", F.when(F.col("alive") >= min_alive, F.coalesce("n", F.lit(0)) / F.col("alive")).alias("fraction"))
+    """alive_fraction of latitudes."""
+    return alive_fraction(df, "lat", lat_min, lat_max, step, min_alive)
+
+
+def alive_fraction(df: DataFrame, column: str, low: float, high: float, step: float, min_alive: int = 1, frame: str = "time", max_frame=None) -> DataFrame:
+    """Share of particles alive in a frame (a time, or an age) in each bin of a column; those outside all bins stay in the denominator. The last bin is closed.
+
+    Rows (frame, <column>_bin, its bounds bin_low and bin_high, n, alive, fraction), frames up to max_frame.
+    """
+    n = round((high - low) / step)
+    name = f"{column}_bin"
+    rows = df.where(F.col(column).isNotNull()) if max_frame is None else df.where(F.col(column).isNotNull() & (F.col(frame) <= F.lit(max_frame)))
+    b = F.least(F.floor((F.col(column) - low) / step), F.lit(n - 1)).cast("long")
+    rows = rows.withColumn(name, F.when((F.col(column) >= low) & (F.col(column) <= high), b))
+    alive = rows.groupBy(frame).agg(F.count("*").alias("alive"))
+    bins = alive.select(frame, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name))
+    counted = rows.where(F.col(name).isNotNull()).groupBy(frame, name).agg(F.count("*").alias("n"))
+    out = bins.join(counted, [frame, name], "left").join(alive, frame)
+    bounds = [(low + F.col(name) * step).alias("bin_low"), (low + (F.col(name) + 1) * step).alias("bin_high")]
+    return out.select(frame, name, *bounds, F.coalesce("n", F.lit(0)).alias("n"), "alive", F.when(F.col("alive") >= min_alive, F.coalesce("n", F.lit(0)) / F.col("alive")).alias("fraction"))
 
 
 def meridional_crossing(segments: DataFrame, points: DataFrame, grid: RegularGrid, min_days: float = 0.0, min_degrees: float | None = None, reference: str = "center", keys=("trajectory",), order: str = "obs") -> DataFrame:

@@ -49,8 +49,10 @@ def fsle_spectrum(crossings: DataFrame) -> DataFrame:
 
 
 def centre_pairs(df: DataFrame) -> DataFrame:
-    """Distance of every member to member 1 at each obs, with the initial one, which has to be positive."""
-    pairs = pair_members(df, "center_pairs")
+    """Distance of every member to member 1 at each obs (whatever their times; time is the member's), with the initial one, which has to be positive."""
+    side = lambda s, *more: df.select("group_id", "obs", *more, *(F.col(c).alias(f"{c}_{s}") for c in ("group_member", "lon", "lat")))
+    met = side("a").where("group_member_a = 1").join(side("b", "time").where("group_member_b > 1"), ["group_id", "obs"])
+    pairs = met.withColumn("km", haversine("lon_a", "lat_a", "lon_b", "lat_b")).withColumnsRenamed({"group_member_a": "member_a", "group_member_b": "member_b"})
     first = F.min_by("km", "obs").over(Window.partitionBy(*PAIR))
     return pairs.withColumn("initial_km", first).where("initial_km > 0")
 

@@ -251,6 +251,13 @@ def cadence(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFram
     return rows.groupBy("step_s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "step_s")
 
 
+def cadence_summary(df: DataFrame, keys=("trajectory",), order: str = "obs") -> DataFrame:
+    """One row: number, least, median, greatest and commonest (the smallest on a tie) time step in seconds."""
+    steps = cadence(df, keys, order)
+    known = df.select(((micros() - F.lag(micros()).over(_w(keys, order))) / 1e6).alias("step_s")).agg(F.median("step_s").alias("median_s"))
+    return steps.agg(F.sum("n").alias("steps"), F.min("step_s").alias("min_s"), F.max("step_s").alias("max_s"), F.min_by("step_s", F.struct(-F.col("n"), "step_s")).alias("mode_s")).crossJoin(known)  # one row each
+
+
 def jump_distance(keys=("trajectory",), order: str = "obs") -> Column:
     w = _w(keys, order)
     return F.abs(delta_lon(F.lag("lon").over(w), F.col("lon")))

@@ -45,8 +45,8 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...
     return out.drop("tile_row", "tile_column")
 
 
-def cluster_strength(df: DataFrame, grid: RegularGrid, length_km: float, cutoff: float = 4.0, frame: str = "time") -> DataFrame:
-    """Sum of exp(-(d / L)^2) over a frame's particles within cutoff L of each cell centre that any particle ever visits."""
+def cluster_strength(df: DataFrame, grid: RegularGrid, length_km: float, cutoff: float = 4.0, frame: str = "time", keys: tuple[str, ...] = ("trajectory",), order: str = "obs") -> DataFrame:
+    """Sum of exp(-(d / L)^2) over a frame's particles within cutoff L of each cell centre that any particle ever visits; release_count: particles that start in the cell."""
     points = df.where("lon is not null and lat is not null")
     visited = grid.assign(points).select("lon_bin", "lat_bin", F.col("lon_center").alias("lon"), F.col("lat_center").alias("lat")).distinct()
     # Particles at one place of a frame count together before they are dealt to tiles.
@@ -56,7 +56,10 @@ def cluster_strength(df: DataFrame, grid: RegularGrid, length_km: float, cutoff:
     found = met.groupBy(frame, F.col("lon_bin_r").alias("lon_bin"), F.col("lat_bin_r").alias("lat_bin")).agg(weight.alias("strength"), F.sum("n").alias("particles"))
     frames = points.select(frame).distinct()
     every = frames.crossJoin(visited.select("lon_bin", "lat_bin"))  # the result has a row for each of them
-    return every.join(found, [frame, "lon_bin", "lat_bin"], "left").withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "particles": F.coalesce("particles", F.lit(0))})
+    first = points.groupBy(*keys).agg(F.min_by(F.struct("lon", "lat"), order).alias("p")).select("p.*")
+    released = grid.assign(first).groupBy("lon_bin", "lat_bin").agg(F.count("*").alias("release_count"))
+    out = every.join(found, [frame, "lon_bin", "lat_bin"], "left").join(released, ["lon_bin", "lat_bin"], "left")
+    return out.withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "particles": F.coalesce("particles", F.lit(0)), "release_count": F.coalesce("release_count", F.lit(0))})
 
 
 def smooth_cells(cells: DataFrame, grid: RegularGrid, value: str, sigma_km: float, cutoff: float = 3.0, ellipsoid: bool = False) -> DataFrame:

@@ -234,6 +234,14 @@ def structure_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.withColumn("kind", kind).groupBy("ca", "kind").agg(F.count("*").alias("cells"))
 
 
+def component_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of each two components of two structures with a cell in common: the cells, and their share of either component."""
+    left, right = a.select(*CELL, F.col("component").alias("ca")).distinct(), b.select(*CELL, F.col("component").alias("cb")).distinct()
+    met = left.join(right, CELL).groupBy("ca", "cb").agg(F.count("*").alias("cells"))
+    sized = met.join(left.groupBy("ca").agg(F.count("*").alias("na")), "ca").join(right.groupBy("cb").agg(F.count("*").alias("nb")), "cb")
+    return sized.select("ca", "cb", "cells", (F.col("cells") / F.col("na")).alias("share_a"), (F.col("cells") / F.col("nb")).alias("share_b"))
+
+
 def turn_fields(matrix: DataFrame, geometry: str = "geographic") -> DataFrame:
     """Of each cell with moves in and out: the turn from the mean direction of arrival to that of departure, its cosine (alignment), and the coherent share of moves that leave."""
     out = harmonics(matrix, geometry=geometry).select(*CELL, F.col("n_move").alias("n_out_move"), F.col("r1").alias("r1_out"), F.col("theta1").alias("theta_out"))

@@ -304,7 +304,7 @@ def _(t):
     return rounded(D.sampled_map(t, GRID, "z", "trajectories"), 6, "mean", "std")
 
 
-@query("alive_latitude_fraction", "WITH a AS (SELECT time, count(*) AS alive FROM {t} GROUP BY time), b AS (SELECT time, CAST(least(floor((lat + 60) / 10), 11) AS BIGINT) AS lat_bin, count(*) AS n FROM {t} WHERE lat BETWEEN -60 AND 60 GROUP BY 1, 2) SELECT a.time, x.range AS lat_bin, coalesce(b.n, 0) AS n, alive, round(coalesce(b.n, 0) / alive, 9) AS fraction FROM a CROSS JOIN range(12) x LEFT JOIN b ON b.time = a.time AND b.lat_bin = x.range", "regular")
+@query("alive_latitude_fraction", "WITH a AS (SELECT time, count(*) AS alive FROM {t} GROUP BY time), b AS (SELECT time, CAST(least(floor((lat + 60) / 10), 11) AS BIGINT) AS lat_bin, count(*) AS n FROM {t} WHERE lat BETWEEN -60 AND 60 GROUP BY 1, 2) SELECT a.time, x.range AS lat_bin, -60e0 + x.range * 10 AS bin_low, -50e0 + x.range * 10 AS bin_high, coalesce(b.n, 0) AS n, alive, round(coalesce(b.n, 0) / alive, 9) AS fraction FROM a CROSS JOIN range(12) x LEFT JOIN b ON b.time = a.time AND b.lat_bin = x.range", "regular")
 def _(t):
     return rounded(D.alive_latitude_fraction(t, -60.0, 60.0, 10.0), 9, "fraction")
 

@@ -14,6 +14,7 @@ from trackmill.operators import maps as M
 from trackmill.operators import pairs as P
 from trackmill.operators import segments as S
 from trackmill.operators import spatial as G
+from trackmill.operators import transport as R
 from trackmill.plans.catalog import BINS, GRID, INSIDE, haversine_sql, query, rounded, turn_sql
 from trackmill.plans.structures import AGED, PAIRS
 from trackmill.shared import new_path
@@ -361,3 +362,44 @@ def _(t):
 @query("pair_meridional", f"SELECT group_id, obs, member_b, round(radians(abs(lat_b - lat_a)) * 6371.0, 6) AS km FROM ({PAIRS}) WHERE member_a = 1", "grouped")
 def _(t):
     return rounded(P.pair_members(t, "center_pairs", "meridional").select("group_id", "obs", "member_b", "km"), 6, "km")
+
+
+@query("check_monotonic_time", "SELECT * FROM {t}", "regular")
+def _(t):
+    return C.check_monotonic_time(t)
+
+
+@query("first_metadata", "SELECT trajectory, arg_min(event_type, obs) AS event_type, arg_min(lat, obs) FILTER (WHERE lat IS NOT NULL) AS lat, (CASE WHEN min(event_type) != max(event_type) THEN 1 ELSE 0 END + CASE WHEN min(lat) != max(lat) THEN 1 ELSE 0 END)::BIGINT AS multiple FROM {t} GROUP BY trajectory", "invalid")
+def _(t):
+    return C.first_metadata(t, ["event_type", "lat"], ["trajectory"])
+
+
+@query("cadence_summary", "WITH d AS (SELECT (epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY trajectory ORDER BY obs)) / 1e6 AS s FROM {t}), c AS (SELECT s, count(*) AS n FROM d WHERE s IS NOT NULL GROUP BY s) SELECT (SELECT sum(n)::BIGINT FROM c) AS steps, min(s) AS min_s, max(s) AS max_s, (SELECT s FROM c ORDER BY n DESC, s LIMIT 1) AS mode_s, median(s) AS median_s FROM d")
+def _(t):
+    return S.cadence_summary(t)
+
+
+@query("alive_longitude_by_age", "WITH g AS (SELECT lon, epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY trajectory) AS age_us FROM {t}), r AS (SELECT * FROM g WHERE age_us <= 10 * 86400000000), a AS (SELECT age_us, count(*) AS alive FROM r GROUP BY age_us), b AS (SELECT age_us, CAST(least(floor((lon + 90) / 30), 5) AS BIGINT) AS k, count(*) AS n FROM r WHERE lon BETWEEN -90 AND 90 GROUP BY 1, 2) SELECT a.age_us, x.range AS lon_bin, -90e0 + x.range * 30 AS bin_low, -60e0 + x.range * 30 AS bin_high, coalesce(b.n, 0) AS n, alive, CASE WHEN alive >= 5 THEN round(coalesce(b.n, 0) / alive, 9) END AS fraction FROM a CROSS JOIN range(6) x LEFT JOIN b ON b.age_us = a.age_us AND b.k = x.range", "regular")
+def _(t):
+    return rounded(D.alive_fraction(S.release_age(t), "lon", -90.0, 90.0, 30.0, 5, "age_us", 10 * DAY_US), 9, "fraction")
+
+
+#: Two structures of cells: where z is high, in parts of 60 degrees of longitude, and where there are many rows, in parts of 30 of latitude.
+HIGH = f"SELECT lon_bin, lat_bin, CAST(floor(lon_bin / 6) AS BIGINT) AS component FROM (SELECT {BINS}, avg(z) AS v FROM {{t}} WHERE {INSIDE} GROUP BY 1, 2) WHERE v > 500"
+MANY = f"SELECT lon_bin, lat_bin, CAST(floor(lat_bin / 6) AS BIGINT) AS component FROM (SELECT {BINS}, count(*) AS n FROM {{t}} WHERE {INSIDE} GROUP BY 1, 2) WHERE n >= 10"
+
+
+def structures(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    part = lambda c: F.floor(F.col(c) / 6).cast("long").alias("component")
+    cells = GRID.assign(t).groupBy("lon_bin", "lat_bin").agg(F.avg("z").alias("v"), F.count("*").alias("n"))
+    return cells.where("v > 500").select("lon_bin", "lat_bin", part("lon_bin")), cells.where("n >= 10").select("lon_bin", "lat_bin", part("lat_bin"))
+
+
+@query("structure_comparison", f"SELECT a.component AS ca, CASE WHEN b.component IS NULL THEN 'first' WHEN a.component IS NULL THEN 'second' ELSE 'both' END AS kind, count(*) AS cells FROM ({HIGH}) a FULL JOIN ({MANY}) b ON a.lon_bin = b.lon_bin AND a.lat_bin = b.lat_bin GROUP BY 1, 2")
+def _(t):
+    return R.structure_comparison(*structures(t))
+
+
+@query("component_overlap", f"SELECT a.component AS ca, b.component AS cb, count(*) AS cells, round(count(*) / any_value(a.n), 9) AS share_a, round(count(*) / any_value(b.n), 9) AS share_b FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM ({HIGH})) a JOIN (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM ({MANY})) b ON a.lon_bin = b.lon_bin AND a.lat_bin = b.lat_bin GROUP BY a.component, b.component")
+def _(t):
+    return rounded(R.component_overlap(*structures(t)), 9, "share_a", "share_b")

@@ -127,7 +127,7 @@ def _(t):
     return rounded(G.couple_trajectories(t, 300.0, 1.0), 6, "km", "closest_km")
 
 
-@query("cluster_strength", f"WITH v AS (SELECT DISTINCT {BINS} FROM {{t}} WHERE {INSIDE}), f AS (SELECT DISTINCT time FROM {{t}}), d AS (SELECT f.time, lon_bin, lat_bin, {haversine_sql('lon', 'lat', '(-175 + lon_bin * 10)', '(-87.5 + lat_bin * 5)')} AS km FROM f JOIN {{t}} t USING (time) CROSS JOIN v) SELECT time, lon_bin, lat_bin, round(sum(CASE WHEN km <= 1200 THEN exp(-pow(km / 300, 2)) ELSE 0 END), 6) AS strength, count(CASE WHEN km <= 1200 THEN 1 END) AS particles FROM d GROUP BY ALL", "regular")
+@query("cluster_strength", f"WITH v AS (SELECT DISTINCT {BINS} FROM {{t}} WHERE {INSIDE}), f AS (SELECT DISTINCT time FROM {{t}}), d AS (SELECT f.time, lon_bin, lat_bin, {haversine_sql('lon', 'lat', '(-175 + lon_bin * 10)', '(-87.5 + lat_bin * 5)')} AS km FROM f JOIN {{t}} t USING (time) CROSS JOIN v), r AS (SELECT {BINS}, count(*) AS n FROM {{t}} WHERE obs = 0 GROUP BY 1, 2) SELECT time, lon_bin, lat_bin, round(sum(CASE WHEN km <= 1200 THEN exp(-pow(km / 300, 2)) ELSE 0 END), 6) AS strength, count(CASE WHEN km <= 1200 THEN 1 END) AS particles, coalesce(any_value(r.n), 0) AS release_count FROM d LEFT JOIN r USING (lon_bin, lat_bin) GROUP BY ALL", "regular")
 def _(t):
     return rounded(G.cluster_strength(t, GRID, 300.0), 6, "strength")
 
