@@ -114,17 +114,29 @@ def _(t):
     return rounded(G.radius_join(p, p, 400.0, ("time",)).where("trajectory < trajectory_r").select("trajectory", "trajectory_r", "time", "km"), 6, "km")
 
 
-@query(
-    "couple_trajectories",
-    f"""WITH p AS (SELECT trajectory, time, lon, lat FROM {{t}} WHERE lon IS NOT NULL AND lat IS NOT NULL), m AS (SELECT a.trajectory AS id1, b.trajectory AS id2, a.time, {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM p a JOIN p b ON a.time = b.time AND a.trajectory < b.trajectory),
-    s AS (SELECT id1, id2, arg_min(time, struct_pack(k := km, t := time)) AS start, min(km) AS closest_km FROM m WHERE km <= 300 GROUP BY id1, id2),
-    r AS (SELECT s.id1, s.id2, s.start, s.closest_km, a.time, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM s JOIN p a ON a.trajectory = s.id1 AND a.time >= s.start JOIN p b ON b.trajectory = s.id2 AND b.time = a.time),
-    z AS (SELECT id1, id2, count(*) AS rows FROM r GROUP BY id1, id2 HAVING count(*) >= 2 AND epoch_us(max(time)) - epoch_us(min(time)) >= 86400000000)
-    SELECT r.* REPLACE (round(closest_km, 6) AS closest_km), z.rows, round({haversine_sql('lon1', 'lat1', 'lon2', 'lat2')}, 6) AS km FROM r JOIN z ON r.id1 = z.id1 AND r.id2 = z.id2""",
-    "regular",
-)
+def couple_sql(where: str = "") -> str:
+    middle = "degrees(atan2(sin(radians({a})) + sin(radians({b})), cos(radians({a})) + cos(radians({b}))))"
+    region = REGION.replace("lon", "c.x").replace("lat", "c.y")
+    return f"""WITH p AS (SELECT trajectory, time, lon, lat, z FROM {{t}} WHERE lon IS NOT NULL AND lat IS NOT NULL), c AS (SELECT a.trajectory AS id1, b.trajectory AS id2, a.time, {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km, {middle.format(a='a.lon', b='b.lon')} AS x, (a.lat + b.lat) / 2 AS y FROM p a JOIN p b ON a.time = b.time AND a.trajectory < b.trajectory),
+    s AS (SELECT id1, id2, arg_min(time, struct_pack(k := km, t := time)) AS start, min(km) AS closest_km FROM c WHERE km <= 300 {where.format(region=region)} GROUP BY id1, id2),
+    r AS (SELECT s.id1, s.id2, s.start, s.closest_km, a.time, a.lon AS lon1, a.lat AS lat1, a.z AS z1, b.lon AS lon2, b.lat AS lat2, b.z AS z2 FROM s JOIN p a ON a.trajectory = s.id1 AND a.time >= s.start JOIN p b ON b.trajectory = s.id2 AND b.time = a.time),
+    n AS (SELECT id1, id2, count(*) AS rows FROM r GROUP BY id1, id2 HAVING count(*) >= 2 AND epoch_us(max(time)) - epoch_us(min(time)) >= 86400000000)
+    SELECT r.* EXCLUDE (z1, z2) REPLACE (round(closest_km, 6) AS closest_km), n.rows, round({haversine_sql('lon1', 'lat1', 'lon2', 'lat2')}, 6) AS km, round({middle.format(a='lon1', b='lon2')}, 6) + 0.0 AS lon, (lat1 + lat2) / 2 AS lat, round((z1 + z2) / 2, 6) AS z FROM r JOIN n ON r.id1 = n.id1 AND r.id2 = n.id2"""
+
+
+def coupled(t: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    out = rounded(G.couple_trajectories(t, 300.0, 1.0, regions), 6, "km", "closest_km", "z")
+    return out.withColumn("lon", F.round("lon", 6) + 0.0)
+
+
+@query("couple_trajectories", couple_sql(), "regular")
+def _(t):
+    return coupled(t)
+
+
+@query("couple_trajectories_in_regions", couple_sql("AND ({region}) IS NOT NULL"), "regular")
 def _(t):
-    return rounded(G.couple_trajectories(t, 300.0, 1.0), 6, "km", "closest_km")
+    return coupled(t, G.regions_from_rings(t.sparkSession, RINGS))
 
 
 @query("cluster_strength", f"WITH v AS (SELECT DISTINCT {BINS} FROM {{t}} WHERE {INSIDE}), f AS (SELECT DISTINCT time FROM {{t}}), d AS (SELECT f.time, lon_bin, lat_bin, {haversine_sql('lon', 'lat', '(-175 + lon_bin * 10)', '(-87.5 + lat_bin * 5)')} AS km FROM f JOIN {{t}} t USING (time) CROSS JOIN v), r AS (SELECT {BINS}, count(*) AS n FROM {{t}} WHERE obs = 0 GROUP BY 1, 2) SELECT time, lon_bin, lat_bin, round(sum(CASE WHEN km <= 1200 THEN exp(-pow(km / 300, 2)) ELSE 0 END), 6) AS strength, count(CASE WHEN km <= 1200 THEN 1 END) AS particles, coalesce(any_value(r.n), 0) AS release_count FROM d LEFT JOIN r USING (lon_bin, lat_bin) GROUP BY ALL", "regular")
