@@ -85,3 +85,21 @@ def test_regions_over_many_tiles(spark):
     points = spark.createDataFrame([(1, 0, 10.0, 10.0), (1, 1, 9.4, 10.0), (1, 2, 175.0, 0.0), (1, 3, None, 0.0), (1, 4, -170.0, -80.0)], "trajectory long, obs long, lon double, lat double")
     got = {r["obs"]: (r["label"], r["n_regions"]) for r in G.classify_points(points, regions).collect()}
     assert got == {0: ("small", 2), 1: ("wide", 1), 2: (None, 0), 3: (None, 0), 4: ("wide", 1)}
+
+
+def test_exponents_use_the_distance_reached(spark):
+    import math
+
+    from trackmill.operators import pairs as P
+
+    rows = [(1, m, o, datetime(2024, 1, 1 + o), float(x if m == 2 else 0), 0.0) for o, x in enumerate((1, 2, 4)) for m in (1, 2)]
+    rows += [(2, m, o, datetime(2024, 1, 1 + o), float(1 if m == 2 else 0), 0.0) for o in range(3) for m in (1, 2)]
+    pairs = P.centre_pairs(spark.createDataFrame(rows, "group_id long, group_member int, obs long, time timestamp_ntz, lon double, lat double"))
+    get = lambda df, c: {(r["group_id"], r[c]): r for r in df.collect()}
+    fsle = get(P.fsle_map(pairs, [200.0, 300.0]), "scale")
+    assert math.isclose(fsle[1, 200.0]["fsle"], math.log(2) / 1) and math.isclose(fsle[1, 300.0]["fsle"], math.log(4) / 2)
+    assert fsle[2, 200.0]["fsle"] == 0.0 and not fsle[2, 200.0]["is_valid"]
+    assert get(P.fsle_map(pairs, [300.0], mask_zeros=True, backward=True), "scale")[2, 300.0]["fsle"] is None
+    ftle = get(P.ftle_map(pairs, [1.5, 5.0]), "horizon")
+    assert math.isclose(ftle[1, 1.5]["ftle"], math.log(2)) and ftle[2, 1.5]["ftle"] == 0.0 and ftle[1, 5.0]["ftle"] is None
+    assert math.isclose(get(P.ftle_map(pairs, [5.0], "max", backward=True), "horizon")[1, 5.0]["ftle"], -math.log(4) / 2)

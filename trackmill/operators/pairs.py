@@ -49,32 +49,52 @@ def fsle_spectrum(crossings: DataFrame) -> DataFrame:
 
 
 def centre_pairs(df: DataFrame) -> DataFrame:
-    """Distance of every member to member 1 at each obs (whatever their times; time is the member's), with the initial one, which has to be positive."""
+    """Distance of every member to member 1 at each obs (whatever their times; time is member 1's), with the initial one, which has to be positive."""
     side = lambda s, *more: df.select("group_id", "obs", *more, *(F.col(c).alias(f"{c}_{s}") for c in ("group_member", "lon", "lat")))
-    met = side("a").where("group_member_a = 1").join(side("b", "time").where("group_member_b > 1"), ["group_id", "obs"])
+    met = side("a", "time").where("group_member_a = 1").join(side("b").where("group_member_b > 1"), ["group_id", "obs"])
     pairs = met.withColumn("km", haversine("lon_a", "lat_a", "lon_b", "lat_b")).withColumnsRenamed({"group_member_a": "member_a", "group_member_b": "member_b"})
     first = F.min_by("km", "obs").over(Window.partitionBy(*PAIR))
     return pairs.withColumn("initial_km", first).where("initial_km > 0")
 
 
-def fsle_map(pairs: DataFrame, scales: list[float]) -> DataFrame:
-    """Of each group and scale: log(scale / initial) / time of the earliest crossing by any member; null if none crosses."""
-    rows = pairs.withColumn("t0", F.min(micros()).over(Window.partitionBy("group_id"))).withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
-    crossed = F.min_by(F.struct((F.abs(micros() - F.col("t0")) / 86400e6).alias("days"), "initial_km"), F.when(F.col("km") >= F.col("scale"), F.struct(F.abs(micros() - F.col("t0")), "member_b")))
-    met = rows.groupBy("group_id", "scale").agg(crossed.alias("c"))
-    rate: Column = F.when(F.col("c.days") > 0, F.greatest(F.lit(0.0), F.log(F.col("scale") / F.col("c.initial_km"))) / F.col("c.days"))
-    return met.select("group_id", "scale", rate.alias("fsle"))
+def aged(pairs: DataFrame) -> DataFrame:
+    """Pairs with age: days since their first obs, without sign."""
+    first = F.min_by(micros(), "obs").over(Window.partitionBy(*PAIR))
+    return pairs.withColumn("age", F.abs(micros() - first) / 86400e6)
 
 
-def ftle_map(pairs: DataFrame, days: list[float], mode: str = "last_before_or_at") -> DataFrame:
-    """Of each group and horizon: log(distance / initial) / age at the last obs up to it (or of the largest distance), by the member that went farthest."""
-    rows = pairs.withColumn("t0", F.min(micros()).over(Window.partitionBy("group_id"))).withColumn("age", F.abs(micros() - F.col("t0")) / 86400e6)
-    rows = rows.withColumn("horizon", F.explode(F.array(*map(F.lit, days)))).withColumn("last", F.max("age").over(Window.partitionBy(*PAIR)))
-    rows = rows.where("age <= horizon and last >= horizon and age > 0")
-    by = F.struct("age", "km") if mode == "last_before_or_at" else F.struct("km", -F.col("age"))
+def _of_every_group(pairs: DataFrame, scales: list[float], scale: str, found: DataFrame, value: str, fill: bool, mask_zeros: bool, backward: bool) -> DataFrame:
+    """A row for each group and scale: is_valid tells whether a value was found; what was not is 0 (fill) or null. Negative in backward runs; mask_zeros: zeros are null."""
+    base = pairs.select("group_id").distinct().withColumn(scale, F.explode(F.array(*map(F.lit, scales))))
+    rows = base.join(found, ["group_id", scale], "left").withColumn("is_valid", F.col(value).isNotNull())
+    out = F.coalesce(value, F.lit(0.0)) if fill else F.col(value)
+    out = -out if backward else out
+    return rows.withColumn(value, F.when(out != 0, out) if mask_zeros else out).select("group_id", scale, value, "is_valid")
+
+
+def fsle_map(pairs: DataFrame, scales: list[float], mask_zeros: bool = False, backward: bool = False) -> DataFrame:
+    """Of each group and scale: log(distance / initial) / age where a member first reaches the scale, by the member that does so earliest; 0 where that is no growth, or where none does."""
+    rows = aged(pairs).where("age > 0").withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).where("km >= scale")
+    crossed = rows.groupBy(*PAIR, "scale").agg(F.min_by(F.struct("age", "km", "initial_km"), "obs").alias("c"))
+    best = crossed.groupBy("group_id", "scale").agg(F.min_by("c", F.struct("c.age", "member_b")).alias("c"))
+    rate: Column = F.when(F.col("c.km") > F.col("c.initial_km"), F.log(F.col("c.km") / F.col("c.initial_km")) / F.col("c.age")).otherwise(0.0)
+    return _of_every_group(pairs, scales, "scale", best.select("group_id", "scale", rate.alias("fsle")), "fsle", not mask_zeros, mask_zeros, backward)
+
+
+def ftle_map(pairs: DataFrame, days: list[float], mode: str = "last_before_or_at", mask_short: bool = True, mask_zeros: bool = False, backward: bool = False) -> DataFrame:
+    """Of each group and horizon: log(distance / initial) / age by the member that went farthest; 0 where that is no growth.
+
+    mode: at the last obs up to the horizon, of pairs that reach it (last_before_or_at), or at the largest distance
+    before it (max). A group without one has null, or 0 unless mask_short.
+    """
+    rows = aged(pairs).withColumn("horizon", F.explode(F.array(*map(F.lit, days)))).withColumn("last", F.max("age").over(Window.partitionBy(*PAIR)))
+    rows = rows.where("age <= horizon and age > 0")
+    rows = rows.where("last >= horizon") if mode == "last_before_or_at" else rows
+    by = F.struct("age", "obs") if mode == "last_before_or_at" else F.struct("km", -F.col("obs"))
     member = rows.groupBy(*PAIR, "horizon").agg(F.max_by(F.struct("km", "age", "initial_km"), by).alias("p"))
-    best = member.groupBy("group_id", "horizon").agg(F.max_by("p", F.struct("p.km", -F.col("member_b"))).alias("p"))
-    return best.select("group_id", "horizon", (F.log(F.col("p.km") / F.col("p.initial_km")) / F.col("p.age")).alias("ftle"))
+    rate = F.when(F.col("p.km") > F.col("p.initial_km"), F.log(F.col("p.km") / F.col("p.initial_km")) / F.col("p.age")).otherwise(0.0)
+    best = member.withColumn("ftle", rate).groupBy("group_id", "horizon").agg(F.max_by("ftle", F.struct("p.km", "ftle", -F.col("member_b"))).alias("ftle"))
+    return _of_every_group(pairs, days, "horizon", best, "ftle", not (mask_short or mask_zeros), mask_zeros, backward)
 
 
 def compare_trajectories(a: DataFrame, b: DataFrame, keys=("trajectory",)) -> DataFrame:

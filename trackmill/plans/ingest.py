@@ -16,7 +16,7 @@ from trackmill.operators import segments as S
 from trackmill.operators import spatial as G
 from trackmill.operators import transport as R
 from trackmill.plans.catalog import BINS, GRID, INSIDE, haversine_sql, query, rounded, turn_sql
-from trackmill.plans.structures import AGED, PAIRS
+from trackmill.plans.structures import PAIRS, fsle_sql
 from trackmill.shared import new_path
 from trackmill.sources import tables as T
 
@@ -350,13 +350,27 @@ def _(t):
     return rounded(cells.join(M.cell_scales(t.sparkSession, GRID), "lat_bin").select("lon_bin", "lat_bin", "width_km", "height_km"), 6, "width_km", "height_km")
 
 
-@query("exponent_grid", f"WITH e AS (SELECT group_id, scale, CASE WHEN c.d > 0 THEN greatest(0.0, ln(scale / c.i)) / c.d END AS fsle FROM (SELECT group_id, scale, arg_min(struct_pack(d := age, i := initial), struct_pack(a := age, m := member_b)) FILTER (WHERE km >= scale) AS c FROM ({AGED}) CROSS JOIN (SELECT unnest([600.0, 1200.0])::DOUBLE AS scale) GROUP BY group_id, scale)), r AS (SELECT group_id, arg_min(lon, obs) AS lon, arg_min(lat, obs) AS lat, min(time) AS release_time FROM {{t}} WHERE group_member = 1 GROUP BY group_id) SELECT release_time, scale, CAST(floor((lon + 180) / 0.5) AS BIGINT) AS lon_bin, CAST(floor((lat + 90) / 0.5) AS BIGINT) AS lat_bin, CASE WHEN count(*) = 1 THEN round(any_value(fsle), 9) END AS fsle FROM e JOIN r USING (group_id) GROUP BY ALL", "grouped")
+EXPONENTS = f"SELECT release_time, scale, CAST(floor((lon + 180) / 0.5) AS BIGINT) AS lon_bin, CAST(floor((lat + 90) / 0.5) AS BIGINT) AS lat_bin, CASE WHEN count(*) = 1 THEN any_value(fsle) END AS fsle FROM ({fsle_sql('600.0, 1200.0')}) JOIN (SELECT group_id, arg_min(lon, obs) AS lon, arg_min(lat, obs) AS lat, min(time) AS release_time FROM {{t}} WHERE group_member = 1 GROUP BY group_id) r USING (group_id) GROUP BY ALL"
+
+
+@query("exponent_grid", EXPONENTS, "grouped")
 def _(t):
+    return exponents(t)
+
+
+@query("exponent_average", f"SELECT scale, lon_bin, lat_bin, round(avg(CASE WHEN abs(fsle) >= 0.05 THEN fsle END), 9) AS mean_fsle FROM ({EXPONENTS}) GROUP BY ALL", "grouped")
+def _(t):
+    # Averaged over releases, small values masked.
+    masked = exponents(t).withColumn("fsle", C.mask_below(F.col("fsle"), 0.05, True))
+    return masked.groupBy("scale", "lon_bin", "lat_bin").agg(F.round(F.avg("fsle"), 9).alias("mean_fsle"))
+
+
+def exponents(t: DataFrame) -> DataFrame:
     from trackmill.functions.grid import RegularGrid
 
     first = C.group_member(t, 1).groupBy("group_id").agg(F.min_by("lon", "obs").alias("lon"), F.min_by("lat", "obs").alias("lat"), F.min("time").alias("release_time"))
-    exponents = P.fsle_map(P.centre_pairs(t), [600.0, 1200.0]).join(first, "group_id")
-    return rounded(D.exponent_grid(exponents, RegularGrid(-180.0, 180.0, -90.0, 90.0, 0.5, 0.5), "scale", "fsle", strict=False), 9, "fsle")
+    found = P.fsle_map(P.centre_pairs(t), [600.0, 1200.0]).join(first, "group_id")
+    return rounded(D.exponent_grid(found, RegularGrid(-180.0, 180.0, -90.0, 90.0, 0.5, 0.5), "scale", "fsle", strict=False), 9, "fsle")
 
 
 @query("pair_meridional", f"SELECT group_id, obs, member_b, round(radians(abs(lat_b - lat_a)) * 6371.0, 6) AS km FROM ({PAIRS}) WHERE member_a = 1", "grouped")

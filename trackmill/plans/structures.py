@@ -50,19 +50,37 @@ def _(t):
 
 
 CENTRED = f"SELECT *, first(km) OVER (PARTITION BY group_id, member_b ORDER BY obs ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS initial FROM ({PAIRS}) WHERE member_a = 1"
-AGED = f"SELECT *, abs(epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY group_id)) / 86400e6 AS age FROM ({CENTRED}) WHERE initial > 0"
+AGED = f"SELECT *, abs(epoch_us(time) - first(epoch_us(time)) OVER (PARTITION BY group_id, member_b ORDER BY obs ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 86400e6 AS age FROM ({CENTRED}) WHERE initial > 0"
+GROWTH = "CASE WHEN p.k > p.i THEN ln(p.k / p.i) / p.a ELSE 0 END"
 
 
-@query("fsle_map", f"SELECT group_id, scale, round(CASE WHEN c.d > 0 THEN greatest(0.0, ln(scale / c.i)) / c.d END, 9) AS fsle FROM (SELECT group_id, scale, arg_min(struct_pack(d := age, i := initial), struct_pack(a := age, m := member_b)) FILTER (WHERE km >= scale) AS c FROM ({AGED}) CROSS JOIN (SELECT unnest([600.0, 1200.0, 2400.0])::DOUBLE AS scale) GROUP BY group_id, scale)", "grouped")
+def fsle_sql(scales: str) -> str:
+    return f"""WITH a AS MATERIALIZED ({AGED}), s AS (SELECT unnest([{scales}])::DOUBLE AS scale), c AS (SELECT group_id, member_b, scale, arg_min(struct_pack(a := age, k := km, i := initial), obs) AS p FROM a CROSS JOIN s WHERE age > 0 AND km >= scale GROUP BY ALL),
+    b AS (SELECT group_id, scale, arg_min(p, struct_pack(a := p.a, m := member_b)) AS p FROM c GROUP BY group_id, scale)
+    SELECT g.group_id, s.scale, b.p IS NOT NULL AS is_valid, CASE WHEN b.p IS NULL THEN 0.0 ELSE round({GROWTH}, 9) END AS fsle FROM (SELECT DISTINCT group_id FROM a) g CROSS JOIN s LEFT JOIN b ON b.group_id = g.group_id AND b.scale = s.scale"""
+
+
+def ftle_sql(reaches: str, best: str) -> str:
+    return f"""WITH a AS MATERIALIZED ({AGED}), s AS (SELECT unnest([2.0, 5.0])::DOUBLE AS horizon), c AS (SELECT group_id, member_b, horizon, arg_max(struct_pack(k := km, a := age, i := initial), {best}) AS p FROM (SELECT *, max(age) OVER (PARTITION BY group_id, member_b) AS last FROM a) CROSS JOIN s WHERE age <= horizon AND age > 0 {reaches} GROUP BY ALL),
+    b AS (SELECT group_id, horizon, arg_max({GROWTH}, struct_pack(k := p.k, f := {GROWTH}, m := -member_b)) AS v FROM c GROUP BY group_id, horizon)
+    SELECT g.group_id, s.horizon, round(v, 9) AS ftle, v IS NOT NULL AS is_valid FROM (SELECT DISTINCT group_id FROM a) g CROSS JOIN s LEFT JOIN b ON b.group_id = g.group_id AND b.horizon = s.horizon"""
+
+
+@query("fsle_map", fsle_sql("600.0, 1200.0, 2400.0"), "grouped")
 def _(t):
     return rounded(P.fsle_map(P.centre_pairs(t), [600.0, 1200.0, 2400.0]), 9, "fsle")
 
 
-@query("ftle_map", f"SELECT group_id, horizon, round(ln(p.k / p.i) / p.a, 9) AS ftle FROM (SELECT group_id, horizon, arg_max(p, struct_pack(k := p.k, m := -member_b)) AS p FROM (SELECT group_id, member_b, horizon, arg_max(struct_pack(k := km, a := age, i := initial), struct_pack(a := age, k := km)) AS p FROM (SELECT *, max(age) OVER (PARTITION BY group_id, member_b) AS last FROM ({AGED})) CROSS JOIN (SELECT unnest([2.0, 5.0])::DOUBLE AS horizon) WHERE age <= horizon AND last >= horizon AND age > 0 GROUP BY ALL) GROUP BY group_id, horizon)", "grouped")
+@query("ftle_map", ftle_sql("AND last >= horizon", "struct_pack(a := age, o := obs)"), "grouped")
 def _(t):
     return rounded(P.ftle_map(P.centre_pairs(t), [2.0, 5.0]), 9, "ftle")
 
 
+@query("ftle_map_largest", ftle_sql("", "struct_pack(k := km, o := -obs)"), "grouped")
+def _(t):
+    return rounded(P.ftle_map(P.centre_pairs(t), [2.0, 5.0], "max"), 9, "ftle")
+
+
 CHORD = f"2 * 6371.0 * sin({haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat', 1.0)} / 2)"
 
 
