@@ -15,7 +15,6 @@ are blocks of the other side. Candidates' blocks are large, so queries (the smal
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +42,32 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile(queries: tuple, candidates: tuple, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+def tile(queries: tuple, candidates: tuple, k: int) -> list[tuple[int, list[tuple[float, int]]]]:
     """For each query of a block with any candidates: its nearest of a block, best first. Blocks: (ids, vectors, *quantised)."""
     qid, q, qc, qs, qn, qe = queries
     cid, c, cc, cs, cn, ce = candidates
     # Products of int8 codes are whole numbers, which float32 holds exactly up to 1040 components and float64 beyond.
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    about = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(queries, candidates, k, (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs)
+
+
+def _tile(queries: tuple, candidates: tuple, k: int, about: np.ndarray) -> list[tuple[int, list[tuple[float, int]]]]:
+    qid, q, qc, qs, qn, qe = queries
+    cid, c, cc, cs, cn, ce = candidates
     # <x, y> - <x', y'> = <x', y - y'> + <x - x', y>, and a little for rounding in this sum itself.
     error = (qn[:, None] * ce + qe[:, None] * (cn + ce)) * (1 + 1e-9) + 1e-12 * (qn[:, None] + qe[:, None]) * (cn + ce)
     own = qid[:, None] == cid
-    low = np.where(own, -np.inf, about - error)
+    # A bound that is not a number (products beyond the range of doubles) rules nothing out.
+    low = about - error
+    low[own | np.isnan(low)] = -np.inf
     at = min(k, low.shape[1]) - 1
     least = -np.partition(-low, at, axis=1)[:, at]
-    rows, cols = np.nonzero(~own & (about + error >= least[:, None]))
+    rows, cols = np.nonzero(~own & ~(about + error < least[:, None]))
     score = exact(q[rows], c[cols])
-    ends = np.searchsorted(rows, np.arange(len(qid) + 1))
-    for i in range(len(qid)):
-        a, b = ends[i], ends[i + 1]
-        if a < b:
-            yield int(qid[i]), heapq.nsmallest(k, zip((-score[a:b]).tolist(), cid[cols[a:b]].tolist(), strict=True))
+    score[np.isnan(score)] = -np.inf
+    ends = np.searchsorted(rows, np.arange(len(qid) + 1)).tolist()
+    return [(int(qid[i]), heapq.nsmallest(k, zip((-score[a:b]).tolist(), cid[cols[a:b]].tolist(), strict=True))) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
 
 
 def blocks(table: pa.Table) -> tuple:
@@ -85,7 +90,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int, id_column: str = "vec_id"
     is_query: SQL over the column id. A row is compared with those of its own length that have another id; ties
     go to the smaller id. Every row is a candidate, also where ids repeat; of rows that repeat a query's id, the
     one with the smallest vector asks. Vectors with nothing to compare (see usable) are neither queries nor
-    candidates. Fewer than k candidates are all returned.
+    candidates. Fewer than k candidates are all returned. A product beyond the range of doubles is infinite, and one
+    that is no number counts as minus infinity. Other columns are not read.
     """
     rows = usable(vectors, id_column, vector)
     counts = rows.agg(F.count("*").alias("c"), F.count(F.when(F.expr(is_query), 1)).alias("q")).first()
