@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.tokens import encoder as shared_encoder
-from trackmill.llm.tokens import slices
+from trackmill.llm.tokens import slices, small_batches
 from trackmill.shared import materialize, new_path
 
 HEAD, KEY = struct.Struct("<QI"), struct.Struct("<BqQ")
@@ -79,6 +79,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     rows of one repeated key can go to several files.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 

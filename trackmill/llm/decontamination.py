@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import CHUNK, MARKS, shingles, words
-from trackmill.llm.tokens import chunks, slices
+from trackmill.llm.tokens import chunks, slices, small_batches
 from trackmill.shared import materialize
 
 #: Shingles of all items that may be sent to every executor (8 bytes each, and 8 for the item); more are joined by a shuffle.
@@ -84,6 +84,7 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, num: int =
     shingles are sent to all tasks or joined by a shuffle depends on their number; the rows are the same.
     """
     least_words = size if least_words is None else least_words
+    small_batches(docs.sparkSession)
     named = materialize(items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).withColumn("id", F.monotonically_increasing_id()), "probe-items")
     shingled = item_shingles(named, size, num, den, least_words)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

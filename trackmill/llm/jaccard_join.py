@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import mix, shingle_sets
-from trackmill.llm.tokens import slices
+from trackmill.llm.tokens import slices, small_batches
 from trackmill.operators.graph import connected_components
 from trackmill.shared import materialize
 
@@ -163,6 +163,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int, key: str = "doc_id", text: str = "text"):
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
+        small_batches(self.spark)
         self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         self.rows = materialize(set_rows(docs, size, num, den, key, text), "jaccard-rows")
         classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -347,7 +348,8 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, key: str
     Words are lower-cased (A to Z) runs without ASCII white space; a set holds the distinct runs of size words,
     or the whole sequence where there are fewer. Empty and null texts have no set and stay alone. Repeated rows
     are in one component, each with its own row. A null key is never the smallest; rows without any other key
-    near them have a null component. Other columns are not read.
+    near them have a null component, and a set that only rows with a null key hold links to nothing but its equals.
+    Texts are read whole, other columns are not.
     """
     return JaccardJoin(docs, size, num, den, key, text).components().withColumnRenamed("key", key)
 

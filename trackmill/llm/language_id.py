@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import mix, powers
-from trackmill.llm.tokens import slices
+from trackmill.llm.tokens import slices, small_batches
 
 U = np.uint64
 #: Characters of text handled at once; a longer text is handled alone.
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share words get a penalty for those they lack: one more than the smallest log frequency.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.crc32(F.col(key).cast("string").cast("binary")).alias("turn"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
@@ -213,8 +214,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs' columns but text, with lang_pred and score (in place of any so named). und (score 0): no text, or no letter in it.
 
-    A text whose words have no known part at all gets the first language with score 0. Long texts are read whole.
+    A text whose words have no known part at all gets the first language with score 0, and of languages that fit
+    equally well the first in order of name is taken. Texts are read whole, however long; repeated rows are predicted
+    each, null keys stay, and an empty model (nothing to learn from) gives und.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x orders x kept rows at most
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
@@ -229,6 +233,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def in_known_language(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """Those of docs whose text is of one of the model's languages with a score of least or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.llm.tokens import encoder as shared_encoder
-from trackmill.llm.tokens import slices
+from trackmill.llm.tokens import slices, small_batches
 from trackmill.shared import materialize
 
 
@@ -98,6 +98,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "key long, piece long, start long, length long, ids_crc32 long")
 

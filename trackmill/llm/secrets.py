@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.sampling import smallest
-from trackmill.llm.tokens import slices
+from trackmill.llm.tokens import slices, small_batches
 from trackmill.shared import materialize
 
 #: Findings that the forest is fitted on, at most.
@@ -87,6 +87,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             kinds = [pa.int64()] * 3 + [pa.string()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "start", "stop", "match", "before", "after", "path"])
 
+    small_batches(docs.sparkSession)
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), where.alias("path")).mapInArrow(scan, FINDING)
 

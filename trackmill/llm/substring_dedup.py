@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import MARKS, mix, words
-from trackmill.llm.tokens import chunks, slices
+from trackmill.llm.tokens import chunks, slices, small_batches
 from trackmill.shared import materialize
 
 U = np.uint64
@@ -115,6 +115,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: b
                 at = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("key").take(at), batch.column("copy").take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(count.astype(np.int32))], ["hash", "key", "copy", "start", "stop", "words"])
 
+    small_batches(docs.sparkSession)
     rows = _rows(docs, key, text).withColumn("copy", F.xxhash64("text"))
     return rows.mapInArrow(cut, "hash long, key long, copy long, start int, stop int, words int")
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.zeros(256, bool)
@@ -66,6 +67,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
+def small_batches(spark: SparkSession, limit: int = 2 * SLICE) -> None:
+    """Have Spark send texts to Python in batches of about limit bytes (64 MB by default), where the session does not ask for less.
+
+    It stays so for the session: plans are made when their results are asked for.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(number) * 1024 ** "bkmgt".index(unit or "b")
+    if not 0 < now <= limit:
+        spark.conf.set(name, str(limit))
+
+
 class UnitEncoder:
     """Encodes texts into ids as the library does."""
 
