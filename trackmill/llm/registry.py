@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, merkle, neighbours, packing, pii, secrets, substring_dedup, url_filter
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, merkle, neighbours, packing, pii, secrets, substring_dedup, url_filter, warc
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_report(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_url_filter": op1_url_filter,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_warc": op13_warc,
 }
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Runs of ASCII letters and digits and of other characters beyond ASCII; runs without ASCII white space.
@@ -118,6 +123,12 @@ e AS (SELECT doc_id, size, unnest(CASE WHEN len(w) >= size THEN {RUNS.format(k='
 u AS (SELECT item_id, size, len(held) AS n, unnest(held) AS h FROM s),
 f AS (SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found FROM u JOIN e USING (size, h) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f WHERE 100 * n_found >= 80 * n_shingles
+""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)
 """,
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '{SPACED}'), []) AS w FROM documents),
