@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, merkle, neighbours, packing, pii, secrets, substring_dedup, url_filter, warc
+from trackmill.llm import binary_output, decontamination, jaccard_join, language_id, merkle, neighbours, packing, pii, secrets, spelling, substring_dedup, url_filter, warc
 from trackmill.llm.tokens import tokenizer_path
 
 
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_report(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words_of(table(spark, sf_dir, "documents")))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_output": op9_binary_output,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_warc": op13_warc,
 }
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +99,8 @@ CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, {b}), lambda c, x: x
 PART = "coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
 LEAF = "sha256(" + " || ".join(PART.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 DECIMAL = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)"
+#: UTF-8 bytes of <doc_id>:<run>, where runs hold ASCII and U+00C0 to U+00FF.
+KEYED = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
 SIBLINGS = "coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx {side} n.idx), '')"
 SQL: dict[str, str] = {
     "op11_merkle_manifest": f"""
@@ -123,6 +130,22 @@ e AS (SELECT doc_id, size, unnest(CASE WHEN len(w) >= size THEN {RUNS.format(k='
 u AS (SELECT item_id, size, len(held) AS n, unnest(held) AS h FROM s),
 f AS (SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found FROM u JOIN e USING (size, h) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f WHERE 100 * n_found >= 80 * n_shingles
+""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+o AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, c, {CRC.format(b=KEYED)} AS h FROM o, crc),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+s AS (SELECT word, n, i, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS held FROM i),
+d AS (SELECT DISTINCT i.word, i.n, w.word AS shorter, w.n AS shorter_n FROM i JOIN w ON w.word = substring(i.word, 1, i - 1) || substring(i.word, i + 1)),
+e AS (SELECT a.word, b.word AS other, b.n AS m FROM s a JOIN s b ON a.i = b.i AND a.held = b.held AND a.word != b.word
+  UNION ALL SELECT word, shorter, shorter_n FROM d UNION ALL SELECT shorter, word, n FROM d),
+g AS (SELECT word, count(*) AS n_near, list({{'other': other, 'm': m}} ORDER BY m DESC, other)[1] AS best FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 2 * w.n THEN best.other END AS form, CASE WHEN best.m >= 2 * w.n THEN best.m END AS form_n FROM w LEFT JOIN g USING (word)),
+z(word, place) AS (SELECT word, word FROM f UNION ALL SELECT z.word, f.form FROM z JOIN f ON f.word = z.place WHERE f.form IS NOT NULL)
+SELECT f.*, z.place AS root FROM f JOIN z USING (word) JOIN f AS last ON last.word = z.place WHERE last.form IS NULL
 """,
     "op13_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
