@@ -23,7 +23,7 @@ def test_query(spark, db, tmp_path, name):
     got = db.sql(f"SELECT * FROM '{tmp_path}/out/*.parquet'")
     want = db.sql(catalog.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
-    columns = ", ".join(sorted(got.columns))
+    columns = ", ".join(f'"{c}"' for c in sorted(got.columns))
     a, b = f"SELECT {columns} FROM '{tmp_path}/out/*.parquet'", f"SELECT {columns} FROM ({catalog.SQL[name]})"
     for left, right in ((a, b), (b, a)):
         assert db.sql(f"({left}) EXCEPT ALL ({right}) LIMIT 3").fetchall() == []
