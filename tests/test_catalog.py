@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from trackmill.plans import catalog, ingest, structures  # noqa: F401  ingest and structures register their queries
+from trackmill.plans import catalog, crossings, ingest, structures  # noqa: F401  the others register their queries
 
 SF = "/root/testdata/sf0.001"
 
