@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators import barriers as B
 from trackmill.operators import maps as M
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
+from trackmill.operators.branches import permeability
 from trackmill.plans.catalog import GRID, haversine_sql, matrix, query, rounded
-from trackmill.plans.structures import OUTGOING, POINTS, POLAR, components_sql
+from trackmill.plans.structures import OUTGOING, POINTS, POLAR, WILSON, components_sql, crossing_sql
 from trackmill.shared import materialize
 
 #: Sides of cores that count as unobservable, by a rule of their cells that both languages say alike.
@@ -145,3 +147,64 @@ def _(t):
     rows = materialize(composites(m, cores(m)), "profiles")
     out = X.side_drops(rows, X.drop_zones(rows))
     return rounded(rounded(out, 9, "drop"), 6, "distance_km", "half_km", "e_km", "zero_km")
+
+
+# Barriers
+
+OFFSETS = [150.0 * k for k in range(-6, 7)]
+RULES = {"sigma": 1.0, "min_prominence": 0.002, "min_width_km": 120.0, "min_separation_km": 400.0}
+KERNEL = ", ".join(f"({k}, {w!r})" for k, w in zip(range(-4, 5), B.gaussian_weights(1.0), strict=True))
+RUN = "branch, point, run"
+#: Minima of smoothed runs (bm), and going down by prominence, which of them an accepted one is too close to (bn).
+MINIMA = f"""{crossing_sql(", ".join(map(str, OFFSETS))).replace(crossing_sql("").partition(", " + POINTS)[0], CORRIDORS, 1)},
+    bi AS (SELECT *, round(greatest(0.0, {WILSON.replace('{s}', '-')}), 15) AS low, round(least(1.0, {WILSON.replace('{s}', '+')}), 15) AS high, sum(CASE WHEN supported THEN 0 ELSE 1 END) OVER (PARTITION BY branch, point ORDER BY "offset") AS run FROM f),
+    bh AS (SELECT {RUN}, count(*) AS nn FROM bi WHERE supported GROUP BY {RUN} HAVING count(*) >= 3),
+    bj AS (SELECT bi.*, nn, row_number() OVER (PARTITION BY {RUN} ORDER BY "offset") - 1 AS i FROM bi JOIN bh USING ({RUN}) WHERE supported),
+    bs AS MATERIALIZED (SELECT a.branch, a.point, a.run, a.i, a.nn, a."offset", a.p_cross, a.low, a.high, round(sum(k.w * b.p_cross), 12) AS s FROM bj a CROSS JOIN (VALUES {KERNEL}) k(k, w) JOIN bj b ON a.branch = b.branch AND a.point = b.point AND a.run = b.run AND b.i = least(greatest(a.i + k.k, 0), a.nn - 1) GROUP BY ALL),
+    bt AS (SELECT a.branch, a.point, a.run, a.i, a.nn, a.s, max(b.i) FILTER (b.i < a.i AND b.s != a.s) AS lo, min(b.i) FILTER (b.i > a.i AND b.s != a.s) AS hi, coalesce(max(b.i) FILTER (b.i < a.i AND b.s < a.s) + 1, 0) AS l, coalesce(min(b.i) FILTER (b.i > a.i AND b.s < a.s) - 1, a.nn - 1) AS r, max(b.s) FILTER (b.i = 1) AS second, max(b.s) FILTER (b.i = a.nn - 2) AS almost FROM bs a JOIN bs b USING ({RUN}) GROUP BY a.branch, a.point, a.run, a.i, a.nn, a.s),
+    bu AS (SELECT bt.*, coalesce(x.s > bt.s AND y.s > bt.s AND bt.i = (lo + hi) // 2, FALSE) AS inside FROM bt LEFT JOIN bs x ON x.branch = bt.branch AND x.point = bt.point AND x.run = bt.run AND x.i = lo LEFT JOIN bs y ON y.branch = bt.branch AND y.point = bt.point AND y.run = bt.run AND y.i = hi),
+    bv AS (SELECT * FROM bu WHERE inside OR (i = 0 AND s < second) OR (i = nn - 1 AND s < almost)),
+    bw AS (SELECT bv.branch, bv.point, bv.run, bv.i, bv.s, bv.inside, max(b.s) FILTER (b.i BETWEEN l AND bv.i) AS ml, max(b.s) FILTER (b.i BETWEEN bv.i AND r) AS mr, arg_max(b.i, struct_pack(s := b.s, i := b.i)) FILTER (b.i BETWEEN l AND bv.i) AS a, arg_max(b.i, struct_pack(s := b.s, i := -b.i)) FILTER (b.i BETWEEN bv.i AND r) AS b FROM bv JOIN bs b USING ({RUN}) GROUP BY ALL),
+    bx AS (SELECT branch, point, run, i, s, inside, CASE WHEN inside THEN least(ml, mr) - s ELSE 0 END AS prominence, CASE WHEN inside THEN a ELSE i END AS a, CASE WHEN inside THEN b ELSE i END AS b FROM bw),
+    bq AS (SELECT bx.*, bx.s + prominence / 2 AS half, max(z.i) FILTER (z.i BETWEEN bx.a AND bx.i AND z.s >= bx.s + prominence / 2) AS ja, min(z.i) FILTER (z.i BETWEEN bx.i AND bx.b AND z.s >= bx.s + prominence / 2) AS jb, max(z.s) FILTER (z.i = bx.a) AS sa, max(z.s) FILTER (z.i = bx.b) AS sb FROM bx JOIN (SELECT branch, point, run, i, s FROM bs) z USING ({RUN}) GROUP BY bx.branch, bx.point, bx.run, bx.i, bx.s, bx.inside, bx.prominence, bx.a, bx.b),
+    bz AS (SELECT bq.*, p.s AS p0, q.s AS p1, u.s AS q0, v.s AS q1 FROM bq LEFT JOIN bs p ON p.branch = bq.branch AND p.point = bq.point AND p.run = bq.run AND p.i = ja LEFT JOIN bs q ON q.branch = bq.branch AND q.point = bq.point AND q.run = bq.run AND q.i = ja + 1 LEFT JOIN bs u ON u.branch = bq.branch AND u.point = bq.point AND u.run = bq.run AND u.i = jb LEFT JOIN bs v ON v.branch = bq.branch AND v.point = bq.point AND v.run = bq.run AND v.i = jb - 1),
+    bm AS MATERIALIZED (SELECT *, CASE WHEN inside THEN 150 * (jb - CASE WHEN q0 > half THEN (q0 - half) / (q0 - q1) ELSE 0 END - ja - CASE WHEN p0 > half THEN (p0 - half) / (p0 - p1) ELSE 0 END) ELSE 0 END AS width, CASE WHEN sa >= sb THEN a ELSE b END AS ref, row_number() OVER (PARTITION BY {RUN} ORDER BY -prominence, i) AS k, inside AND prominence >= 0.002 AND width >= 120 AS good FROM bz),
+    bn(branch, point, run, k, i, near, taken) AS (SELECT branch, point, run, k, i, FALSE, CASE WHEN good THEN [i] ELSE [] END FROM bm WHERE k = 1 UNION ALL
+      SELECT bm.branch, bm.point, bm.run, bm.k, bm.i, len(list_filter(taken, lambda z: abs(z - bm.i) < 3)) > 0, CASE WHEN good AND len(list_filter(taken, lambda z: abs(z - bm.i) < 3)) = 0 THEN list_append(taken, bm.i) ELSE taken END FROM bn JOIN bm ON bm.branch = bn.branch AND bm.point = bn.point AND bm.run = bn.run AND bm.k = bn.k + 1)"""
+SAID = "concat_ws(';', CASE WHEN NOT inside THEN 'edge_minimum' END, CASE WHEN prominence < 0.002 THEN 'low_prominence' END, CASE WHEN width < 120 THEN 'narrow_minimum' END, CASE WHEN near THEN 'too_close_to_stronger_minimum' END)"
+
+
+def candidates(m: DataFrame, c: DataFrame) -> DataFrame:
+    return B.barrier_candidates(permeability(c, m, 1500.0, OFFSETS), 150.0, **RULES)
+
+
+@query("barrier_candidates", f"""{MINIMA} SELECT bm.branch, bm.point, o."offset", round(o.p_cross, 9) AS p_cross, round(bm.s, 9) AS smoothed, round(prominence, 9) + 0.0 AS prominence, round(width, 6) + 0.0 AS width_km, x."offset" AS reference_offset, round(x.p_cross, 9) AS reference_p_cross, o.high >= x.low AS ci_overlaps_reference, {SAID} = '' AS accepted, {SAID} AS reasons
+    FROM bm JOIN bn USING ({RUN}, k) JOIN bs o ON o.branch = bm.branch AND o.point = bm.point AND o.run = bm.run AND o.i = bm.i JOIN bs x ON x.branch = bm.branch AND x.point = bm.point AND x.run = bm.run AND x.i = bm.ref""")
+def _(t):
+    m = written(t)
+    return rounded(rounded(candidates(m, cores(m)), 9, "p_cross", "smoothed", "prominence", "reference_p_cross"), 6, "width_km")
+
+
+def barrier_minima(t: DataFrame) -> DataFrame:
+    """Accepted minima of the corridors' profiles at their places beside the cores, with the core's sequence in its branch."""
+    m = written(t)
+    c = cores(m)
+    found = candidates(m, c).where("accepted").join(c.select("branch", "point", "sequence", "lon", "lat", "bearing"), ["branch", "point"])
+    lon, lat = X.destination(F.col("lon"), F.col("lat"), F.pmod(F.col("bearing") + F.when(F.col("offset") < 0, -90.0).otherwise(90.0), F.lit(360.0)), F.abs("offset"))
+    return found.select("branch", "point", "sequence", "offset", "p_cross", lon.alias("lon"), lat.alias("lat"))
+
+
+#: What may go on as one track in the queries: cells are up to 1,100 km wide.
+LINKS = {"max_offset_km": 500.0, "max_gap_km": 2500.0, "max_missing": 1, "sign_band_km": 100.0}
+
+
+@query("barrier_tracks", None)
+def _(t):
+    tracks = B.track_geometry(B.link_tracks(barrier_minima(t), **LINKS))
+    return rounded(tracks, 6, "lon", "lat", "step_km", "along_km")
+
+
+@query("barrier_track_summary", None)
+def _(t):
+    tracks = B.track_geometry(B.link_tracks(barrier_minima(t), **LINKS))
+    return rounded(B.track_summary(tracks), 6, "length_km", "coverage", "gap_km", "mean", "median")
