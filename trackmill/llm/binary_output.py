@@ -99,7 +99,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
 
     dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "key", "h").sortWithinPartitions("key", "h", "text")
     made = dealt.select("key", "text").mapInArrow(encode, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(path)  # a part is one file
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
