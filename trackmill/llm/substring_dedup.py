@@ -53,7 +53,7 @@ def least_of_windows(value: np.ndarray, run: np.ndarray, gap: int) -> np.ndarray
     return chosen
 
 
-def sentence_spans(raw: list[bytes], sentences: int = SENTENCES, least_words: int = WORDS, long_sentence: int = EIGHTH, every_run: bool = False, gap: int = GAP) -> tuple[np.ndarray, ...]:
+def sentence_spans(raw: list[bytes], sentences: int = SENTENCES, least_words: int = WORDS, long_sentence: int = EIGHTH, every_run: bool = True, gap: int = GAP) -> tuple[np.ndarray, ...]:
     """Spans of some texts: text, sentence number, sentences, words, first and end byte, hash; in order."""
     w = words(raw, MARKS)
     n = len(w.hash)
@@ -104,7 +104,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = False) -> DataFrame:
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = True) -> DataFrame:
     """Rows (hash, key, copy, start, stop, words) of all spans; start and stop in bytes of UTF-8, copy a hash of the text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: b
     return rows.mapInArrow(cut, "hash long, key long, copy long, start int, stop int, words int")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = True) -> DataFrame:
     """Rows (key, copy, start, stop, words, first_key): every place of a span but its first, which is in first_key.
 
     The first places come from a pre-aggregated minimum of each hash, so a passage that stands in a third of all
@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", eve
     return later.select("key", "copy", "start", "stop", "words", F.col("first.key").alias("first_key"))
 
 
-def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = False) -> DataFrame:
+def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = True) -> DataFrame:
     """Rows (key, copy, start, stop, spans, first_key): the runs of sentences to remove, overlapping spans joined (in bytes)."""
     from pyspark.sql import Window
 
@@ -145,7 +145,7 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", eve
     return named.groupBy("key", "copy", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("spans"), F.min("first_key").alias("first_key")).drop("run")
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = False) -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = True) -> DataFrame:
     """Rows (key, start, stop, n_spans, first_key), a row for each removed run of sentences, in bytes of UTF-8.
 
     first_key: the smallest key among the first places of its spans. Null and empty texts have no spans. Rows that
@@ -154,7 +154,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run:
     return removed_ranges(docs, key, text, every_run).select(F.col("key").alias(key), "start", "stop", F.col("spans").alias("n_spans"), F.col("first_key").alias(f"first_{key}"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every_run: bool = True) -> DataFrame:
     """docs with the removed runs of sentences taken out of text; all rows stay, and rows that repeat a key and text lose the same.
 
     The rest of a text is as it was, white space and marks around the runs included.
