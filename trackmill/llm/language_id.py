@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.hashing import mix, powers
 from trackmill.llm.tokens import slices, small_batches
+from trackmill.shared import materialize
 
 U = np.uint64
 #: Characters of text handled at once; a longer text is handled alone.
@@ -30,8 +31,6 @@ CHUNK = 1 << 18
 COUNTED = 1 << 19
 #: Labelled documents of each language that a model is fitted on, at most; those with the smallest hash of key are taken.
 FIT_DOCUMENTS = 3000
-#: Words and n-grams (of each order) kept for each language.
-KEPT = 30_000
 UNKNOWN = "und"
 _LETTER = np.zeros(0x110000, bool)
 _PAD = 0x110000
@@ -152,11 +151,11 @@ class Model:
         return [((self.langs[b] if c else self.langs[0], float(s) if c else 0.0) if has else (UNKNOWN, 0.0)) for b, s, c, has in zip(best.tolist(), share.tolist(), count.tolist(), letters_in.tolist(), strict=True)]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_order: int = 5, fit_documents: int = FIT_DOCUMENTS, kept: int = KEPT) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_order: int = 5, fit_documents: int = FIT_DOCUMENTS) -> Model:
     """Fit on docs with a text and a language: of each language fit_documents, those with the smallest crc32 of key.
 
-    Counts of the sample's words and n-grams are summed by Spark; the kept commonest of each language and order
-    come to the driver: languages x (max_order + 1) x kept rows at most, whatever the size of docs. Languages that
+    Counts of the sample's words and n-grams are summed by Spark, and all come to the driver: as many rows as the
+    sample has distinct ones, whatever the size of docs, and a score of each for each language. Languages that
     share words get a penalty for those they lack: one more than the smallest log frequency.
     """
     spark = docs.sparkSession
@@ -194,8 +193,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(np.full(len(values), order)), pa.array(values.view(np.int64)), pa.array(n)], ["lang", "order", "hash", "n"])
 
     counts = taken.select("lang", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(count, "lang string, order long, hash long, n long").groupBy("lang", "order", "hash").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "hash"))).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "order")))
-    top = ranked.where(F.col("rank") <= kept).select("lang", "order", "hash", "n", "total").toArrow()
+    counts = materialize(counts, "language-counts")
+    whole = counts.groupBy("lang", "order").agg(F.sum("n").alias("total"))
+    top = counts.join(whole, ["lang", "order"]).select("lang", "order", "hash", "n", "total").toArrow()
     name, at, h, n, total = (top.column(c).to_numpy() for c in ("lang", "order", "hash", "n", "total"))
     place = {x: i for i, x in enumerate(langs)}
     column = np.array([place[x] for x in name], np.int64)
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     each, null keys stay, and an empty model (nothing to learn from) gives und.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x orders x kept rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
