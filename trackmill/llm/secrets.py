@@ -45,9 +45,10 @@ CONTEXT = 32
 LETTERS = re.compile(r"[^\W\d_]{3,}")
 #: Pieces of findings handed on at once.
 PIECES = 1 << 17
+NAME = re.compile(r"[\w-]")
 RUN = re.compile(r"[A-Za-z0-9_\-+/=.~]{12,}")
 ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([^\s"'<>]{6,})""")
-SECRET_NAME = re.compile(r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\w-]{0,12}[\"'\]]?\s{0,3}(?:is\s{0,2})?[:=]?\s{0,3}[\"']?$", re.IGNORECASE)
+SECRET_NAME = re.compile(r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\w-]*[\"'\]]?\s{0,3}(?:is\s{0,2})?[:=]?\s{0,3}[\"']?$", re.IGNORECASE)
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})$")
 FINDING = "key long, start long, stop long, match string, before string, after string, path string"
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "distinct", "entropy", "class_changes", "transition", "covered", "longest_letters", "hex", "assigned", "quoted", "glued", "path_config", "path_test", "words_near", "numbers_near", "all_digits", "dotted"]
@@ -60,11 +61,19 @@ def mixed(run: str) -> bool:
     return sum(map(str.isalpha, run)) >= 16 and sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False)) >= 4
 
 
+def named_before(text: str, at: int) -> str:
+    """The 40 characters before a place, or as many more as the name that they begin in is long."""
+    begin = max(0, at - 40)
+    while begin and NAME.fullmatch(text[begin - 1]):
+        begin -= 1
+    return text[begin:at]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Places of candidates in a text, in code points, in order; one that lies in another is left out."""
     found = [m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m[0]) or KNOWN.match(m[0]) or mixed(m[0])]
     if "=" in text or ":" in text:
-        found += [m.span(1) for m in ASSIGNED.finditer(text) if SECRET_NAME.search(text[max(0, m.start(1) - 40) : m.start(1)])]
+        found += [m.span(1) for m in ASSIGNED.finditer(text) if SECRET_NAME.search(named_before(text, m.start(1)))]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         # NAME=value is one run: the value alone is the finding.
@@ -93,8 +102,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
 
 def pieces(match: str, before: str, after: str) -> Iterator[str]:
-    """All that may be a word of the dictionary in a match or beside it: runs of 3 to 16 letters in it, whole words beside it."""
+    """All that may be a word of the dictionary in a match or beside it: runs of 3 to 16 letters in it, whole longer runs, whole words beside it."""
     for run in LETTERS.findall(match.lower()):
+        if len(run) > 16:
+            yield run
         for i in range(len(run) - 2):
             for j in range(i + 3, min(i + 16, len(run)) + 1):
                 yield run[i:j]
@@ -115,8 +126,9 @@ class Language:
     def covered(self, s: str, words: set[str]) -> float:
         """Share of characters in words, longest first from the left."""
         s, at, n = s.lower(), 0, 0
+        sizes = sorted({len(w) for w in words if len(w) > 2}, reverse=True)
         while at < len(s):
-            for size in range(min(16, len(s) - at), 2, -1):
+            for size in sizes:
                 if s[at : at + size] in words:
                     at, n = at + size, n + size
                     break
