@@ -177,7 +177,8 @@ def _by_shuffle(rows: DataFrame, named: DataFrame, shingled: DataFrame, num: int
     return passed.join(docs.select("row", "key"), "row").join(named, "id").select("key", "item", F.col("n").alias("n_shingles"), "n_found")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without those that hold an item; rows with a null key stay."""
-    found = contained_items(docs, items, key=key, **how)
-    return docs.join(found.select(key).distinct(), key, "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without the rows whose text holds an item. Each row is judged by its own text, whatever its key, null too, and whoever shares it."""
+    marked = docs.withColumn("__mark", F.xxhash64(text))
+    found = contained_items(marked.select("__mark", text), items, key="__mark", text=text, **how)
+    return marked.join(found.select("__mark").distinct(), "__mark", "left_anti").select(*docs.columns)
