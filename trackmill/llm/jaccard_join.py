@@ -6,7 +6,7 @@ universe is cut into segments, and sets that differ in at most H elements agree
 segment that is indexed with its one-deletion neighbourhood as well (itself, and itself without any one
 element) finds sets that differ there by one element, and so counts twice: half as many segments are enough.
 A cost model picks the one or the other for each band: deletions cost rows to shuffle, and small segments are
-alike in unlike sets more often, which costs candidates.
+alike in unlike sets more often, which costs comparisons inside groups.
 
 Sets that are equal are one class, found by their digest. In a group of classes that share a segment, all are
 verified against the one that shares most (so a group of n near copies costs n verifications). In groups that then
@@ -40,8 +40,8 @@ U = np.uint64
 SEGMENT, LEVEL = U(0x9FB21C651E98DF25), U(0xA24BAED4963EE407)
 #: Rows of a block of a group.
 BLOCK = 256
-#: Cost of a candidate pair, in indexed rows: most end at their sketches.
-PAIR_COST = 3.0
+#: Cost in indexed rows of a pair that is shuffled, and of one that is compared where its group is. An indexed row is shuffled, and so are pairs with a group's pivot, of which each indexed row makes one at most.
+PAIR_COST, COMPARED_COST = 3.0, 0.003
 #: Probability that two unlike sets' single elements of a segment are one: lines and passages that many texts share.
 COMMON = 1e-3
 
@@ -84,7 +84,7 @@ def allocate(band: tuple[int, int], sets: int, num: int, den: int) -> tuple[int,
             term *= mean / i
             below += term
         single = each * math.exp(-each)
-        cost = m + PAIR_COST * sets / 2 * (max(0.0, 1 - below) ** 2 + COMMON * m * single * single)
+        cost = m + sets / 2 * (PAIR_COST * max(0.0, 1 - below) ** 2 + COMPARED_COST * COMMON * m * single * single)
         best = min(best, (cost, m, 0, e))
     return best[1:]
 
@@ -124,16 +124,22 @@ def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, size: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty."""
+    """Rows (key, mark, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty. mark: a hash of key and text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketches = [sketch(s, num, den) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "mark", "n", "digest", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(digest, "key long, n long, digest binary, sketch array<long>")
+    return marked(docs, key, text).mapInArrow(digest, "key long, mark long, n long, digest binary, sketch array<long>")
+
+
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, mark, text). The mark tells rows apart that share a key, null too; rows alike in key and text share it."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return rows.select("key", F.xxhash64("key", "text").alias("mark"), "text")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -159,14 +165,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 class JaccardJoin:
-    """The join of one table. rows: (key, n, digest, sketch); classes: (digest, cid, key, n, sketch), key the smallest of the class."""
+    """The join of one table. rows: (key, mark, n, digest, sketch); classes: (digest, cid, key, mark, n, sketch), of the row with the smallest key (null last)."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int, key: str = "doc_id", text: str = "text"):
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
         small_batches(self.spark)
-        self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        self.docs = marked(docs, key, text).drop("key")
         self.rows = materialize(set_rows(docs, size, num, den, key, text), "jaccard-rows")
-        classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = self.rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("key").isNull().alias("null"), "key", "mark")).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = classes.select("digest", "own.key", "own.mark", "n", "sketch")
         self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
     def _plan(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -188,7 +195,7 @@ class JaccardJoin:
                 wanted = batch.column("digest").to_pylist()
                 for cid, want, values in zip(batch.column("cid").to_pylist(), wanted, shingle_sets(batch.column("text").to_pylist(), size), strict=True):
                     if not len(values) or hashlib.blake2b(values.tobytes(), digest_size=16).digest() != want:
-                        continue  # another text with the same key
+                        continue  # another text with the same mark
                     band = int(np.searchsorted(lows, len(values), "right")) - 1
                     for level in {band, max(band - 1, 0)}:
                         s = signatures(values, level, *plan[level])
@@ -204,7 +211,7 @@ class JaccardJoin:
         def rows(sigs: list[np.ndarray], cids: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(cids))], ["sig", "cid"])
 
-        texts = self.docs.join(self.classes.drop("sketch"), "key").select("cid", "digest", "text")
+        texts = self.docs.join(self.classes.select("mark", "cid", "digest"), "mark").select("cid", "digest", "text")
         group = Window.partitionBy("sig").orderBy("cid")
         found = texts.mapInArrow(index, "sig long, cid long").withColumns({"first": F.first("cid").over(group), "next": F.lead("cid").over(group)})
         return materialize(found.where("cid != first or next is not null").select("sig", "cid"), "jaccard-groups")
@@ -289,7 +296,7 @@ class JaccardJoin:
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        found = self.docs.join(named.drop("sketch"), "key").select("cid", "digest", "text").mapInArrow(own, "cid long, digest binary, text string")
+        found = self.docs.join(named.select("mark", "cid", "digest"), "mark").select("cid", "digest", "text").mapInArrow(own, "cid long, digest binary, text string")
         return materialize(found.groupBy("cid").agg(F.min("text").alias("text")), "jaccard-texts")
 
     def _rest(self, entries: DataFrame, labels: DataFrame) -> DataFrame | None:
@@ -332,10 +339,15 @@ class JaccardJoin:
 
         return materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "jaccard-pairs")
 
+    def labelled(self) -> DataFrame:
+        """Rows (digest, key, mark, label) of classes: label tells their component."""
+        _, labels = self.links()
+        known = self.classes.join(labels.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left")
+        return known.select("digest", "key", "mark", F.coalesce("label", "cid").alias("label"))
+
     def components(self) -> DataFrame:
         """Rows (key, n_shingles, component_id), one for each row of docs."""
-        _, labels = self.links()
-        known = self.classes.join(labels.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        known = self.labelled()
         least = known.groupBy("label").agg(F.min("key").alias("component_id"))
         of_class = known.join(least, "label").select("digest", "component_id")
         joined = self.rows.join(of_class, "digest", "left")
@@ -347,23 +359,29 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, key: str
 
     Words are lower-cased (A to Z) runs without ASCII white space; a set holds the distinct runs of size words,
     or the whole sequence where there are fewer. Empty and null texts have no set and stay alone. Repeated rows
-    are in one component, each with its own row. A null key is never the smallest; rows without any other key
-    near them have a null component, and a set that only rows with a null key hold links to nothing but its equals.
-    Texts are read whole, other columns are not.
+    are in one component, each with its own row. Rows with a null key link as all others do, but a null key is never
+    the smallest; a component of such rows alone is null. Texts are read whole, other columns are not.
     """
     return JaccardJoin(docs, size, num, den, key, text).components().withColumnRenamed("key", key)
 
 
 def one_of_each(docs: DataFrame, size: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those in whose component another document has a smaller key; rows with a null key stay.
+    """docs without those that have another in their component: the row with the smallest key (null last) stays.
 
-    Of rows that repeat a kept key, the one with the smallest text stays.
+    Rows are told apart by key and text: unlinked texts that share a key all stay, and so do all rows without words.
+    Of kept rows alike in key and text, the one whose other columns are smallest stays.
     """
-    found = jaccard_components(docs, size, num, den, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti")
-    twice = docs.groupBy(key).count().where(F.col("count") > 1).where(F.col(key).isNotNull()).select(key)
+    join = JaccardJoin(docs, size, num, den, key, text)
+    classes = materialize(join.labelled(), "jaccard-labelled")
+    own = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "mark"))
+    kept = classes.groupBy("label").agg(own["mark"].alias("kept"))
+    of_class = classes.join(kept, "label").select("digest", "kept")
+    rows = join.rows.where("n > 0").select("digest", "mark")
+    gone = rows.join(of_class, "digest").where("mark != kept").select(F.col("mark").alias("__mark")).distinct()
+    told = docs.withColumn("__mark", F.xxhash64(F.col(key).cast("long"), F.col(text)))
+    left = told.join(gone, "__mark", "left_anti")
+    twice = materialize(rows.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("__mark")), "jaccard-repeated")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, key, "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy(key).orderBy(text)))
-    return kept.join(twice, key, "left_anti").unionByName(again.where("__turn = 1").drop("__turn"))
+        return left.select(*docs.columns)
+    once = left.join(twice, "__mark", "left_semi").groupBy("__mark").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return left.join(twice, "__mark", "left_anti").select(*docs.columns).unionByName(once)
