@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import barriers as B
+from trackmill.operators import lines as L
 from trackmill.operators import maps as M
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
@@ -208,3 +209,16 @@ def _(t):
 def _(t):
     tracks = B.track_geometry(B.link_tracks(barrier_minima(t), **LINKS))
     return rounded(B.track_summary(tracks), 6, "length_km", "coverage", "gap_km", "mean", "median")
+
+
+# Lines
+
+
+@query("resample_polyline", None)
+def _(t):
+    return rounded(L.resample_polyline(t, 200.0, ["z"], ["trajectory"], "obs"), 6, "s_km", "lon", "lat", "z")
+
+
+@query("line_geometry", None)
+def _(t):
+    return L.line_geometry(L.resample_polyline(t, 200.0, ["z"], ["trajectory"], "obs"), keys=["trajectory"])
