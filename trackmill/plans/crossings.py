@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackmill.operators import barriers as B
 from trackmill.operators import lines as L
 from trackmill.operators import maps as M
+from trackmill.operators import nearest as N
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
 from trackmill.operators.branches import permeability
@@ -222,3 +223,25 @@ def _(t):
 @query("line_geometry", None)
 def _(t):
     return L.line_geometry(L.resample_polyline(t, 200.0, ["z"], ["trajectory"], "obs"), keys=["trajectory"])
+
+
+# Nearest rows
+
+
+@query(
+    "nearest_field_values",
+    f"""WITH f AS MATERIALIZED (SELECT time, lon, lat, CASE WHEN event_id % 3 > 0 THEN z END AS z FROM {{t}} WHERE event_type = 'view'), d AS (SELECT DISTINCT time FROM f),
+    w AS (SELECT p.time, arg_min(d.time, struct_pack(a := abs(epoch_us(d.time) - epoch_us(p.time)), t := d.time)) AS field_time FROM (SELECT DISTINCT time FROM {{t}}) p CROSS JOIN d GROUP BY p.time),
+    p AS (SELECT trajectory, obs, time, lon, lat, field_time FROM {{t}} JOIN w USING (time)),
+    k AS (SELECT trajectory, obs, f.z, f.lon AS x, f.lat AS y, {haversine_sql('p.lon', 'p.lat', 'f.lon', 'f.lat')} AS km FROM p JOIN f ON f.time = p.field_time AND f.z IS NOT NULL),
+    m AS (SELECT trajectory, obs, arg_min(z, struct_pack(k := km, x := x, y := y, z := z)) AS z, min(km) AS km FROM k GROUP BY trajectory, obs)
+    SELECT p.*, z, round(km, 6) AS km FROM p LEFT JOIN m USING (trajectory, obs)""",
+)
+def _(t):
+    field = t.where("event_type = 'view'").select("time", "lon", "lat", F.expr("CASE WHEN event_id % 3 > 0 THEN z END AS z"))
+    return rounded(N.nearest_field_values(t.select("trajectory", "obs", "time", "lon", "lat"), field, ["z"], ["trajectory", "obs"]), 6, "km").select("trajectory", "obs", "time", "lon", "lat", "field_time", "z", "km")
+
+
+@query("nearest_other_lines", f"WITH d AS (SELECT a.trajectory, a.obs, b.trajectory AS other, b.obs AS place, {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM {{t}} a JOIN {{t}} b ON a.trajectory != b.trajectory OR abs(a.obs - b.obs) > 3), n AS (SELECT trajectory, obs, min(CASE WHEN other != trajectory THEN km END) AS other_km, min(CASE WHEN other = trajectory THEN km END) AS self_km FROM d GROUP BY trajectory, obs) SELECT trajectory, obs, lon, lat, round(other_km, 6) AS other_km, round(self_km, 6) AS self_km FROM {{t}} LEFT JOIN n USING (trajectory, obs)")
+def _(t):
+    return rounded(N.nearest_other_lines(t, 3, "trajectory", "obs"), 6, "other_km", "self_km")
