@@ -51,11 +51,10 @@ def circular_peaks(weights: np.ndarray, sigma: float, prominence: float, distanc
     return [(p, cuts[i - 1] - (n if i == 0 else 0), cuts[i] - 1) for i, p in enumerate(peaks)]
 
 
-def detect_modes(matrix: DataFrame, min_count: int = 5, sigma: float = 1.5, prominence: float = 0.1, distance: int = 6) -> DataFrame:
-    """Directional modes of each start cell: (start bins, mode, n, share, bearing, mean_km, accepted).
+def mode_members(matrix: DataFrame, sigma: float = 1.5, prominence: float = 0.1, distance: int = 6) -> DataFrame:
+    """The moves of a matrix (see displaced) with the directional mode of their start cell that they belong to.
 
-    The histogram of a cell (72 bins at most) is smoothed and cut at its minima by an Arrow function over arrays; the
-    moments of modes are sums over the matrix.
+    The histogram of a cell (72 bins at most) is smoothed and cut at its minima by an Arrow function over arrays.
     """
     moves = displaced(matrix).where("not stay and bearing is not null").withColumn("bin", F.floor(F.col("bearing") / (360.0 / BINS)).cast("int"))
     histogram = moves.groupBy(*START, "bin").agg(F.sum("transition_count").alias("n")).groupBy(*START).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"))
@@ -70,8 +69,13 @@ def detect_modes(matrix: DataFrame, min_count: int = 5, sigma: float = 1.5, prom
             yield pd.DataFrame(rows, columns=[*START, "mode", "bin"]).astype("int64")
 
     member = dense.mapInPandas(basins, f"{START[0]} long, {START[1]} long, mode long, bin long")
+    return moves.join(member, [*START, "bin"])
+
+
+def detect_modes(matrix: DataFrame, min_count: int = 5, sigma: float = 1.5, prominence: float = 0.1, distance: int = 6) -> DataFrame:
+    """Directional modes of each start cell: (start bins, mode, n, share, bearing, mean_km, accepted); moments of modes are sums over the matrix."""
     r, n = F.radians("bearing"), F.col("transition_count")
-    modes = moves.join(member, [*START, "bin"]).groupBy(*START, "mode").agg(F.sum(n).alias("n"), F.degrees(F.atan2(F.sum(n * F.sin(r)), F.sum(n * F.cos(r)))).alias("b"), (F.sum(n * F.col("distance")) / F.sum(n)).alias("mean_km"))
+    modes = mode_members(matrix, sigma, prominence, distance).groupBy(*START, "mode").agg(F.sum(n).alias("n"), F.degrees(F.atan2(F.sum(n * F.sin(r)), F.sum(n * F.cos(r)))).alias("b"), (F.sum(n * F.col("distance")) / F.sum(n)).alias("mean_km"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*START))
     return modes.select(*START, "mode", "n", share.alias("share"), F.pmod("b", F.lit(360.0)).alias("bearing"), "mean_km", (F.col("n") >= min_count).alias("accepted"))
 

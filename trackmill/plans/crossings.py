@@ -9,9 +9,10 @@ from trackmill.operators import barriers as B
 from trackmill.operators import lines as L
 from trackmill.operators import maps as M
 from trackmill.operators import nearest as N
+from trackmill.operators import network as W
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
-from trackmill.operators.branches import permeability
+from trackmill.operators.branches import mode_members, permeability
 from trackmill.plans.catalog import GRID, haversine_sql, matrix, query, rounded
 from trackmill.plans.structures import OUTGOING, POINTS, POLAR, WILSON, components_sql, crossing_sql
 from trackmill.shared import materialize
@@ -245,3 +246,36 @@ def _(t):
 @query("nearest_other_lines", f"WITH d AS (SELECT a.trajectory, a.obs, b.trajectory AS other, b.obs AS place, {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM {{t}} a JOIN {{t}} b ON a.trajectory != b.trajectory OR abs(a.obs - b.obs) > 3), n AS (SELECT trajectory, obs, min(CASE WHEN other != trajectory THEN km END) AS other_km, min(CASE WHEN other = trajectory THEN km END) AS self_km FROM d GROUP BY trajectory, obs) SELECT trajectory, obs, lon, lat, round(other_km, 6) AS other_km, round(self_km, 6) AS self_km FROM {{t}} LEFT JOIN n USING (trajectory, obs)")
 def _(t):
     return rounded(N.nearest_other_lines(t, 3, "trajectory", "obs"), 6, "other_km", "self_km")
+
+
+# Networks of modes
+
+#: Cells are far larger than those the default limits are for.
+EDGES = {"max_km": 2000.0}
+
+
+def mode_tables(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    m = written(t)
+    members = materialize(mode_members(m), "mode-members")
+    return members, materialize(W.mode_moments(members, m, 1, 1, 1, 0.02), "mode-moments")
+
+
+def network(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    members, modes = mode_tables(t)
+    return modes, W.network_edges(W.clustered(materialize(W.continuations(members, modes, GRID), "continuations"), GRID), **EDGES)
+
+
+@query("mode_moments", None)
+def _(t):
+    return rounded(mode_tables(t)[1], 6, "p_all", "dx", "dy", "mean_km", "bearing", "sd_km", "angular_sd", "p_moving")
+
+
+@query("branch_network", None)
+def _(t):
+    return network(t)[1]
+
+
+@query("branch_network_components", None)
+def _(t):
+    modes, edges = network(t)
+    return W.network_components(modes, edges, GRID)
