@@ -10,6 +10,7 @@ from trackmill.operators import lines as L
 from trackmill.operators import maps as M
 from trackmill.operators import nearest as N
 from trackmill.operators import network as W
+from trackmill.operators import repair as Q
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
 from trackmill.operators.branches import mode_members, permeability
@@ -279,3 +280,12 @@ def _(t):
 def _(t):
     modes, edges = network(t)
     return W.network_components(modes, edges, GRID)
+
+
+#: Metres a second: the given tracks step by a quarter of a degree or more in hours.
+SPEED = 5.0
+
+
+@query("speed_repair", None)
+def _(t):
+    return Q.speed_repair(t, SPEED, 5.0)
