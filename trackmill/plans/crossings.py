@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.operators import barriers as B
+from trackmill.operators import fronts as T
 from trackmill.operators import lines as L
 from trackmill.operators import maps as M
 from trackmill.operators import nearest as N
@@ -14,8 +17,8 @@ from trackmill.operators import repair as Q
 from trackmill.operators import sections as X
 from trackmill.operators import transport as R
 from trackmill.operators.branches import mode_members, permeability
-from trackmill.plans.catalog import GRID, haversine_sql, matrix, query, rounded
-from trackmill.plans.structures import OUTGOING, POINTS, POLAR, WILSON, components_sql, crossing_sql
+from trackmill.plans.catalog import GRID, bearing_sql, haversine_sql, matrix, query, rounded
+from trackmill.plans.structures import OUTGOING, POINTS, POLAR, WILSON, components_sql, crossing_sql, slope_sql
 from trackmill.shared import materialize
 
 #: Sides of cores that count as unobservable, by a rule of their cells that both languages say alike.
@@ -289,3 +292,93 @@ SPEED = 5.0
 @query("speed_repair", None)
 def _(t):
     return Q.speed_repair(t, SPEED, 5.0)
+
+
+# Fronts
+
+#: Size of the mean displacement of cells, and their direction.
+STRENGTH = f"""WITH sv AS (SELECT f.start_lon_bin AS lon_bin, f.start_lat_bin AS lat_bin, round(pm * coalesce(r1, 0), 12) AS v, CASE WHEN r1 >= 0.05 THEN theta1 END AS th FROM (SELECT start_lon_bin, start_lat_bin, sum(CASE WHEN stay THEN 0 ELSE transition_count END) / sum(transition_count) AS pm FROM ({POLAR}) GROUP BY 1, 2) f LEFT JOIN ({OUTGOING}) h ON h.start_lon_bin = f.start_lon_bin AND h.start_lat_bin = f.start_lat_bin),
+    sn AS (SELECT c.*, e.v AS e, w.v AS w, n.v AS n, s.v AS s FROM sv c LEFT JOIN sv e ON e.lat_bin = c.lat_bin AND e.lon_bin = (c.lon_bin + 1) % 36 LEFT JOIN sv w ON w.lat_bin = c.lat_bin AND w.lon_bin = (c.lon_bin + 35) % 36 LEFT JOIN sv n ON n.lon_bin = c.lon_bin AND n.lat_bin = c.lat_bin + 1 LEFT JOIN sv s ON s.lon_bin = c.lon_bin AND s.lat_bin = c.lat_bin - 1),
+    sr AS (SELECT *, {slope_sql('e', 'w', '(radians(10) * 6371.0 * cos(radians(-87.5 + lat_bin * 5)))')} AS gx, {slope_sql('n', 's', '(radians(5) * 6371.0)')} AS gy, radians(th) AS a FROM sn),
+    sx AS (SELECT *, gy * sin(a) - gx * cos(a) AS g_perp, gx * sin(a) + gy * cos(a) AS g_parallel FROM sr)"""
+METHOD = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN '{d}_centered' WHEN {a} IS NOT NULL OR {b} IS NOT NULL THEN '{d}_one_sided' ELSE '{d}_undefined' END AS {d}_method"
+
+
+def strength(m: DataFrame) -> DataFrame:
+    h = R.harmonics(m).select("lon_bin", "lat_bin", "r1", F.when(F.col("r1") >= 0.05, F.col("theta1")).alias("theta"))
+    v = F.sqrt(F.col("x_all") ** 2 + F.col("y_all") ** 2)
+    return R.directional_vectors(m).select("lon_bin", "lat_bin", F.round(v, 12).alias("strength")).join(h.drop("r1"), ["lon_bin", "lat_bin"], "left")
+
+
+def gradients(m: DataFrame) -> DataFrame:
+    return materialize(T.rotated_gradients(strength(m), GRID, "strength", "theta"), "gradients")
+
+
+@query(
+    "rotated_gradients",
+    f"""{STRENGTH} SELECT lon_bin, lat_bin, round(v, 9) AS strength, round(gx, 9) + 0.0 AS gx, round(gy, 9) + 0.0 AS gy, {METHOD.format(a='e', b='w', d='dx')}, {METHOD.format(a='n', b='s', d='dy')}, round(g_perp, 9) + 0.0 AS g_perp, round(abs(g_perp), 9) AS abs_g_perp, round(g_parallel, 9) + 0.0 AS g_parallel, round(abs(g_parallel), 9) AS abs_g_parallel, round(sqrt(g_perp * g_perp + g_parallel * g_parallel), 9) AS magnitude,
+    CASE WHEN sqrt(g_perp * g_perp + g_parallel * g_parallel) > 1e-12 THEN round(abs(g_perp) / sqrt(g_perp * g_perp + g_parallel * g_parallel), 6) END AS share_perp FROM sx""",
+)
+def _(t):
+    rows = gradients(written(t)).drop("theta")
+    nine = [c for c in rows.columns if c in ("strength", "gx", "gy", "g_perp", "abs_g_perp", "g_parallel", "abs_g_parallel", "magnitude")]
+    return rows.withColumns({c: F.round(c, 9) + 0.0 for c in nine} | {"share_perp": F.round("share_perp", 6)})
+
+
+@query("nearby_contamination", f"{SECTIONS}, nd AS (SELECT p.branch, p.point, p.a, p.sc, {haversine_sql('p.x', 'p.y', 'q.x', 'q.y')} AS d, radians({bearing_sql('p.x', 'p.y', 'q.x', 'q.y')}) - p.a AS turn FROM co p JOIN co q ON p.branch != q.branch), nf AS (SELECT branch, point, max(CASE WHEN d = 0 OR (abs(round(d * cos(turn), 6)) <= 2 * sc AND abs(round(d * sin(turn), 6)) <= 3 * sc) THEN 1 ELSE 0 END) = 1 AS hit FROM nd GROUP BY branch, point) SELECT co.branch, co.point, coalesce(hit, FALSE) AS contaminated FROM co LEFT JOIN nf USING (branch, point)")
+def _(t):
+    return T.nearby_contamination(cores(written(t))).select("branch", "point", "contaminated")
+
+
+#: The same steps once more with sections up to one place apart, for a second result of each core and side.
+AGAIN = re.sub(r"\b(si|cm|cp|dp|dl|dv|dw|dz|dr)\b", r"\1b", ZONES[len(SECTIONS) :].replace("<= 2", "<= 1", 1))
+
+
+def side_results(m: DataFrame, c: DataFrame) -> DataFrame:
+    """Best drops of each core and side by the sections up to two places apart, and by those next to it: segment 2 and 1."""
+    s = materialize(sections(m, c), "sections")
+    out = None
+    for reach in (2, 1):
+        zones = X.drop_zones(X.composite_profiles(s, X.along_segment(c, reach))).where("rank = 1").withColumn("segment", F.lit(reach))
+        out = zones if out is None else out.unionByName(zones)
+    axes = s.select("branch", "point", "core_lon", "core_lat").distinct()
+    return materialize(out.join(axes, ["branch", "point"]), "side-results")
+
+
+@query(
+    "canonical_fronts",
+    f"""{ZONES}{AGAIN},
+    fr AS (SELECT branch, point, side, abs(d1) AS km, vi - vo AS v, (vi - vo) / CASE WHEN core.u > 0 THEN core.u END AS rel FROM dr WHERE rank = 1 UNION ALL SELECT branch, point, side, abs(d1), vi - vo, (vi - vo) / CASE WHEN core.u > 0 THEN core.u END FROM drb WHERE rank = 1),
+    fm AS (SELECT branch, point, side, median(km) AS km, median(v) AS v, median(rel) AS rel FROM fr GROUP BY ALL)
+    SELECT co.branch, co.point, z.side, co.x AS core_lon, co.y AS core_lat, CASE WHEN ms IN ('left_and_right', z.side) THEN 'side_not_observable' WHEN km IS NOT NULL THEN 'probable_transport_front' ELSE 'observable_no_retained_front' END AS status, round(km, 6) AS distance_km, round(v, 9) AS "drop", round(rel, 6) AS relative_drop FROM co CROSS JOIN (SELECT unnest(['left', 'right']) AS side) z LEFT JOIN fm ON fm.branch = co.branch AND fm.point = co.point AND fm.side = z.side""",
+)
+def _(t):
+    m = written(t)
+    c = cores(m)
+    rows = T.canonical_fronts(c, side_results(m, c)).drop("lon", "lat")
+    return rows.withColumns({"distance_km": F.round("distance_km", 6), "drop": F.round("drop", 9), "relative_drop": F.round("relative_drop", 6)})
+
+
+MEDIANS = ["lon", "lat", "distance_km", "drop", "relative_drop", "g_perp", "abs_g_perp", "abs_g_parallel", "share_perp", "core_abs_g_perp", "local_max", "local_max_km", "percentile"]
+
+
+def front_records(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gradients of cells, and all results for cores and sides with the gradients there, at the axis and around."""
+    m = written(t)
+    c = cores(m)
+    g = gradients(m)
+    clean = T.nearby_contamination(c).select("branch", "point", "scale_km", "contaminated")
+    found = side_results(m, c).join(clean, ["branch", "point"]).select("branch", "point", "side", "segment", "lon", "lat", "core_lon", "core_lat", "scale_km", "distance_km", "drop", "relative_drop", "persists", "contaminated")
+    sampled = T.gradients_at(found, g, GRID)
+    at_core = T.gradients_at(found.select("branch", "point", "core_lon", "core_lat").distinct(), g, GRID, "core_lon", "core_lat", "core_").select("branch", "point", "core_abs_g_perp")
+    return g, T.gradient_context(materialize(sampled.join(at_core, ["branch", "point"]), "front-samples"), g, GRID, ["branch", "point", "side", "segment"])
+
+
+@query("front_records", None)
+def _(t):
+    return front_records(t)[1]
+
+
+@query("unique_fronts", None)
+def _(t):
+    return T.unique_fronts(front_records(t)[1], MEDIANS, 0.2)
