@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from trackmill.functions.geo import RADIUS, wrap_lon
 from trackmill.functions.geodesic import wgs84_direct
 from trackmill.functions.grid import RegularGrid
+from trackmill.operators.graph import connected_components
 from trackmill.operators.segments import contiguous_rolling_median
-from trackmill.operators.transport import CELL
+from trackmill.operators.transport import CELL, cell_id, neighbours8, with_neighbours
+from trackmill.shared import materialize
 
 KEYS = ("branch", "point")
 
@@ -233,3 +235,74 @@ def side_drops(profiles: DataFrame, zones: DataFrame, strong: float = 0.5, keys:
         shown(F.col("e_km")).alias("e_km"),
         shown(F.col("zero_km")).alias("zero_km"),
     )
+
+
+# Ridges
+
+
+def support_mean(cells: DataFrame, grid: RegularGrid, value: str) -> DataFrame:
+    """cells with a value, which becomes the mean over the cell and those of its eight neighbours that have one; the last column stands beside the first on the globe."""
+    rows = cells.where(F.col(value).isNotNull())
+    around = with_neighbours(rows.select(*CELL, F.col(value).alias("v")), grid, ["v"]).groupBy(*CELL).agg(F.sum("n_v").alias("__sum"), F.count("n_v").alias("__n"))
+    mean = (F.col(value) + F.coalesce("__sum", F.lit(0.0))) / (1 + F.coalesce("__n", F.lit(0)))
+    return rows.join(around, CELL, "left").withColumn(value, F.round(mean, 12)).drop("__sum", "__n")
+
+
+def ridge_diagnostics(cells: DataFrame, grid: RegularGrid, value: str, angle: str = "theta", support: str = "n_move", min_support: int = 1, smooth: bool = False, distance: float = 1.0, boundary_aware: bool = True, levels: Sequence[float] = (0.5, 0.75), tolerance: float = 1e-12, ellipsoid: bool = True) -> DataFrame:
+    """Each cell with a value, compared with samples a distance of its scale_km to the left and right across its direction.
+
+    cells: bins, value, angle (null: none), support, scale_km. Only cells with min_support give values, to samples and
+    to the mean of 3 by 3 (smooth). A ridge is no lower than both sides; with boundary_aware it is no lower than the one side
+    that can be sampled, where the other cannot. d_left and d_right are the differences, c_perp the mean of those
+    there are. missing_side: none, left, right, left_and_right; above_<level>: whether a ridge's value reaches that quantile of all
+    cells with support.
+    """
+    known = cells.where((F.col(support) >= min_support) & F.col(value).isNotNull())
+    field = (support_mean(known, grid, value) if smooth else known).select(*CELL, F.round(value, 12).alias("s"))
+    rows = cells.join(field, CELL, "left").withColumns({"lon": grid.lon_center(F.col("lon_bin")), "lat": grid.lat_center(F.col("lat_bin"))})
+    aimed = rows.where("s is not null and " + f"`{angle}` is not null").select(*CELL, "lon", "lat", F.col(angle).alias("__a"), "scale_km", F.explode(F.array(F.lit(-1), F.lit(1))).alias("__side"))
+    lon, lat = destination(F.col("lon"), F.col("lat"), F.pmod(F.col("__a") + F.col("__side") * 90.0, F.lit(360.0)), F.col("scale_km") * distance, ellipsoid)
+    spots = aimed.select(*(F.col(c).alias(f"__{c}") for c in CELL), "__side", lon.alias("__x"), lat.alias("__y"))
+    sampled = bilinear_fields(spots, field, grid, ["s"], "__x", "__y")
+    side = lambda c, k: F.max(F.when(F.col("__side") == k, F.col(c)))
+    both = sampled.groupBy(*(F.col(f"__{c}").alias(c) for c in CELL)).agg(F.round(side("s", -1), 12).alias("left"), F.round(side("s", 1), 12).alias("right"), side("status", -1).alias("left_status"), side("status", 1).alias("right_status"))
+    out = rows.join(both, CELL, "left").withColumns({"d_left": F.col("s") - F.col("left"), "d_right": F.col("s") - F.col("right")})
+    has_left, has_right, able = F.col("left").isNotNull(), F.col("right").isNotNull(), F.col("s").isNotNull() & F.col(angle).isNotNull()
+    two = able & has_left & has_right & (F.col("d_left") >= -tolerance) & (F.col("d_right") >= -tolerance)
+    one = able & (has_left != has_right) & (F.coalesce("d_left", "d_right") >= -tolerance)
+    kind = F.when(F.coalesce(two, F.lit(False)), "two_sided").when(F.coalesce(one, F.lit(False)), "one_sided").otherwise("not_ridge")
+    missing = F.when(has_left & has_right, "none").when(has_left, "right").when(has_right, "left").otherwise("left_and_right")
+    contrast = F.when(has_left & has_right, F.col("s") - (F.col("left") + F.col("right")) / 2).otherwise(F.coalesce("d_left", "d_right"))
+    out = out.withColumns({"ridge_type": kind, "missing_side": missing, "c_perp": contrast})
+    out = out.withColumn("ridge", (F.col("ridge_type") == "two_sided") | ((F.col("ridge_type") == "one_sided") & F.lit(boundary_aware)))
+    limits = field.agg(F.percentile("s", F.array(*(F.lit(float(x)) for x in levels))).alias("__limits"))  # one row
+    out = out.crossJoin(F.broadcast(limits))
+    return out.select(*CELL, support, "s", "left", "right", F.coalesce("left_status", F.lit("not_sampled")).alias("left_status"), F.coalesce("right_status", F.lit("not_sampled")).alias("right_status"), "d_left", "d_right", "c_perp", "ridge_type", "missing_side", "ridge", *((F.col("ridge") & (F.col("s") >= F.col("__limits")[i])).alias(f"above_{round(100 * x)}") for i, x in enumerate(levels)))
+
+
+def ridge_paths(ridges: DataFrame, grid: RegularGrid) -> DataFrame:
+    """Ridge cells' eight-neighbour components with their kind, and interruptions: cells without a ridge that lie between two ends of different components.
+
+    Rows (component, nodes, edges, ends, junctions, kind, interruptions, joins): joins are the components that one
+    missing cell keeps apart, in order. An interruption is found from the ends' own neighbours, never from pairs of components.
+    """
+    cells = ridges.where("ridge").select(*CELL)
+    pairs = with_neighbours(cells, grid, [], half=True)
+    edges = materialize(pairs.select(cell_id(grid).alias("src"), cell_id(grid, "n_lon_bin", "n_lat_bin").alias("dst")), "ridge-edges")
+    alone = cells.select(cell_id(grid).alias("src"), cell_id(grid).alias("dst"))
+    every = materialize(edges.unionByName(alone), "ridge-cells")
+    parts = materialize(connected_components(every), "ridge-parts")
+    degree = every.where("src != dst").select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    nodes = materialize(parts.join(degree, "node", "left").fillna(0, ["degree"]), "ridge-nodes")
+    stats = nodes.groupBy("component").agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.count(F.when(F.col("degree") == 1, 1)).alias("ends"), F.count(F.when(F.col("degree") > 2, 1)).alias("junctions"))
+    kind = F.when(F.col("nodes") == 1, "isolated_cell").when(F.col("junctions") > 0, "junction_network").when(F.col("ends") == 0, "loop").otherwise("simple_path")
+    # Each end offers its eight neighbours; a cell without a ridge that is offered by two components is an interruption.
+    ends = nodes.where("degree <= 1").withColumns({"lon_bin": F.col("node") % grid.nx, "lat_bin": F.floor(F.col("node") / grid.nx).cast("long")})
+    offered = neighbours8(ends, grid).join(ends.select(*CELL, "component"), CELL).select(cell_id(grid, "n_lon_bin", "n_lat_bin").alias("gap"), "component").distinct()
+    offered = offered.join(nodes.select(F.col("node").alias("gap")), "gap", "left_anti")
+    met = offered.groupBy("gap").agg(F.array_sort(F.collect_set("component")).alias("both")).where(F.size("both") > 1)  # eight at most
+    mine = met.select("gap", F.explode("both").alias("component"), "both")
+    gaps = mine.groupBy("component").agg(F.count("*").alias("interruptions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("both")))).alias("__all"))
+    out = stats.withColumn("kind", kind).join(gaps, "component", "left")
+    others = F.filter("__all", lambda x: x != F.col("component"))
+    return out.select("component", "nodes", "edges", "ends", "junctions", "kind", F.coalesce("interruptions", F.lit(0)).alias("interruptions"), F.coalesce(F.array_join(others.cast("array<string>"), ","), F.lit("")).alias("joins"))

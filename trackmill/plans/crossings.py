@@ -382,3 +382,70 @@ def _(t):
 @query("unique_fronts", None)
 def _(t):
     return T.unique_fronts(front_records(t)[1], MEDIANS, 0.2)
+
+
+# Ridges
+
+
+def ridges(m: DataFrame, smooth: bool) -> DataFrame:
+    scale = M.cell_scales(m.sparkSession, GRID).select("lat_bin", F.sqrt(F.col("width_km") * F.col("height_km")).alias("scale_km"))
+    cells = strength(m).join(R.harmonics(m).select("lon_bin", "lat_bin", "n_move"), ["lon_bin", "lat_bin"]).join(scale, "lat_bin")
+    return X.ridge_diagnostics(cells, GRID, "strength", smooth=smooth, ellipsoid=False)
+
+
+def ridges_sql(smooth: bool) -> str:
+    """ra: cells and their value s, rz: what ridges shows."""
+    box = "CROSS JOIN (SELECT x.range AS dx, y.range AS dy FROM range(-1, 2) x CROSS JOIN range(-1, 2) y) o JOIN rk b ON b.lon_bin = (a.lon_bin + o.dx + 36) % 36 AND b.lat_bin = a.lat_bin + o.dy"
+    field = f"SELECT a.lon_bin, a.lat_bin, a.n_move, a.th, round(sum(b.v) / count(*), 12) AS s FROM rk a {box} GROUP BY ALL" if smooth else "SELECT lon_bin, lat_bin, n_move, th, v AS s FROM rk"
+    part = lambda c, lo, step: f"(CASE WHEN {lo}.range = 1 THEN {c} - floor({c}) ELSE 1 - ({c} - floor({c})) END)"
+    u, v = "((lo + 180) / 10 - 0.5)", "((la + 90) / 5 - 0.5)"
+    return f"""{STRENGTH}, rh AS (SELECT start_lon_bin AS lon_bin, start_lat_bin AS lat_bin, n_move FROM ({OUTGOING})),
+    rk AS MATERIALIZED (SELECT sv.*, n_move FROM sv JOIN rh USING (lon_bin, lat_bin)), ra AS MATERIALIZED ({field}),
+    rb AS (SELECT *, -87.5e0 + lat_bin * 5 AS y, -175e0 + lon_bin * 10 AS x FROM ra WHERE th IS NOT NULL),
+    rc AS (SELECT lon_bin, lat_bin, k, x, y, radians(th) + k * pi() / 2 AS b, sqrt({haversine_sql('0', 'y', '10', 'y')} * {haversine_sql('0', '(y - 2.5)', '0', '(y + 2.5)')}) / 6371.0 AS d FROM rb CROSS JOIN (SELECT unnest([-1, 1]) AS k)),
+    rd AS (SELECT *, asin(greatest(-1.0, least(1.0, sin(radians(y)) * cos(d) + cos(radians(y)) * sin(d) * cos(b)))) AS up FROM rc),
+    re AS (SELECT lon_bin, lat_bin, k, degrees(up) AS la, x + degrees(atan2(sin(b) * sin(d) * cos(radians(y)), cos(d) - sin(radians(y)) * sin(up))) AS far FROM rd),
+    rf AS (SELECT lon_bin, lat_bin, k, la, far + 180 - 360 * floor((far + 180) / 360) - 180 AS lo FROM re),
+    rg AS (SELECT lon_bin, lat_bin, k, CAST(floor({u}) AS BIGINT) + p.range AS ci, CAST(floor({v}) AS BIGINT) + q.range AS cj, {part(u, 'p', 10)} * {part(v, 'q', 5)} AS w FROM rf CROSS JOIN range(2) p CROSS JOIN range(2) q),
+    rm AS (SELECT rg.lon_bin, rg.lat_bin, k, round(CASE WHEN count(s) = count(*) THEN sum(w * s) / sum(w) END, 12) AS z, CASE WHEN max(CASE WHEN cj < 0 OR cj > 35 THEN 1 ELSE 0 END) = 1 THEN 'domain_boundary' WHEN count(s) < count(*) THEN 'missing_support' ELSE 'ok' END AS status FROM rg LEFT JOIN ra ON ra.lon_bin = (ci + 36) % 36 AND ra.lat_bin = cj WHERE w > 1e-9 GROUP BY rg.lon_bin, rg.lat_bin, k),
+    rn AS (SELECT lon_bin, lat_bin, max(CASE WHEN k = -1 THEN z END) AS l, max(CASE WHEN k = 1 THEN z END) AS r, max(CASE WHEN k = -1 THEN status END) AS ls, max(CASE WHEN k = 1 THEN status END) AS rs FROM rm GROUP BY 1, 2),
+    ro AS (SELECT ra.*, l, r, coalesce(ls, 'not_sampled') AS left_status, coalesce(rs, 'not_sampled') AS right_status, s - l AS dl, s - r AS dr FROM ra LEFT JOIN rn USING (lon_bin, lat_bin)),
+    rp AS (SELECT *, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN CASE WHEN dl >= -1e-12 AND dr >= -1e-12 THEN 'two_sided' ELSE 'not_ridge' END WHEN coalesce(dl, dr) >= -1e-12 THEN 'one_sided' ELSE 'not_ridge' END AS ridge_type, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN 'none' WHEN l IS NOT NULL THEN 'right' WHEN r IS NOT NULL THEN 'left' ELSE 'left_and_right' END AS missing_side, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN s - (l + r) / 2 ELSE coalesce(dl, dr) END AS c_perp FROM ro),
+    rq AS MATERIALIZED (SELECT quantile_cont(s, 0.5) AS q50, quantile_cont(s, 0.75) AS q75 FROM ra)"""
+
+
+SHOWN_RIDGES = "SELECT lon_bin, lat_bin, n_move, round(s, 9) AS s, round(l, 9) AS \"left\", round(r, 9) AS \"right\", left_status, right_status, round(dl, 9) + 0.0 AS d_left, round(dr, 9) + 0.0 AS d_right, round(c_perp, 9) + 0.0 AS c_perp, ridge_type, missing_side, ridge_type != 'not_ridge' AS ridge, ridge_type != 'not_ridge' AND s >= q50 AS above_50, ridge_type != 'not_ridge' AND s >= q75 AS above_75 FROM rp CROSS JOIN rq"
+
+
+def shown_ridges(rows: DataFrame) -> DataFrame:
+    return rounded(rows, 9, "s", "left", "right").withColumns({c: F.round(c, 9) + 0.0 for c in ("d_left", "d_right", "c_perp")})
+
+
+@query("ridge_diagnostics", f"{ridges_sql(False)} {SHOWN_RIDGES}")
+def _(t):
+    return shown_ridges(ridges(written(t), False))
+
+
+@query("ridge_diagnostics_smoothed", f"{ridges_sql(True)} {SHOWN_RIDGES}")
+def _(t):
+    return shown_ridges(ridges(written(t), True))
+
+
+@query(
+    "ridge_paths",
+    f"""{ridges_sql(True).replace('WITH sv', 'WITH RECURSIVE sv', 1)}, c AS MATERIALIZED (SELECT lon_bin, lat_bin, lat_bin * 36 + lon_bin AS node FROM rp WHERE ridge_type != 'not_ridge'),
+    ob AS (SELECT x.range AS dx, y.range AS dy FROM range(-1, 2) x CROSS JOIN range(-1, 2) y WHERE x.range != 0 OR y.range != 0),
+    ne AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM c a CROSS JOIN ob JOIN c b ON b.lon_bin = (a.lon_bin + dx + 36) % 36 AND b.lat_bin = a.lat_bin + dy),
+    z(node, other) AS (SELECT node, node FROM c UNION SELECT z.node, ne.b FROM z JOIN ne ON ne.a = z.other), p AS MATERIALIZED (SELECT node, min(other) AS component FROM z GROUP BY node),
+    dg AS MATERIALIZED (SELECT p.node, component, count(ne.b) AS degree FROM p LEFT JOIN ne ON ne.a = p.node GROUP BY ALL),
+    st AS (SELECT component, count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, count(CASE WHEN degree = 1 THEN 1 END) AS ends, count(CASE WHEN degree > 2 THEN 1 END) AS junctions FROM dg GROUP BY component),
+    fo AS (SELECT DISTINCT (dg.node // 36 + dy) * 36 + (dg.node % 36 + dx + 36) % 36 AS gap, component FROM dg CROSS JOIN ob WHERE degree <= 1 AND dg.node // 36 + dy BETWEEN 0 AND 35),
+    fg AS (SELECT gap, list(DISTINCT component) AS who FROM fo WHERE gap NOT IN (SELECT node FROM c) GROUP BY gap HAVING count(DISTINCT component) > 1),
+    fh AS (SELECT component, gap, unnest(who) AS other FROM (SELECT gap, who, unnest(who) AS component FROM fg)),
+    fi AS (SELECT component, count(DISTINCT gap) AS interruptions, string_agg(DISTINCT other::VARCHAR, ',' ORDER BY other::VARCHAR) FILTER (other != component) AS joins FROM fh GROUP BY component)
+    SELECT st.*, CASE WHEN nodes = 1 THEN 'isolated_cell' WHEN junctions > 0 THEN 'junction_network' WHEN ends = 0 THEN 'loop' ELSE 'simple_path' END AS kind, coalesce(interruptions, 0) AS interruptions, coalesce(joins, '') AS joins FROM st LEFT JOIN fi USING (component)""",
+)
+def _(t):
+    rows = X.ridge_paths(ridges(written(t), True), GRID)
+    # In the order of text, as the twin has it.
+    return rows.withColumn("joins", F.array_join(F.array_sort(F.split("joins", ",")), ","))
