@@ -22,9 +22,10 @@ Shingles are 64-bit hashes; similarity is counted on whole sets of them.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,16 @@ PAIR_COST, COMPARED_COST = 3.0, 0.003
 COMMON = 1e-3
 
 
+def relieved(parts: Iterable) -> Iterator:
+    """parts one after the other; what was freed on the way is given back to the system, as a worker goes on with other tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for part in parts:
+        yield part
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
     """Size bands (smallest, largest): a set of a band has all its smaller partners there or in the band before."""
     out, low = [], 1
@@ -127,7 +138,7 @@ def set_rows(docs: DataFrame, size: int, num: int, den: int, key: str, text: str
     """Rows (key, mark, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty. mark: a hash of key and text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in relieved(slices(batches)):
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketches = [sketch(s, num, den) if len(s) else None for s in sets]
@@ -190,7 +201,7 @@ class JaccardJoin:
         size, (lows, plan) = self.size, self._plan()
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in relieved(slices(batches)):
                 sigs, cids, held = [], [], 0
                 wanted = batch.column("digest").to_pylist()
                 for cid, want, values in zip(batch.column("cid").to_pylist(), wanted, shingle_sets(batch.column("text").to_pylist(), size), strict=True):
@@ -225,7 +236,7 @@ class JaccardJoin:
         num, den = self.num, self.den
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in relieved(batches):
                 allowed = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (den - num) // (den + num)
                 sides = []
                 for c in ("sketch_a", "sketch_b"):
@@ -245,7 +256,7 @@ class JaccardJoin:
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: dict[int, np.ndarray] = {}
-            for batch in (part for whole in slices(batches, "text_a") for part in slices([whole], "text_b")):
+            for batch in relieved(part for whole in slices(batches, "text_a") for part in slices([whole], "text_b")):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 sets = dict(last)
                 need: dict[int, str] = {}
@@ -291,7 +302,7 @@ class JaccardJoin:
         size = self.size
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in relieved(slices(batches)):
                 sets = shingle_sets(batch.column("text").to_pylist(), size)
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
