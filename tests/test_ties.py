@@ -18,3 +18,10 @@ def test_regions_hold_centres_on_their_edge(spark):
     regions = G.regions_from_rings(spark, [("a", 1, 1, [(50.0, -45.0), (60.0, -45.0), (60.0, -35.0), (50.0, -35.0)])])
     tracks = spark.createDataFrame(rows, "trajectory long, time timestamp_ntz, lon double, lat double")
     assert G.couple_trajectories(tracks, 300.0, 1.0, regions).count() == 3
+
+
+def test_nearest_field_takes_the_smallest_columns_of_one_place(spark):
+    t0 = datetime(2024, 1, 1)
+    field = spark.createDataFrame([(t0, 1.0, 1.0, z) for z in (5.0, 2.0, 9.0)], "time timestamp_ntz, lon double, lat double, z double")
+    points = spark.createDataFrame([(1, t0, 1.0, 1.5)], "id long, time timestamp_ntz, lon double, lat double")
+    assert [r["z"] for r in G.nearest_field(points, field, ["z"], 100.0, ["id"]).collect()] == [2.0]
