@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +58,19 @@ def _too_fast(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
 def jump_qc(df: DataFrame, max_speed: float, max_block: int = 3, keys=("trajectory", "segment")) -> DataFrame:
     """Without short blocks that two too fast links (km a day) bound and whose bridge is slow enough, first block first; then split where a fast link is left.
 
-    Adds part. Removals change later links, so a segment is one group: it is a platform's own fixes, a few thousand rows.
+    Adds part. Removals change later links, so a segment is in one task, sorted, and read as a stream: a batch's links
+    are measured at once, and only segments that hold a fast one are gone through, one at a time.
     """
+    rows = df.drop("part")
 
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("obs")
-        x = np.column_stack([group["lon"], group["lat"], group["time"].astype("int64") / (86400e9 if str(group["time"].dtype).endswith("[ns]") else 86400e6)])
+    def fast_links(x: np.ndarray) -> np.ndarray:
+        p = np.radians(x[:, 1])
+        h = np.sin(np.diff(p) / 2) ** 2 + np.cos(p[:-1]) * np.cos(p[1:]) * np.sin(np.radians(np.diff(x[:, 0])) / 2) ** 2
+        days, km = np.diff(x[:, 2]), 2 * RADIUS_QC * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        # What is near the limit is left to the exact rule, as are links without a position.
+        return ~np.where(days <= 0, km == 0, km <= max_speed * days * (1 - 1e-9))
+
+    def repaired(x: np.ndarray) -> tuple[list[int], np.ndarray]:
         keep, i = list(range(len(x))), 1
         while i < len(keep):
             if _too_fast(x[keep[i - 1]], x[keep[i]], max_speed):
@@ -73,12 +84,52 @@ def jump_qc(df: DataFrame, max_speed: float, max_block: int = 3, keys=("trajecto
                     i += 1
             else:
                 i += 1
-        out = group.iloc[keep].copy()
-        out["part"] = np.cumsum([0] + [_too_fast(x[a], x[b], max_speed) for a, b in zip(keep, keep[1:], strict=False)]) if keep else np.zeros(0, np.int64)
-        return out.astype({"part": "int64"})
+        return keep, np.cumsum([0] + [_too_fast(x[a], x[b], max_speed) for a, b in zip(keep, keep[1:], strict=False)])
+
+    def whole(table: pa.Table) -> pa.Table:
+        """Rows that stay, with their parts; the table holds whole segments."""
+        first = starts(table)
+        days = pc.cast(pc.cast(table.column("time"), pa.timestamp("us")), pa.int64()).to_numpy() / 86400e6
+        x = np.column_stack([table.column("lon").to_numpy(), table.column("lat").to_numpy(), days]).astype(float)
+        fast = fast_links(x)
+        bounds = np.append(first, len(x))
+        fast[bounds[1:-1] - 1] = False
+        stay, part = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+        for s in np.unique(np.searchsorted(first, np.flatnonzero(fast), "right") - 1):
+            lo, hi = bounds[s], bounds[s + 1]
+            keep, parts = repaired(x[lo:hi])
+            stay[lo:hi] = False
+            stay[lo + np.array(keep)] = True
+            part[lo + np.array(keep)] = parts
+        return table.append_column("part", pa.array(part)).filter(pa.array(stay)).combine_chunks()
+
+    def starts(table: pa.Table) -> np.ndarray:
+        """Rows at which a segment begins; nulls are a key too."""
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for k in keys:
+            code = pc.dictionary_encode(table.column(k).combine_chunks(), null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # All but the last segment of a batch are whole once the next one is seen.
+            own = starts(pa.Table.from_batches([batch]))
+            if held and (len(own) > 1 or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
+                cut = int(own[-1])
+                yield from whole(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from whole(pa.Table.from_batches(held)).to_batches()
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != "part"] + [T.StructField("part", T.LongType())])
-    return df.groupBy(*keys).applyInPandas(repair, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.LongType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "obs").mapInArrow(stream, schema)
 
 
 def repair_isolated_bins(df: DataFrame, column: str, longest: int, keys=("trajectory",), order: str = "obs") -> DataFrame:

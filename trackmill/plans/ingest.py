@@ -21,6 +21,8 @@ from trackmill.shared import new_path
 from trackmill.sources import tables as T
 
 DAY_US = 86400 * 10**6
+#: Tracks of one file of text fixes.
+STATIONS = 64
 PLAIN = "trajectory, obs, time, lon, lat, z"
 
 
@@ -117,9 +119,12 @@ def _(t):
     flag = F.when(F.col("event_type") == "error", 0).otherwise(1)
     line = F.concat_ws("  ", "trajectory", F.date_format("time", "yyyy/MM/dd HH:mm:ss"), "lat", "lon", flag.cast("string"))
     path = new_path(t.sparkSession, "fixes")
-    # A text file for each task, with a header above its first line.
-    head = F.when(F.row_number().over(Window.partitionBy("trajectory").orderBy("obs")) == 1, F.lit("station\na b 2020/01/01 00:00:00 1 1 1\n*END OF HEADER\n")).otherwise(F.lit(""))
-    t.withColumn("value", F.concat(head, line)).repartition("trajectory").sortWithinPartitions("trajectory", "obs").select("value", "trajectory").write.partitionBy("trajectory").text(path)
+    # A text file for each STATIONS tracks, with a header above its first line: a file each would be more work than its rows.
+    station = F.floor(F.col("trajectory") / STATIONS)
+    first = F.row_number().over(Window.partitionBy("station").orderBy("trajectory", "obs")) == 1
+    head = F.when(first, F.lit("station\na b 2020/01/01 00:00:00 1 1 1\n*END OF HEADER\n")).otherwise(F.lit(""))
+    rows = t.withColumn("station", station).withColumn("value", F.concat(head, line))
+    rows.repartition("station").sortWithinPartitions("station", "trajectory", "obs").select("value", "station").write.partitionBy("station").text(path)
     return C.at_sea(T.read_text_fixes(t.sparkSession, path)).select("time", "lat", "lon", "at_sea")
 
 
