@@ -22,3 +22,26 @@ def test_radius_join_copies_few_and_finds_all(spark):
         assert got == {(a[0], b[0]) for a in spots for b in spots if km(a[1:], b[1:]) <= reach}
     mild = p.where("abs(lat) < 60")
     assert G._tiles(mild, 400.0, True).count() < 6 * mild.count()
+
+
+def test_nearest_on_lines_small_tiles(spark):
+    rng = random.Random(9)
+    lines = [(f"l{i}", k, x + 0.8 * k, y + rng.uniform(-1, 1)) for i in range(60) for x, y in [(rng.uniform(-180, 170), rng.uniform(-80, 80))] for k in range(5)]
+    points = [(i, *(c + rng.uniform(-w, w) for c, w in zip(rng.choice(lines)[2:], (2.5, 2.5), strict=True))) for i in range(150)]
+    points = [(i, (x + 180) % 360 - 180, max(-89.0, min(89.0, y))) for i, x, y in points]
+    got = {r["id"]: r for r in G.nearest_on_lines(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(lines, "line string, place long, lon double, lat double"), 200.0, ["id"]).collect()}
+    high, far = math.degrees(200.0 / RADIUS), 0
+    turn = lambda d: (d + 180) % 360 - 180
+    for i, x, y in points:
+        best = (math.inf, None)
+        for a, b in zip(lines, lines[1:], strict=False):
+            if a[0] == b[0]:
+                c = math.cos(math.radians(y))
+                ax, ay, dx, dy = turn(a[2] - x) * c, a[3] - y, turn(b[2] - a[2]) * c, b[3] - a[3]
+                s = min(1.0, max(0.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+                best = min(best, (math.hypot(ax + s * dx, ay + s * dy), a[0]))
+        assert got[i]["line"] == (best[1] if best[0] <= high else None)
+        far += high / 4 < best[0] <= high
+    assert far > 10
+    ends = spark.createDataFrame([("a", 0.0, 0.0, 8.0, 8.0)], "line string, x0 double, y0 double, x1 double, y1 double")
+    assert G._segments_near(ends, 0.5, 0.5).count() < 150  # its box alone has over 300 tiles
