@@ -4,6 +4,7 @@ import math
 import random
 
 from trackmill.functions.geo import RADIUS
+from trackmill.operators import nearest as N
 from trackmill.operators import spatial as G
 
 
@@ -45,3 +46,33 @@ def test_nearest_on_lines_small_tiles(spark):
     assert far > 10
     ends = spark.createDataFrame([("a", 0.0, 0.0, 8.0, 8.0)], "line string, x0 double, y0 double, x1 double, y1 double")
     assert G._segments_near(ends, 0.5, 0.5).count() < 150  # its box alone has over 300 tiles
+
+
+def test_few_targets_are_looked_through_without_going_down(spark, monkeypatch):
+    rng = random.Random(2)
+    spot = lambda: (rng.uniform(-180, 180), rng.uniform(-90, 90))
+    targets = [(g, i, *spot()) for g in range(30) for i in range(5)]
+    points = [(i, rng.randrange(32), *spot()) for i in range(100)]
+    t = spark.createDataFrame(targets, "g long, v long, lon double, lat double")
+    p = spark.createDataFrame(points, "id long, g long, lon double, lat double")
+    want = {i: min(((km((x, y), (a, b)), v) for h, v, a, b in targets if h == g), default=(None, None)) for i, g, x, y in points}
+
+    def check(rows):
+        for r in rows:
+            d, v = want[r["id"]]
+            assert r["v"] == v and (d is None or abs(r["km"] - d) < 1e-6)
+
+    with monkeypatch.context() as m:
+        m.setattr(N, "TOGETHER", 1)
+        check(N.nearest_row(p, t, ["id"], ["v"], ("g",)).collect())
+    monkeypatch.setattr(N, "_cell", lambda *a: 1 / 0)
+    check(N.nearest_row(p, t, ["id"], ["v"], ("g",)).collect())
+
+
+def test_other_lines_at_the_same_place(spark):
+    rows = [(b, i, float((i * 7 + b * 3) % 11), float(i % 5)) for b in range(6) for i in range(12)]
+    got = {(r["branch"], r["point"]): r for r in N.nearest_other_lines(spark.createDataFrame(rows, "branch long, point long, lon double, lat double")).collect()}
+    for b, i, x, y in rows:
+        others = min(km((x, y), (c, d)) for e, _, c, d in rows if e != b)
+        own = min(km((x, y), (c, d)) for e, j, c, d in rows if e == b and abs(i - j) > 3)
+        assert abs(got[b, i]["other_km"] - others) < 1e-6 and abs(got[b, i]["self_km"] - own) < 1e-6
