@@ -2,8 +2,10 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 from trackmill.functions.geo import RADIUS
+from trackmill.operators import float_qc as Q
 from trackmill.operators import nearest as N
 from trackmill.operators import spatial as G
 
@@ -76,3 +78,19 @@ def test_other_lines_at_the_same_place(spark):
         others = min(km((x, y), (c, d)) for e, _, c, d in rows if e != b)
         own = min(km((x, y), (c, d)) for e, j, c, d in rows if e == b and abs(i - j) > 3)
         assert abs(got[b, i]["other_km"] - others) < 1e-6 and abs(got[b, i]["self_km"] - own) < 1e-6
+
+
+def test_jump_qc_streams_segments_over_batches(spark):
+    rng = random.Random(3)
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, 0, i, t0 + timedelta(hours=i), i * 0.01 + (5.0 if rng.random() < 0.1 else 0.0), 0.0) for k in range(20) for i in range(40)]
+    df = spark.createDataFrame(rows, "trajectory long, segment long, obs long, time timestamp_ntz, lon double, lat double").repartition(7)
+    whole = Q.jump_qc(df, 200.0)
+    assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().toString()
+    want = sorted(map(tuple, whole.collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert sorted(map(tuple, Q.jump_qc(df, 200.0).collect())) == want and 600 < len(want) < 800
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
