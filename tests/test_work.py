@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from trackmill.functions.geo import RADIUS
 from trackmill.operators import float_qc as Q
@@ -94,3 +95,14 @@ def test_jump_qc_streams_segments_over_batches(spark):
         assert sorted(map(tuple, Q.jump_qc(df, 200.0).collect())) == want and 600 < len(want) < 800
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_text_fixes_take_a_file_for_many_tracks(spark, tmp_path, monkeypatch):
+    from trackmill.plans import ingest
+    from trackmill.plans.catalog import QUERIES
+
+    monkeypatch.setattr(ingest, "new_path", lambda s, label: str(tmp_path / label))
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), i % 130, "view", 1.0, "{}") for i in range(1000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["read_text_fixes"](spark, str(tmp_path)).count() == 1000
+    assert len([p for p in Path(tmp_path / "fixes").rglob("*.txt")]) == 3
