@@ -4,7 +4,7 @@ Rules find base spans (kinds email, ip, card, phone), which always stay. Wider g
 overlap each other and the base ones: names around an @, a bracketed (at) or a spelled-out "at ... dot", addresses with
 bracketed dots, and any run of seven digits or more with separators, which may stand for a card and a phone number at
 once. A candidate that fails its kind's validity (Luhn, parts up to 255, a domain with a dot, a number that stands
-free) is a look-alike. Boosted trees are fitted on a bounded sample, base spans against look-alikes, by format and
+free) is a look-alike. Boosted trees are fitted on all of them, base spans against look-alikes, by format and
 context. Features are taken from a form in which base and other spans are written alike (no leading plus, @ and dots
 for their spellings) and hold none of the rules' own tests, so the trees can take a span that the rules miss. For
 each kind a threshold is calibrated on candidates left out of the fit: precision PRECISION against look-alikes, and no
@@ -23,7 +23,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.llm.sampling import smallest
 from trackmill.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,8 +38,8 @@ DOT = r"(?:\.| ?[\[({] ?(?:(?i:dot)|\.) ?[\])}] ?| (?i:dot) )"
 AROUND_AT = rf"(?:\G|(?<![\p{{L}}0-9._%+-]))[\p{{L}}0-9._%+-]++(?:{AT}[\p{{L}}0-9-]++(?:{DOT}[\p{{L}}0-9-]++)*+| (?i:at) [\p{{L}}0-9-]++(?: (?i:dot) [\p{{L}}0-9-]++)++)"
 DOTTED = r"(?<![0-9])[0-9]++(?:(?: ?[\[({] ?(?:(?i:dot)|\.) ?[\])}] ?| \. |\.)[0-9]++){3}+"
 DIGITS = r"[+(]{0,2}+[0-9](?:[ ./()-]{0,2}+[0-9]){6,}+"
-#: Candidates that the trees are fitted on and thresholds are calibrated on, at most (those with the smallest hashes).
-FIT_CANDIDATES = 20_000
+#: Steps of a score between 0 and 1 at which a threshold may lie.
+STEPS = 10_000
 #: Of either label, needed to fit at all; with fewer, only base spans are returned.
 FIT_LEAST = 20
 #: Precision on left-out candidates that a threshold has to reach, and the share of base spans that may lie below it.
@@ -162,25 +161,24 @@ def added(found: DataFrame) -> DataFrame | None:
     named = found.where("kind is not null")
     # A wide candidate that lies on a base span is that span once more: it is not an example of the rest.
     fresh = named.withColumn("met", _overlaps(named, "base", follow=True)).where("base or not met")
-    # Copies of a candidate count once, so that a group of copies cannot fill the sample.
+    # Copies of a candidate count once, so that a group of copies do not outweigh the rest.
     known = fresh.where("base or not valid").select("kind", "match", "before", "after", F.col("base").cast("double").alias("label")).withColumn("turn", F.xxhash64("kind", "match", "before", "after"))
     known = materialize(known.dropDuplicates(["turn", "label"]), "pii-known")
-    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    few = [smallest(known.where(F.col("label") == x), F.pmod("turn", F.lit(2**32)), FIT_CANDIDATES // 2, totals.get(x, 0), "turn") for x in (0.0, 1.0)]
-    sample, names = features(few[0].unionByName(few[1]))
-    # The fold is a hash of the turn, whose low bits are small in every sample.
-    sample = materialize(sample.select("kind", F.pmod(F.xxhash64("turn"), F.lit(4)).alias("fold"), "label", *names), "pii-sample")
+    # All of them are used: a hash's first fold calibrates, the others fit.
+    told, names = features(known)
+    sample = materialize(told.select("kind", F.pmod(F.xxhash64("turn"), F.lit(4)).alias("fold"), "label", *names), "pii-labelled")
     sizes = {r["label"]: r["count"] for r in sample.where("fold != 0").groupBy("label").count().collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < FIT_LEAST:
         return None
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     model = GBTClassifier(labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(assembler.transform(sample.where("fold != 0")))
     scored = lambda df: model.transform(assembler.transform(df)).withColumn("score", vector_to_array("probability")[1])
-    left_out = scored(sample.where("fold = 0")).select("kind", "label", "score")
-    down = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    judged = left_out.withColumn("precision", F.avg("label").over(down))
-    limits = judged.groupBy("kind").agg(F.min(F.when(F.col("precision") >= PRECISION, F.col("score"))).alias("t"), F.percentile(F.when(F.col("label") == 1, F.col("score")), F.lit(TAIL)).alias("tail"))
-    threshold = {r["kind"]: max(r["t"], r["tail"]) for r in limits.where("t is not null and tail is not null").collect()}
+    # Counts by step of the score: a row for each, however many candidates there are.
+    steps = scored(sample.where("fold = 0")).groupBy("kind", F.floor(F.col("score") * STEPS).alias("step")).agg(F.sum("label").cast("long").alias("right"), F.count("*").alias("all"))
+    down = Window.partitionBy("kind").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    judged = steps.withColumn("precision", F.sum("right").over(down) / F.sum("all").over(down))
+    limits = judged.groupBy("kind").agg(F.min(F.when(F.col("precision") >= PRECISION, F.col("step"))).alias("t"), F.percentile("step", F.lit(TAIL), F.col("right")).alias("tail"))
+    threshold = {r["kind"]: max(r["t"], r["tail"]) / STEPS for r in limits.where("t is not null and tail is not null").collect()}
     if not threshold:
         return None
     rest, _ = features(fresh.where("not base and valid"))
