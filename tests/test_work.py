@@ -81,6 +81,41 @@ def test_other_lines_at_the_same_place(spark):
         assert abs(got[b, i]["other_km"] - others) < 1e-6 and abs(got[b, i]["self_km"] - own) < 1e-6
 
 
+def test_nearest_rows_of_boxes(spark, monkeypatch):
+    monkeypatch.setattr(N, "TOGETHER", 4)
+    monkeypatch.setattr(N, "SUPER", 3)
+    monkeypatch.setattr(N, "ASKS", 7)
+    rng = random.Random(6)
+    crowd = [(rng.uniform(179.5, 180.5), rng.uniform(-1, 1)) for _ in range(150)]
+    spots = [((x + 180) % 360 - 180, y) for x, y in crowd] + [(rng.uniform(-180, 180), rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90)])) for _ in range(150)] + [(0.0, 90.0), (50.0, 90.0), (180.0, 0.0), (-180.0, 0.0)]
+    targets = [(i % 3, i, rng.randrange(12), x, y) for i, (x, y) in enumerate(spots)]
+    points = [(i, rng.randrange(4), rng.randrange(12), *((x, y) if rng.random() < 0.4 else (rng.uniform(-180, 180), rng.uniform(-90, 90)))) for i, (x, y) in enumerate(spots)]
+    t = spark.createDataFrame(targets, "g long, v long, a int, lon double, lat double")
+    p = spark.createDataFrame([*points, (900, 1, 1, None, 3.0), (901, None, 1, 2.0, 3.0)], "id long, g long, a int, lon double, lat double")
+    for on, apart, columns in ((), None, ["v"]), (("g",), None, ["v"]), ((), 0, []), ((), 3, ["v"]), (("g",), 2, ["v"]):
+        got = {r["id"]: r for r in N.nearest_row(p, t, ["id"], columns, on, ("a", apart) if apart is not None else None).collect()}
+        assert len(got) == len(points) + 2 and got[900]["km"] is None and (got[901]["km"] is None) == bool(on)
+        for i, g, a, x, y in points:
+            able = [(km((x, y), (u, w)), v) for h, v, b, u, w in targets if (not on or h == g) and (apart is None or abs(a - b) > apart)]
+            best = min(able, default=None)
+            assert (got[i]["km"] is None) == (best is None)
+            if best:
+                assert abs(got[i]["km"] - best[0]) < 1e-4
+                assert not columns or got[i]["v"] in {v for d, v in able if d < best[0] + 1e-4}
+
+
+def test_nearest_rows_move_boxes_and_a_point_once(spark, monkeypatch):
+    """A point used to go down from level to level with all cells near it, and every level was shuffled."""
+    rng = random.Random(7)
+    rows = [(i // 20, i % 20, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(6000)]
+    kept = {}
+    was = N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, label: kept.setdefault(label, was(df, label)))
+    df = spark.createDataFrame(rows, "line long, place long, lon double, lat double")
+    plan = N.nearest_row(df, df, ["line", "place"], [], apart=("line", 0))._jdf.queryExecution().toString()
+    assert kept["nearest-pairs"].count() < 60 * kept["nearest-point-boxes"].count() < 60 * 200 and "Window" not in plan
+
+
 def test_jump_qc_streams_segments_over_batches(spark):
     rng = random.Random(3)
     t0 = datetime(2024, 1, 1)

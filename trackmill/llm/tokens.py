@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from trackmill import shared
+
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,11 +74,7 @@ def small_batches(spark: SparkSession, limit: int = 2 * SLICE) -> None:
 
     It stays so for the session: plans are made when their results are asked for.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", spark.conf.get(name).lower()).groups()
-    now = int(number) * 1024 ** "bkmgt".index(unit or "b")
-    if not 0 < now <= limit:
-        spark.conf.set(name, str(limit))
+    shared.small_batches(spark, limit)
 
 
 class UnitEncoder:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,3 +31,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, limit: int) -> None:
+    """Have Spark send rows to Python in batches of about limit bytes (64 MB by default), where the session does not ask for less.
+
+    It stays so for the session: plans are made when their results are asked for.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(number) * 1024 ** "bkmgt".index(unit or "b")
+    if not 0 < now <= limit:
+        spark.conf.set(name, str(limit))
