@@ -10,8 +10,9 @@ alike in unlike sets more often, which costs comparisons inside groups.
 
 Sets that are equal are one class, found by their digest. In a group of classes that share a segment, all are
 verified against the one that shares most (so a group of n near copies costs n verifications). In groups that then
-hold classes of several components, all pairs of different components are compared by sketches, in blocks, and
-those left open are verified. So no link between components is lost.
+hold classes of several components, all pairs of different components are compared by sketches, in blocks. Classes
+that have a pair left open there are compared again by sketches of many more bits, which near misses do not pass, and
+what these leave open is verified. So no link between components is lost.
 
 Before texts are moved, pairs are compared by sketches: bit i of a set's sketch is the parity of its elements
 that hash to i, so two sketches differ in no more bits than the sets do in elements, and a pair whose sketches
@@ -41,6 +42,8 @@ U = np.uint64
 SEGMENT, LEVEL = U(0x9FB21C651E98DF25), U(0xA24BAED4963EE407)
 #: Rows of a block of a group.
 BLOCK = 256
+#: Bits of a sketch, and of a fine one, for each element in which partners can differ, at least.
+COARSE, FINE = 3, 32
 #: Cost in indexed rows of a pair that is shuffled, and of one that is compared where its group is. An indexed row is shuffled, and so are pairs with a group's pivot, of which each indexed row makes one at most.
 PAIR_COST, COMPARED_COST = 3.0, 0.003
 #: Probability that two unlike sets' single elements of a segment are one: lines and passages that many texts share.
@@ -116,10 +119,10 @@ def signatures(values: np.ndarray, level: int, m: int, k: int, e: int) -> np.nda
     return out if full.sum() >= m - e else np.append(out, mix(np.array([level], np.uint64) * LEVEL))
 
 
-def sketch(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parities of a set's elements by hash: a power of two of bits, 512 at least and three times the elements that a partner can differ in."""
+def sketch(values: np.ndarray, num: int, den: int, least: int = COARSE) -> np.ndarray:
+    """Parities of a set's elements by hash: a power of two of bits, 512 at least and least times the elements that a partner can differ in."""
     bits = 512
-    while bits < 3 * most_differing((len(values), len(values)), num, den):
+    while bits < least * most_differing((len(values), len(values)), num, den):
         bits *= 2
     odd = np.bincount((mix(values ^ SEGMENT) >> U(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -135,16 +138,16 @@ def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, size: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """Rows (key, mark, n, digest, sketch) of docs' shingle sets; digest and sketch are null where the set is empty. mark: a hash of key and text."""
+    """Rows (key, mark, n, digest, sketch, fine) of docs' shingle sets; digest and sketches are null where the set is empty. mark: a hash of key and text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in relieved(slices(batches)):
             sets = list(shingle_sets(batch.column("text").to_pylist(), size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            sketches = [sketch(s, num, den) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "mark", "n", "digest", "sketch"])
+            sketches = [pa.array([sketch(s, num, den, least) if len(s) else None for s in sets], pa.list_(pa.int64())) for least in (COARSE, FINE)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *sketches], ["key", "mark", "n", "digest", "sketch", "fine"])
 
-    return marked(docs, key, text).mapInArrow(digest, "key long, mark long, n long, digest binary, sketch array<long>")
+    return marked(docs, key, text).mapInArrow(digest, "key long, mark long, n long, digest binary, sketch array<long>, fine array<long>")
 
 
 def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -176,7 +179,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 class JaccardJoin:
-    """The join of one table. rows: (key, mark, n, digest, sketch); classes: (digest, cid, key, mark, n, sketch), of the row with the smallest key (null last)."""
+    """The join of one table. rows: (key, mark, n, digest, sketch, fine); classes: (digest, cid, key, mark, n, sketch), of the row with the smallest key (null last)."""
 
     def __init__(self, docs: DataFrame, size: int, num: int, den: int, key: str = "doc_id", text: str = "text"):
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
@@ -313,42 +316,73 @@ class JaccardJoin:
     def _rest(self, entries: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Distinct pairs to verify of groups whose classes are not of one component. None if there are no such groups.
 
-        A group is dealt into blocks of BLOCK rows; each two blocks meet in one task, which compares all their
-        sketches at once and returns only pairs of different components that sketches and sizes leave open.
+        Groups of the same classes are gone through once. A group is dealt into blocks of BLOCK rows; each two blocks
+        meet in one task, which compares all their sketches at once and returns the classes that have a pair of different
+        components left open, not the pairs: near misses are as many as the square of a group. These classes
+        meet again with fine sketches.
         """
-        num, den = self.num, self.den
         known = labels.select(F.col("node").alias("cid"), F.col("component").alias("label"))
         named = entries.join(known, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        split = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        members = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"members_{i}") for i in (0, 1)]
+        split = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), *members).where("lo != hi")
+        split = split.groupBy("size", "members_0", "members_1").agg(F.min("sig").alias("sig"))
         split = materialize(split.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-split")
         if split.isEmpty():
             return None
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         inside = named.join(split, "sig").join(self.classes.select("cid", "n", "sketch"), "cid").withColumn("own", own)
         met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "label", "n", "sketch")
-        dealt = met.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        met = met.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "n", "sketch")
+        schema = "sig long, i int, j int, own int, cid long, label long, n long"
+        left = materialize(self._open(met, schema, False), "jaccard-open")
+        wanted = self.classes.join(left.select("cid").distinct(), "cid", "left_semi").select("mark", "digest", "cid")
+        fine = self.rows.select("mark", "digest", "fine").join(wanted, ["mark", "digest"]).groupBy("cid").agg(F.first("fine").alias("sketch"))
+        return materialize(self._open(left.join(fine, "cid"), "a long, b long", True).distinct(), "jaccard-pairs")
+
+    def _open(self, met: DataFrame, schema: str, pairs: bool) -> DataFrame:
+        """Of blocks that meet (sig, i, j), what sketches and sizes leave open between components: pairs (a, b), or the rows that have one."""
+        num, den = self.num, self.den
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: list[np.ndarray] = []
             for group in runs(batches, ["sig", "i", "j"]):
-                cid, label, n = (group.column(c).to_numpy() for c in ("cid", "label", "n"))
+                cid, label, n, own = (group.column(c).to_numpy() for c in ("cid", "label", "n", "own"))
+                # Rows of one block meet where it meets itself.
+                across = group.column("i")[0] != group.column("j")[0]
                 column = group.column("sketch").combine_chunks()
                 flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
                 width = int(np.diff(at).min())
                 folded = np.stack([np.bitwise_xor.reduce(flat[x:y].reshape(-1, width), 0) for x, y in zip(at[:-1], at[1:], strict=True)])
+                has = np.zeros(len(cid), bool)
                 out: list[np.ndarray] = []
                 for x in range(len(cid) - 1):
                     y = np.arange(x + 1, len(cid))
                     y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)]
+                    if across:
+                        y = y[own[y] != own[x]]
                     differ = np.bitwise_count(folded[y] ^ folded[x]).sum(1)
                     y = y[differ <= (n[y] + n[x]) * (den - num) // (den + num)]
                     if len(y):
-                        out.append(np.stack([np.minimum(cid[y], cid[x]), np.maximum(cid[y], cid[x])]))
-                if out:
-                    a, b = np.concatenate(out, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        return materialize(dealt.mapInArrow(compare, "a long, b long").distinct(), "jaccard-pairs")
+                        has[y] = has[x] = True
+                        if pairs:
+                            out.append(np.stack([np.minimum(cid[y], cid[x]), np.maximum(cid[y], cid[x])]))
+                if pairs and out:
+                    seen.append(np.concatenate(out, 1))
+                    if sum(o.shape[1] for o in seen) > 100_000:
+                        yield of(seen)
+                        seen = []
+                elif has.any():
+                    yield from group.drop_columns(["sketch"]).filter(pa.array(has)).combine_chunks().to_batches()
+            if seen:
+                yield of(seen)
+
+        def of(seen: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(seen, 1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        columns = ["sig", "i", "j", "own", "cid", "label", "n", "sketch"]
+        dealt = met.select(*columns).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return dealt.mapInArrow(compare, schema)
 
     def labelled(self) -> DataFrame:
         """Rows (digest, key, mark, label) of classes: label tells their component."""
