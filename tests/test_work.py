@@ -132,6 +132,22 @@ def test_jump_qc_streams_segments_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_jump_qc_measures_few_links_one_by_one(spark, monkeypatch):
+    rng = random.Random(5)
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, 0, i, t0 + timedelta(hours=i), i * 0.01 + (5.0 if i in (20, 50) else 0.0), rng.uniform(0, 0.01)) for k in range(10) for i in range(80)]
+    df = spark.createDataFrame(rows, "trajectory long, segment long, obs long, time timestamp_ntz, lon double, lat double")
+    want = sorted(map(tuple, Q.jump_qc(df, 200.0).collect()))
+    held, calls, was = [], [], Q._too_fast
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: held.append((self, f)) or self)
+    monkeypatch.setattr(Q, "_too_fast", lambda *a: calls.append(1) or was(*a))
+    Q.jump_qc(df, 200.0)
+    [(given, stream)] = held
+    got = [tuple(r.values()) for batch in stream(iter(given.toArrow().to_batches())) for r in batch.to_pylist()]
+    assert sorted(got) == want and len(want) == 780
+    assert len(calls) < 200  # every link of a segment with a fast one used to be: over 1600
+
+
 def test_text_fixes_take_a_file_for_many_tracks(spark, tmp_path, monkeypatch):
     from trackmill.plans import ingest
     from trackmill.plans.catalog import QUERIES

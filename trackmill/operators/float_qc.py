@@ -70,13 +70,19 @@ def jump_qc(df: DataFrame, max_speed: float, max_block: int = 3, keys=("trajecto
         # What is near the limit is left to the exact rule, as are links without a position.
         return ~np.where(days <= 0, km == 0, km <= max_speed * days * (1 - 1e-9))
 
-    def repaired(x: np.ndarray) -> tuple[list[int], np.ndarray]:
+    def repaired(x: np.ndarray, fast: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Rows that stay and their parts. fast: whether the link from each row to the next is too fast; only links over removed rows are measured."""
+        flags = fast.tolist()
+
+        def too_fast(a: int, b: int) -> bool:
+            return flags[a] if b == a + 1 else bool(_too_fast(x[a], x[b], max_speed))
+
         keep, i = list(range(len(x))), 1
         while i < len(keep):
-            if _too_fast(x[keep[i - 1]], x[keep[i]], max_speed):
+            if too_fast(keep[i - 1], keep[i]):
                 for size in range(1, max_block + 1):
                     j = i + size
-                    if j < len(keep) and _too_fast(x[keep[j - 1]], x[keep[j]], max_speed) and not _too_fast(x[keep[i - 1]], x[keep[j]], max_speed):
+                    if j < len(keep) and too_fast(keep[j - 1], keep[j]) and not too_fast(keep[i - 1], keep[j]):
                         del keep[i:j]
                         i = max(1, i - 1)
                         break
@@ -84,7 +90,7 @@ def jump_qc(df: DataFrame, max_speed: float, max_block: int = 3, keys=("trajecto
                     i += 1
             else:
                 i += 1
-        return keep, np.cumsum([0] + [_too_fast(x[a], x[b], max_speed) for a, b in zip(keep, keep[1:], strict=False)])
+        return keep, np.cumsum([0] + [too_fast(a, b) for a, b in zip(keep, keep[1:], strict=False)])
 
     def whole(table: pa.Table) -> pa.Table:
         """Rows that stay, with their parts; the table holds whole segments."""
@@ -97,7 +103,11 @@ def jump_qc(df: DataFrame, max_speed: float, max_block: int = 3, keys=("trajecto
         stay, part = np.ones(len(x), bool), np.zeros(len(x), np.int64)
         for s in np.unique(np.searchsorted(first, np.flatnonzero(fast), "right") - 1):
             lo, hi = bounds[s], bounds[s + 1]
-            keep, parts = repaired(x[lo:hi])
+            for k in np.flatnonzero(fast[lo : hi - 1]):
+                fast[lo + k] = _too_fast(x[lo + k], x[lo + k + 1], max_speed)
+            if not fast[lo : hi - 1].any():
+                continue
+            keep, parts = repaired(x[lo:hi], fast[lo : hi - 1])
             stay[lo:hi] = False
             stay[lo + np.array(keep)] = True
             part[lo + np.array(keep)] = parts
