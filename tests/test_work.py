@@ -157,3 +157,14 @@ def test_text_fixes_take_a_file_for_many_tracks(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert QUERIES["read_text_fixes"](spark, str(tmp_path)).count() == 1000
     assert len([p for p in Path(tmp_path / "fixes").rglob("*.txt")]) == 3
+
+
+def test_text_fixes_parse_a_line_once(spark, tmp_path):
+    from trackmill.operators import cleaning as C
+    from trackmill.sources import tables as T
+
+    (tmp_path / "a.txt").write_text("x\n*END OF HEADER\n1 2024/01/01 00:00:00 2.5 3.5 1\n1 2024/01/01 06:00:00 2.5 bad 1\n short line\n")
+    df = C.at_sea(T.read_text_fixes(spark, str(tmp_path)))
+    assert [tuple(r) for r in df.collect()] == [("a", datetime(2024, 1, 1), 2.5, 3.5, 1)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim(line") == 1 and plan.count("yyyy/MM/dd") == 1

@@ -145,8 +145,12 @@ def read_text_fixes(spark: SparkSession, path: str, marker: str = "*END OF HEADE
     """White-space separated fixes below a header line: any, date, time, lat, lon, at-sea flag; the id is the file's name."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     body = lines.select("file", F.explode(F.split(F.substring_index("value", marker, -1), r"\r?\n")).alias("line"))
-    f = F.split(F.trim("line"), r"\s+")
-    fields = body.where(F.size(f) >= 6).select(F.regexp_extract("file", r"^([^.]+)", 1).alias("platform"), F.try_to_timestamp(F.concat_ws(" ", f[1], f[2]), F.lit("yyyy/MM/dd HH:mm:ss")).cast("timestamp_ntz").alias("time"), f[3].try_cast("double").alias("lat"), f[4].try_cast("double").alias("lon"), f[5].try_cast("int").alias("at_sea"))
+    # What comes out of a generator is made once for a line; a filter on a projection would make it again.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    parted = body.select("file", once(F.split(F.trim("line"), r"\s+"), "f")).where("size(f) >= 6")
+    f = F.col("f")
+    fix = F.struct(F.try_to_timestamp(F.concat_ws(" ", f[1], f[2]), F.lit("yyyy/MM/dd HH:mm:ss")).cast("timestamp_ntz").alias("time"), f[3].try_cast("double").alias("lat"), f[4].try_cast("double").alias("lon"), f[5].try_cast("int").alias("at_sea"))
+    fields = parted.select(F.regexp_extract("file", r"^([^.]+)", 1).alias("platform"), once(fix, "fix")).select("platform", "fix.*")
     return fields.where("time is not null and lat is not null and lon is not null")
 
 
